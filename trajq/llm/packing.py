@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajq.session import ship_package
+
 from .common import materialise
 
 #: Leftover windows of so many partitions are merged by one task; each partition leaves one at most.
@@ -147,6 +149,7 @@ def pack(
     packed each for itself; an empty input gives no rows. Padding is at most `slack` ids in a sequence, but for
     merged leftovers.
     """
+    ship_package(docs.sparkSession)
     encode = byte_bpe(vocabulary or default_vocabulary())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajq.session import ship_package
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
@@ -96,6 +98,7 @@ def order_rules(docs: DataFrame, rules: Iterable[Rule] = RULES, text_col: str =
 
     The sample sets only the order, and so the cost: the verdict on a document is the same in any order.
     """
+    ship_package(docs.sparkSession)
     rules = list(rules)
     n = docs.count()
     if not n:

@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajq.session import ship_package
+
 from .common import hot_keys, materialise, scratch, shuffle_partitions
 
 #: Written in every record, so that a rewrite gives the same bytes.
@@ -105,6 +107,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     response. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
+    ship_package(spark)
     parts = shuffle_partitions(spark)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns(
@@ -161,6 +164,7 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A row per response or revisit record of the committed files: RECORDS. intact: block and payload digests hold."""
+    ship_package(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_conversations
 from .common import read
 from .exact import content_sort_dedup
+from .lm import score_documents
 from .mixing import mix_sources
+from .ngram_join import ngram_jaccard_components
 from .packing import pack
+from .pii import pseudonymise
 from .quality import quality_report
+from .toxicity import crc_remainder, fit_toxicity, score_toxicity, training_sample
 from .warc import archive_round_trip
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(read(spark, sf_dir, "documents"), words=4, least=85, scale=100)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "<|im_end|><|im_start|>assistant ok"
@@ -20,10 +29,26 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turns.unionByName(extra)))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymise(read(spark, sf_dir, "documents"), key="an example key, not for production")
+    return out.select("doc_id", "text", "n_secret", "n_email", "n_phone", "n_card", "n_ip", "n_date")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = fit_toxicity(training_sample(docs, labels))
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "matched")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -41,8 +66,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_chat_format": op2_chat_format,
+    "op3_pii": op3_pii,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, hot_keys, materialise, shuffle_partitions
 
 
-def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", carry: bool = False) -> DataFrame:
+def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", carry: bool = False, head_chars: int = 32) -> DataFrame:
     """Group equal texts (after lower-casing A-Z only; null counts as empty) and mark the one that stays.
 
     Spark samples splitters and range-partitions the rows by their normalised text; each partition is sorted, with
-    spilling, so that equal texts are adjacent, and the window compares neighbours in full. keep: "max" or "min" of
+    spilling, so that equal texts are adjacent, and the window compares neighbours in full. Splitters hold a text's
+    first head_chars characters and a hash of the rest, so the sample that the driver sees is small however long the
+    texts are, and texts that share a head are still dealt apart. keep: "max" or "min" of
     id_col stays. A text that weighs more than a mean partition is dealt over several ranges by a hash of its id, and
     its parts' results are merged afterwards, so no group has to fit in one task.
 
@@ -31,16 +33,17 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .join(F.broadcast(hot), "_h", "left")
         .withColumn("_split", F.col("n_salts").isNotNull())
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.col("n_salts")).cast("int"), F.lit(0)))
-        .drop("_h", "n_salts")
-        .repartitionByRange(parts, "_norm", "_salt")
+        .withColumn("_head", F.substring("_norm", 1, head_chars))
+        .drop("n_salts")
+        .repartitionByRange(parts, "_head", "_h", "_salt")
     )
     best = F.col(id_col).desc_nulls_last() if keep == "max" else F.col(id_col).asc_nulls_last()
-    equal = Window.partitionBy("_norm", "_salt").orderBy(best)
+    equal = Window.partitionBy("_head", "_h", "_norm", "_salt").orderBy(best)
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parted = materialise(
         rows.withColumns({"_rank": F.row_number().over(equal), "_keep": F.first(id_col).over(whole), "_size": F.count(F.lit(1)).over(whole)})
         .withColumn("text_sha256", F.sha2(F.col("_norm"), 256))
-        .drop("_norm", "_salt"),
+        .drop("_norm", "_salt", "_head", "_h"),
         "content-sort",
     )
     pick = F.max("_keep") if keep == "max" else F.min("_keep")

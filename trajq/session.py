@@ -1,12 +1,13 @@
-"""Making the package importable in Python workers."""
+"""Session helpers: shipping the package to workers, and tables in the shared scratch folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,19 @@ def ship_package(spark: SparkSession) -> None:
             z.write(source, source.relative_to(root.parent).as_posix())
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the cluster's spark.checkpoint.dir. A local folder stands in only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

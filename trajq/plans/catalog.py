@@ -1,4 +1,461 @@
-"""Names of the registered queries."""
+"""Registered queries: each operator on the event table, and its SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trajq import schemas
+from trajq.functions import scalar
+from trajq.operators import episodes as ep
+from trajq.operators import motion as mo
+from trajq.operators import qlearn as ql
+from trajq.operators import reward as rw
+from trajq.operators import spatial as sp
+from trajq.operators import tiles as ti
+from trajq.operators import transitions as tr
+
+from . import adapters as ad
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+PLACES = 6
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, PLACES).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def _query(sql: str):
+    """Register the function under its name, with its SQL twin; doubles are rounded to PLACES."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _with(*parts: str) -> str:
+    known = {"traj": ad.TRAJ, "tile": ad.TILE, "motion": ad.MOTION, "stage": ad.STAGE}
+    return "WITH " + ", ".join(p if " AS " in p else f"{p} AS ({known[p]})" for p in parts) + "\n"
+
+
+_VALUES = ", ".join(str(r) for r in schemas.CODES)
+CODE = f"code_dim AS (SELECT * FROM (VALUES {_VALUES}) AS c(code, kind))"
+_VALUES = ", ".join(f"({s}, '{k}', {b}::DOUBLE, {n}::DOUBLE, '{a}', {g}, {t})" for s, k, b, n, a, g, t in schemas.RULES)
+RULE = f"rule AS (SELECT * FROM (VALUES {_VALUES}) AS r(stage, kind, base, bonus, gate_axis, gate_sign, terminal))"
+ZONE = "zone AS (SELECT map_id, pos AS zone_id, kind, (pos % 32) * 32.0::DOUBLE AS x0, floor(pos / 32) * 32.0::DOUBLE AS y0, x0 + 32 AS x1, y0 + 32 AS y1 FROM tile JOIN code_dim USING (code))"
+BOX = "box AS (SELECT *, x + 4 AS x0, y - 4 AS y0, x + 28 AS x1, y + 36 AS y1 FROM motion)"
+HIT = """hit AS (SELECT b.run_id, b.episode_id, b.step, z.zone_id, z.kind FROM box b JOIN zone z
+  ON b.map_id = z.map_id AND b.x0 < z.x1 AND b.x1 > z.x0 AND b.y0 < z.y1 AND b.y1 > z.y0)"""
+
+
+def _transitions(spark, sf_dir):
+    return tr.build_transitions(ad.traj(spark, sf_dir))
+
+
+TRANSITION = """transition AS (SELECT run_id, episode_id, step, coalesce(lag(obs) OVER (PARTITION BY run_id, episode_id ORDER BY step), '<start>') AS state,
+  action, reward, obs AS next_state, done FROM traj)"""
+
+
+def _rounds(n: int, source: str = "transition") -> str:
+    """CTEs q0 ... qn of n synchronous rounds from an empty table."""
+    out = [f"q0 AS (SELECT state, action, 0.0::DOUBLE AS q FROM {source} WHERE false)"]
+    for i in range(1, n + 1):
+        out += [
+            f"m{i} AS (SELECT state, CASE WHEN count(*) < 3 THEN greatest(max(q), 0) ELSE max(q) END AS mq FROM q{i - 1} GROUP BY state)",
+            f"""t{i} AS (SELECT t.state, t.action, reward + 0.95::DOUBLE * CASE WHEN done THEN 0 ELSE coalesce(mq, 0) END AS y,
+              row_number() OVER (PARTITION BY t.state, t.action ORDER BY run_id, episode_id, step) AS i, count(*) OVER (PARTITION BY t.state, t.action) AS n
+              FROM {source} t LEFT JOIN m{i} m ON t.next_state = m.state)""",
+            f"""q{i} AS (SELECT f.state, f.action, pow(0.9::DOUBLE, f.n) * coalesce(o.q, 0) + f.s AS q
+              FROM (SELECT state, action, n, sum(0.1::DOUBLE * y * pow(0.9::DOUBLE, n - i)) AS s FROM t{i} GROUP BY state, action, n) f
+              LEFT JOIN q{i - 1} o ON o.state = f.state AND o.action = f.action)""",
+        ]
+    return ", ".join(out)
+
+
+def _q(spark, sf_dir, rounds: int = 1):
+    return ql.q_iterate(_transitions(spark, sf_dir), rounds=rounds)
+
+
+# ---- the flagship
+
+_NEXT = """transition AS (SELECT run_id, episode_id, step, coalesce(lag(obs) OVER (PARTITION BY run_id, episode_id ORDER BY step), '<start>') AS state,
+  obs AS action, reward + 60 AS reward, obs AS next_state, done FROM traj)"""
+
+
+@_query(
+    _with("traj", _NEXT, _rounds(1))
+    + """SELECT state, action, round(q, 6) AS q FROM (
+      SELECT s.state, a.action, coalesce(q.q, 0) AS q, row_number() OVER (PARTITION BY s.state ORDER BY coalesce(q.q, 0) DESC, a.action) AS k
+      FROM (SELECT DISTINCT state FROM q1) s CROSS JOIN (SELECT DISTINCT obs AS action FROM traj) a LEFT JOIN q1 q ON q.state = s.state AND q.action = a.action) WHERE k = 1"""
+)
+def greedy_next_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = ad.traj(spark, sf_dir).withColumns({"action": F.col("obs"), "reward": F.col("reward") + 60})
+    transitions = tr.build_transitions(frames)
+    actions = frames.select("action").distinct()
+    return ql.greedy_policy(ql.q_update(transitions, ql.empty_q(transitions), n_actions=3), actions)
+
+
+# ---- transitions and episodes
+
+
+@_query(_with("traj", TRANSITION) + "SELECT run_id, episode_id, step, state, action, round(reward, 6) AS reward, next_state, done FROM transition")
+def transitions_logged(spark, sf_dir):
+    return _transitions(spark, sf_dir)
+
+
+@_query(
+    _with("traj")
+    + """SELECT run_id, episode_id, step, obs AS state, action, round(lead(reward) OVER w, 6) AS reward, lead(obs) OVER w AS next_state, lead(done) OVER w AS done
+    FROM traj WINDOW w AS (PARTITION BY run_id, episode_id ORDER BY step) QUALIFY lead(step) OVER w IS NOT NULL"""
+)
+def transitions_effect(spark, sf_dir):
+    return tr.build_transitions(ad.traj(spark, sf_dir), "effect")
+
+
+@_query(_with("traj") + "SELECT run_id, episode_id, step, round(sum(reward) OVER (PARTITION BY run_id, episode_id ORDER BY step), 6) AS running_return FROM traj")
+def running_return(spark, sf_dir):
+    return tr.running_return(ad.traj(spark, sf_dir)).select(*schemas.FRAME_KEYS, "running_return")
+
+
+_ENDS = "f AS (SELECT * EXCLUDE (done), obs = 'purchase' AS done FROM traj)"
+_NUMBER = "coalesce(sum(CASE WHEN done THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, episode_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
+
+
+def _ends(spark, sf_dir):
+    return ad.traj(spark, sf_dir).withColumn("done", F.col("obs") == "purchase")
+
+
+@_query(_with("traj", _ENDS) + f"SELECT run_id, episode_id, step, {_NUMBER} AS episode_no FROM f")
+def split_episodes(spark, sf_dir):
+    return tr.split_episodes(_ends(spark, sf_dir)).select(*schemas.FRAME_KEYS, "episode_no")
+
+
+@_query(_with("traj", _ENDS) + f"SELECT run_id, episode_id, step, done FROM f QUALIFY {_NUMBER} = 0")
+def cut_after_done(spark, sf_dir):
+    return tr.cut_after_done(_ends(spark, sf_dir)).select(*schemas.FRAME_KEYS, "done")
+
+
+@_query(_with("traj") + "SELECT run_id, episode_id, round(sum(reward), 6) AS reward FROM traj GROUP BY ALL")
+def episode_return(spark, sf_dir):
+    return ep.episode_return(ad.traj(spark, sf_dir))
+
+
+@_query(
+    _with("traj")
+    + """SELECT run_id, episode_id, count(*) AS steps, round(sum(reward), 6) AS reward, arg_max(success, step) AS success,
+      round(greatest(0.01::DOUBLE, pow(0.9999::DOUBLE, row_number() OVER (PARTITION BY run_id ORDER BY episode_id))), 6) AS epsilon, max(elapsed) AS duration,
+      CASE WHEN arg_max(forbidden, step) THEN 'out' WHEN arg_max(crash, step) THEN 'crash' WHEN arg_max(done, step) THEN 'milestone' ELSE 'cut' END AS end_reason
+    FROM traj GROUP BY run_id, episode_id"""
+)
+def episode_summary(spark, sf_dir):
+    return ep.episode_summary(ad.traj(spark, sf_dir))
+
+
+_DAILY = "daily AS (SELECT user_id AS run_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, sum(value) AS reward FROM events GROUP BY ALL)"
+
+
+def _daily(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("run_id"), F.col("ts").cast("date").cast("string").alias("day")).agg(F.sum("value").alias("reward"))
+
+
+@_query(
+    _with(_DAILY)
+    + """SELECT run_id, day, round(reward, 6) AS reward, round(rolling, 6) AS rolling, rolling > reward AS regressed FROM (
+      SELECT *, CASE WHEN row_number() OVER w >= 3 THEN avg(reward) OVER (PARTITION BY run_id ORDER BY day ROWS 2 PRECEDING) END AS rolling
+      FROM daily WINDOW w AS (PARTITION BY run_id ORDER BY day))"""
+)
+def rolling_reward(spark, sf_dir):
+    return ep.rolling_reward(_daily(spark, sf_dir), order="day")
+
+
+@_query(
+    _with(_DAILY)
+    + """SELECT run_id, day, printf('%.2f', reward) AS reward_text, printf('%.3f', greatest(0.01::DOUBLE, pow(0.9999::DOUBLE, run_id + 1))) AS epsilon_text FROM daily"""
+)
+def format_metrics(spark, sf_dir):
+    daily = _daily(spark, sf_dir).withColumn("epsilon", scalar.epsilon_at(F.col("run_id") + 1))
+    return ep.format_episodes(daily).select("run_id", "day", "reward_text", "epsilon_text")
+
+
+@_query("SELECT event_id, round(greatest(0.01::DOUBLE, pow(0.9999::DOUBLE, event_id * 7 + 1)), 6) AS epsilon FROM events")
+def epsilon_at(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", scalar.epsilon_at(F.col("event_id") * 7 + 1).alias("epsilon"))
+
+
+# ---- tiles and boxes
+
+
+def _tiles(spark, sf_dir):
+    return ti.add_tile_xy(ad.tiles(spark, sf_dir))
+
+
+def _zones(spark, sf_dir):
+    return ti.zone_box(ti.classify_tiles(_tiles(spark, sf_dir))).withColumn("zone_id", F.col("pos").cast("long"))
+
+
+def _boxes(spark, sf_dir):
+    return ti.entity_box(ad.motion(spark, sf_dir))
+
+
+def _hits(spark, sf_dir):
+    return sp.box_overlap_join(_boxes(spark, sf_dir), _zones(spark, sf_dir))
+
+
+@_query(_with("tile") + "SELECT map_id, pos, ((pos % 32) * 32)::INT AS x, (floor(pos / 32) * 32)::INT AS y FROM tile")
+def tile_xy(spark, sf_dir):
+    return _tiles(spark, sf_dir).select("map_id", "pos", "x", "y")
+
+
+@_query(_with("tile", CODE) + "SELECT map_id, pos, code, kind FROM tile JOIN code_dim USING (code)")
+def classify_tiles(spark, sf_dir):
+    return ti.classify_tiles(_tiles(spark, sf_dir)).select("map_id", "pos", "code", "kind")
+
+
+@_query(_with("tile", CODE, ZONE) + "SELECT map_id, zone_id::BIGINT AS zone_id, kind, x0, y0, x1, y1 FROM zone")
+def zone_box(spark, sf_dir):
+    return _zones(spark, sf_dir).select("map_id", "zone_id", "kind", "x0", "y0", "x1", "y1")
+
+
+@_query(
+    _with("motion")
+    + """SELECT event_id, round(x + 16 - w / 2, 6) AS x0, round(y + 16 - h / 2, 6) AS y0, round(x + 16 + w / 2, 6) AS x1, round(y + 16 + h / 2, 6) AS y1 FROM (
+      SELECT *, 24 * abs(cos(radians(heading))) + 40 * abs(sin(radians(heading))) AS w, 24 * abs(sin(radians(heading))) + 40 * abs(cos(radians(heading))) AS h FROM motion)"""
+)
+def entity_box(spark, sf_dir):
+    return ti.entity_box(ad.motion(spark, sf_dir), rotated=True).select("event_id", "x0", "y0", "x1", "y1")
+
+
+@_query(_with("motion") + "SELECT event_id, x * 1.2::DOUBLE - 100 < 0 OR x * 1.2::DOUBLE - 100 > 960 OR y < 0 OR y > 960 AS outside FROM motion")
+def out_of_bounds(spark, sf_dir):
+    return ad.motion(spark, sf_dir).select("event_id", scalar.out_of_bounds(F.col("x") * 1.2 - 100, F.col("y")).alias("outside"))
+
+
+@_query(
+    _with("tile", CODE)
+    + """SELECT map_id, count(*) AS n_walls, string_agg(((pos % 32) * 32)::INT || ',' || (floor(pos / 32) * 32)::INT, ',' ORDER BY pos) AS coords
+    FROM tile JOIN code_dim USING (code) WHERE kind = 'wall' GROUP BY map_id"""
+)
+def flatten_zone_coords(spark, sf_dir):
+    flat = ti.flatten_zone_coords(ti.classify_tiles(_tiles(spark, sf_dir)))
+    text = F.array_join(F.transform("coords", lambda v: v.cast("long").cast("string")), ",")
+    return flat.select("map_id", (F.size("coords") / 2).cast("long").alias("n_walls"), text.alias("coords"))
+
+
+@_query(
+    _with("tile", CODE, "motion", "wall AS (SELECT map_id, count(*) AS n, sum((pos % 32) * 32 + floor(pos / 32) * 32) AS total FROM tile JOIN code_dim USING (code) WHERE kind = 'wall' GROUP BY map_id)")
+    + "SELECT event_id, (5 + 2 * coalesce(n, 0))::BIGINT AS width, round(x + y + heading + vx + vy + coalesce(total, 0), 3) AS total FROM motion LEFT JOIN wall USING (map_id)"
+)
+def state_vector(spark, sf_dir):
+    coords = ti.flatten_zone_coords(ti.classify_tiles(_tiles(spark, sf_dir)))
+    total = F.aggregate("state_vector", F.lit(0.0), lambda a, v: a + v)
+    return ti.state_vector(ad.motion(spark, sf_dir), coords).select("event_id", F.size("state_vector").cast("long").alias("width"), F.round(total, 3).alias("total"))
+
+
+@_query(
+    _with("motion")
+    + """SELECT map_id, floor(x / 32) AS x, floor(y / 32) AS y, floor(heading / 15) AS heading, count(*) AS frames, count(DISTINCT (x, y, heading, vx, vy)) AS exact_states
+    FROM motion GROUP BY 1, 2, 3, 4"""
+)
+def state_key(spark, sf_dir):
+    frames = ad.motion(spark, sf_dir)
+    exact = ti.state_key(frames).withColumnRenamed("state_key", "exact_key")
+    binned = ti.state_key(exact, {"x": 32, "y": 32, "heading": 15}, ("x", "y", "heading"))
+    return binned.groupBy("state_key").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("exact_key").alias("exact_states")).select("state_key.*", "frames", "exact_states")
+
+
+@_query(_with("tile", CODE, ZONE, "motion", BOX, HIT) + "SELECT run_id, episode_id, step, zone_id::BIGINT AS zone_id, kind FROM hit")
+def box_overlap_join(spark, sf_dir):
+    return _hits(spark, sf_dir)
+
+
+_FLAGS = ", ".join(f"coalesce(bool_or(h.kind = '{k}'), false) AS on_{k}" for k in sp.KINDS)
+
+
+@_query(
+    _with("tile", CODE, ZONE, "motion", BOX, HIT)
+    + f"SELECT f.run_id, f.episode_id, f.step, {_FLAGS} FROM motion f LEFT JOIN hit h ON f.run_id = h.run_id AND f.episode_id = h.episode_id AND f.step = h.step GROUP BY 1, 2, 3"
+)
+def frame_flags(spark, sf_dir):
+    return sp.frame_flags(ad.motion(spark, sf_dir), _hits(spark, sf_dir)).select(*schemas.FRAME_KEYS, *[f"on_{k}" for k in sp.KINDS])
+
+
+@_query(
+    _with("tile", CODE, ZONE, "motion", BOX, HIT)
+    + """SELECT f.run_id, f.episode_id, f.step, NOT coalesce(bool_or(h.kind = 'track'), false) AS slow, coalesce(bool_or(h.kind = 'wall'), false) AS crash
+    FROM motion f LEFT JOIN hit h ON f.run_id = h.run_id AND f.episode_id = h.episode_id AND f.step = h.step GROUP BY 1, 2, 3"""
+)
+def surface_state(spark, sf_dir):
+    return sp.surface_state(sp.frame_flags(ad.motion(spark, sf_dir), _hits(spark, sf_dir))).select(*schemas.FRAME_KEYS, "slow", "crash")
+
+
+@_query(
+    _with("tile", CODE, RULE, ZONE, "motion", BOX, HIT)
+    + """SELECT h.run_id, h.episode_id, h.step, h.zone_id::BIGINT AS zone_id, h.kind FROM hit h JOIN motion f ON f.run_id = h.run_id AND f.episode_id = h.episode_id AND f.step = h.step
+    LEFT JOIN rule r ON r.kind = h.kind WHERE r.gate_axis IS NULL OR CASE r.gate_axis WHEN 'x' THEN vx ELSE vy END * r.gate_sign > 0"""
+)
+def direction_gate(spark, sf_dir):
+    moving = _hits(spark, sf_dir).join(ad.motion(spark, sf_dir).select(*schemas.FRAME_KEYS, "vx", "vy"), schemas.FRAME_KEYS)
+    return sp.direction_gate(moving, sp.rule_dim(spark)).drop("vx", "vy")
+
+
+@_query(
+    _with("tile", CODE, ZONE, "motion", BOX, HIT) + "SELECT kind, count(*) AS hits FROM hit WHERE kind IN ('wall', 'side', 'track') GROUP BY kind"
+)
+def union_hits(spark, sf_dir):
+    zones = _zones(spark, sf_dir)
+    each = [sp.box_overlap_join(_boxes(spark, sf_dir), zones.where(F.col("kind") == k)) for k in ("wall", "side", "track")]
+    return sp.union_hits(*each).groupBy("kind").agg(F.count(F.lit(1)).alias("hits"))
+
+
+# ---- motion
+
+
+@_query(
+    _with("motion")
+    + "SELECT event_id, action = 0 AS is_left, action = 2 AS is_right, CASE action WHEN 0 THEN 3.0 WHEN 2 THEN -3.0 ELSE 0.0 END::DOUBLE AS heading_delta FROM motion"
+)
+def decode_action(spark, sf_dir):
+    return ad.motion(spark, sf_dir).select("event_id", *[c.alias(n) for n, c in scalar.decode_action(F.col("action")).items()])
+
+
+@_query(_with("motion") + "SELECT event_id, round(sin(radians(heading)) * 0.25::DOUBLE, 6) AS ax, round(cos(radians(heading)) * 0.25::DOUBLE, 6) AS ay FROM motion")
+def heading_vector(spark, sf_dir):
+    ax, ay = scalar.heading_vector(F.col("heading"))
+    return ad.motion(spark, sf_dir).select("event_id", ax.alias("ax"), ay.alias("ay"))
+
+
+_CAP = """sqrt(vx * vx + vy * vy) AS v, CASE WHEN v > 5.5 THEN vx * (5.5::DOUBLE / v) ELSE vx END AS cx,
+  CASE WHEN v > 5.5 THEN vy * (5.5::DOUBLE / sqrt(cx * cx + vy * vy)) ELSE vy END AS cy"""
+
+
+@_query(_with("motion") + f"SELECT event_id, round(v, 6) AS v, round(cx, 6) AS cx, round(cy, 6) AS cy FROM (SELECT event_id, {_CAP} FROM motion)")
+def cap_speed(spark, sf_dir):
+    cx, cy = scalar.cap_speed(F.col("vx"), F.col("vy"))
+    return ad.motion(spark, sf_dir).select("event_id", scalar.speed(F.col("vx"), F.col("vy")).alias("v"), cx.alias("cx"), cy.alias("cy"))
+
+
+@_query(
+    _with(
+        "motion",
+        "pushed AS (SELECT run_id, episode_id, step, heading + CASE action WHEN 0 THEN 3 WHEN 2 THEN -3 ELSE 0 END AS h, x, y, vx AS ox, vy AS oy, slow, ox + sin(radians(h)) * 0.25::DOUBLE AS vx, oy + cos(radians(h)) * 0.25::DOUBLE AS vy FROM motion)",
+    )
+    + f"""SELECT run_id, episode_id, step, round(lead(x) OVER w - (x + lead(ox) OVER w * (1 - drag)), 6) AS rx, round(lead(y) OVER w - (y + lead(oy) OVER w * (1 - drag)), 6) AS ry,
+      round(lead(ox) OVER w - cx, 6) AS rvx, round(lead(oy) OVER w - cy, 6) AS rvy
+    FROM (SELECT *, CASE WHEN slow THEN 0.7::DOUBLE ELSE 0 END AS drag, {_CAP} FROM pushed) WINDOW w AS (PARTITION BY run_id, episode_id ORDER BY step)"""
+)
+def motion_residual(spark, sf_dir):
+    return mo.motion_residual(ad.motion(spark, sf_dir)).select(*schemas.FRAME_KEYS, "rx", "ry", "rvx", "rvy")
+
+
+@_query("SELECT event_id, round((floor(epoch_us(ts) / 1000) - min(floor(epoch_us(ts) / 1000)) OVER (PARTITION BY user_id)) * 25.0::DOUBLE / 1000, 6) AS seconds FROM events")
+def sim_time(spark, sf_dir):
+    from pyspark.sql import Window
+
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", scalar.sim_time(ms, F.min(ms).over(Window.partitionBy("user_id"))).alias("seconds"))
+
+
+# ---- rewards
+
+
+def _fired_sql(scope: str) -> str:
+    return f"""fired AS (SELECT s.*, r.stage, r.base, r.bonus, r.terminal FROM stage s JOIN rule r ON r.kind = s.kind
+      QUALIFY r.stage > coalesce(max(r.stage) OVER (PARTITION BY {scope} ORDER BY ts, step, r.stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))"""
+
+
+@_query(_with("traj", "stage", RULE, _fired_sql("run_id")) + "SELECT run_id, episode_id, step, stage, kind, base, bonus, terminal FROM fired")
+def milestones_per_run(spark, sf_dir):
+    return rw.milestones(ad.stages(spark, sf_dir), sp.rule_dim(spark)).drop("ts")
+
+
+@_query(_with("traj", "stage", RULE, _fired_sql("run_id, episode_id")) + "SELECT run_id, episode_id, step, stage, kind, base, bonus, terminal FROM fired")
+def milestones_per_episode(spark, sf_dir):
+    return rw.milestones(ad.stages(spark, sf_dir), sp.rule_dim(spark), schemas.EPISODE_KEYS).drop("ts")
+
+
+@_query(
+    _with("traj", "stage", RULE, _fired_sql("run_id, episode_id"))
+    + """SELECT run_id, episode_id, step, round(reward, 6) AS reward, done, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY run_id, episode_id ORDER BY step), false) AS success FROM (
+      SELECT f.run_id, f.episode_id, f.step,
+             coalesce(base, 0) + coalesce(bonus / nullif(elapsed, 0), 0) + CASE WHEN off_track THEN -1 ELSE 1 END - CASE WHEN forbidden THEN 150 ELSE 0 END AS reward,
+             coalesce(terminal, false) OR forbidden AS done, CASE WHEN forbidden THEN false WHEN base IS NOT NULL THEN true END AS turn
+      FROM traj f LEFT JOIN (SELECT run_id, episode_id, step, sum(base) AS base, sum(bonus) AS bonus, bool_or(terminal) AS terminal FROM fired GROUP BY ALL) w
+        ON f.run_id = w.run_id AND f.episode_id = w.episode_id AND f.step = w.step)"""
+)
+def shape_reward(spark, sf_dir):
+    fired = rw.milestones(ad.stages(spark, sf_dir), sp.rule_dim(spark), schemas.EPISODE_KEYS)
+    frames = ad.traj(spark, sf_dir).drop("reward", "done", "success")
+    return rw.shape_reward(frames, fired).select(*schemas.FRAME_KEYS, "reward", "done", "success")
+
+
+# ---- Q-tables
+
+
+@_query(_with("traj", TRANSITION, _rounds(1)) + "SELECT state, action, round(q, 6) AS q FROM q1")
+def q_update(spark, sf_dir):
+    return _q(spark, sf_dir)
+
+
+@_query(_with("traj", TRANSITION, _rounds(3)) + "SELECT state, action, round(q, 6) AS q FROM q3")
+def q_iterate(spark, sf_dir):
+    return _q(spark, sf_dir, 3)
+
+
+@_query(_with("traj", TRANSITION, _rounds(2)) + "SELECT state, CASE WHEN count(*) < 3 THEN round(greatest(max(q), 0), 6) ELSE round(max(q), 6) END AS max_q FROM q2 GROUP BY state")
+def max_next_q(spark, sf_dir):
+    return ql.max_next_q(_q(spark, sf_dir, 2), 3)
+
+
+_PART = "seen AS (SELECT * FROM transition WHERE action <> 1 OR state <> 'view')"
+_GREEDY = """greedy AS (SELECT state, action, q FROM (SELECT s.state, a.action, coalesce(q.q, 0) AS q, row_number() OVER (PARTITION BY s.state ORDER BY coalesce(q.q, 0) DESC, a.action) AS k
+  FROM (SELECT DISTINCT state FROM q1) s CROSS JOIN (VALUES (0), (1), (2)) a(action) LEFT JOIN q1 q ON q.state = s.state AND q.action = a.action) WHERE k = 1)"""
+
+
+def _some(spark, sf_dir):
+    return ql.q_iterate(_transitions(spark, sf_dir).where("action <> 1 OR state <> 'view'"), rounds=1)
+
+
+@_query(_with("traj", TRANSITION, _PART, _rounds(1, "seen"), _GREEDY) + "SELECT state, action, round(q, 6) AS q FROM greedy")
+def greedy_policy(spark, sf_dir):
+    return ql.greedy_policy(_some(spark, sf_dir), ql.action_dim(spark))
+
+
+@_query(
+    _with("traj", TRANSITION, _PART, _rounds(1, "seen"))
+    + "SELECT t.run_id, t.episode_id, t.step, t.state, t.action, round(coalesce(q.q, 0), 6) AS q FROM transition t LEFT JOIN q1 q ON q.state = t.state AND q.action = t.action"
+)
+def q_lookup(spark, sf_dir):
+    return ql.q_lookup(_transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state", "action"), _some(spark, sf_dir))
+
+
+@_query(_with("traj", TRANSITION) + "SELECT t.run_id, t.episode_id, t.step, t.state, a.action FROM transition t CROSS JOIN (VALUES (0), (1), (2)) a(action)")
+def expand_actions(spark, sf_dir):
+    return ql.expand_actions(_transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state"), ql.action_dim(spark))
+
+
+@_query(
+    _with("traj", TRANSITION, "odd AS (SELECT * FROM transition WHERE step % 2 = 1 AND action <> 1)", _rounds(1), _rounds(1, "odd").replace("q0", "p0").replace("q1", "p1").replace("m1", "n1").replace("t1", "u1"))
+    + "SELECT state, action, round(coalesce(p1.q, q1.q), 6) AS q FROM q1 FULL JOIN p1 USING (state, action)"
+)
+def upsert_q(spark, sf_dir):
+    transitions = _transitions(spark, sf_dir)
+    return ql.upsert_q(ql.q_iterate(transitions, rounds=1), ql.q_iterate(transitions.where("step % 2 = 1 AND action <> 1"), rounds=1))
+
+
+def _draw(seed: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', run_id, episode_id, step)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@_query(
+    _with("traj", TRANSITION, _PART, _rounds(1, "seen"), _GREEDY)
+    + f"""SELECT run_id, episode_id, step, t.state, explores, CASE WHEN explores THEN floor(u2 * 3)::INT ELSE coalesce(g.action, 0) END AS chosen_action FROM (
+      SELECT *, {_draw("explore1")} < greatest(0.01::DOUBLE, pow(0.9999::DOUBLE, episode_id * 40)) AS explores, {_draw("explore2")} AS u2 FROM transition) t LEFT JOIN greedy g ON g.state = t.state"""
+)
+def explore_or_exploit(spark, sf_dir):
+    policy = ql.greedy_policy(_some(spark, sf_dir), ql.action_dim(spark))
+    states = _transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state")
+    return ql.explore_or_exploit(states, policy, scalar.epsilon_at(F.col("episode_id") * 40), 3)

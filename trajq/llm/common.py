@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajq.session import ship_package
+from trajq.session import materialise, scratch, ship_package  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,22 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's spark.checkpoint.dir. A local folder stands in only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of DataFrames that are no longer referenced."""
     gc.collect()

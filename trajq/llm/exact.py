@@ -29,19 +29,19 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rough = F.xxhash64(F.lower(text)).alias("_h")
     hot = hot_keys(docs.select(rough, (F.octet_length(text) + F.lit(64)).cast("long").alias("w")), "_h", parts)
     rows = (
-        docs.select(*(docs.columns if carry else [id_col]), rough, ascii_lower(text).alias("_norm"))
+        docs.select(F.struct(*(docs.columns if carry else [id_col])).alias("_row"), F.col(id_col).alias("_id"), rough, ascii_lower(text).alias("_norm"))
         .join(F.broadcast(hot), "_h", "left")
         .withColumn("_split", F.col("n_salts").isNotNull())
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.col("n_salts")).cast("int"), F.lit(0)))
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("n_salts")).cast("int"), F.lit(0)))
         .withColumn("_head", F.substring("_norm", 1, head_chars))
         .drop("n_salts")
         .repartitionByRange(parts, "_head", "_h", "_salt")
     )
-    best = F.col(id_col).desc_nulls_last() if keep == "max" else F.col(id_col).asc_nulls_last()
+    best = F.col("_id").desc_nulls_last() if keep == "max" else F.col("_id").asc_nulls_last()
     equal = Window.partitionBy("_head", "_h", "_norm", "_salt").orderBy(best)
     whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parted = materialise(
-        rows.withColumns({"_rank": F.row_number().over(equal), "_keep": F.first(id_col).over(whole), "_size": F.count(F.lit(1)).over(whole)})
+        rows.withColumns({"_rank": F.row_number().over(equal), "_keep": F.first("_id").over(whole), "_size": F.count(F.lit(1)).over(whole)})
         .withColumn("text_sha256", F.sha2(F.col("_norm"), 256))
         .drop("_norm", "_salt", "_head", "_h"),
         "content-sort",
@@ -50,11 +50,10 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     merged = materialise(parted.where(F.col("_split") & (F.col("_rank") == 1)).groupBy("text_sha256").agg(pick.alias("_all_keep"), F.sum("_size").alias("_all_size")), "split-texts")
     out = parted.join(merged, "text_sha256", "left")
     keep_id = F.when(F.col("_split"), F.col("_all_keep")).otherwise(F.col("_keep"))
-    own = [c for c in parted.columns if c[:1] != "_" and c != "text_sha256"]
     return out.select(
-        *own,
+        "_row.*",
         keep_id.alias("keep_id"),
         F.when(F.col("_split"), F.col("_all_size")).otherwise(F.col("_size")).cast("long").alias("group_size"),
-        ((F.col("_rank") == 1) & F.col(id_col).eqNullSafe(keep_id)).alias("kept"),
+        ((F.col("_rank") == 1) & F.col("_id").eqNullSafe(keep_id)).alias("kept"),
         "text_sha256",
     )

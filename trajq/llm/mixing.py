@@ -114,6 +114,6 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The mix itself: each row of docs as often as its taken words round to whole documents, with all its columns."""
     mixed = mix_sources(docs, id_col, text_col, source_col, **options)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    chosen = mixed.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source")).agg(F.max(copies).alias("_copies")).where("_copies > 0")
-    rows = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    chosen = mixed.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source")).agg(F.max(copies).alias("__copies")).where("__copies > 0")
+    rows = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)

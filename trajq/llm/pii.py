@@ -143,10 +143,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     counts = [f"n_{k}" for k in KINDS]
     text = F.col(text_col).cast("string")
     found = F.when(text.rlike("[0-9@]|(?i:token|secret|key|password)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    hits = docs.drop(*counts).withColumn("_found", found)
-    hits = hits.withColumn("_hits", F.transform("_found", lambda m: F.struct(m.alias("old"), _judge(m, key).alias("judged"))))
+    hits = docs.drop(*counts).withColumn("__found", found)
+    hits = hits.withColumn("__hits", F.transform("__found", lambda m: F.struct(m.alias("old"), _judge(m, key).alias("judged"))))
     parts = F.split(text, ANY, -1)
-    filled = F.zip_with(parts, "_hits", lambda p, h: F.concat(p, F.coalesce(h["judged"]["new"], h["old"], F.lit(""))))
-    kinds = lambda kind: F.coalesce(F.size(F.filter("_hits", lambda h: h["judged"]["kind"] == kind)), F.lit(0)).cast("long")
-    out = hits.withColumns({text_col: F.when(F.size("_found") > 0, F.array_join(filled, "")).otherwise(F.col(text_col))} | {c: kinds(k) for c, k in zip(counts, KINDS)})
-    return out.drop("_found", "_hits")
+    filled = F.zip_with(parts, "__hits", lambda p, h: F.concat(p, F.coalesce(h["judged"]["new"], h["old"], F.lit(""))))
+    kinds = lambda kind: F.coalesce(F.size(F.filter("__hits", lambda h: h["judged"]["kind"] == kind)), F.lit(0)).cast("long")
+    out = hits.withColumns({text_col: F.when(F.size("__found") > 0, F.array_join(filled, "")).otherwise(F.col(text_col))} | {c: kinds(k) for c, k in zip(counts, KINDS)})
+    return out.drop("__found", "__hits")

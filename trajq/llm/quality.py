@@ -87,7 +87,7 @@ BASE_RULES = (MIN_WORDS, REPEATED_WORDS)
 RULES = (
     *BASE_RULES,
     Rule("symbols", lambda x: 100 * x.n_symbols > 10 * x.n_words),
-    Rule("duplicate_lines", lambda x: 100 * x.n_dup_lines > 30 * len(x.lines)),
+    Rule("duplicate_lines", lambda x: x.n_dup_lines >= 4 and 100 * x.n_dup_lines > 30 * len(x.lines)),
     Rule("shouting", lambda x: 100 * x.n_shouts > 30 * x.n_words),
     Rule("word_length", lambda x: not 2 * x.n_words <= x.word_chars <= 15 * x.n_words),
 )

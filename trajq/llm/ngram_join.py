@@ -26,6 +26,8 @@ FREQUENCY_CELLS, KEY_CELLS, BLOCK = 1 << 22, 1 << 20, 1 << 16
 GROUP_DOCS, GROUP_TOKENS = 128, 1 << 18
 #: Groups are formed ahead of the search where at least so many different sets share a key.
 LARGE_GROUP = 16
+#: Keys of a set. What the first leaves apart of a large group of near copies, the others bring together.
+N_KEYS = 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,9 +92,9 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _group_key(grams: np.ndarray) -> int:
-    """The smallest of the set's rehashed n-grams: sets of similarity s share it with probability s."""
-    return int(_mix(grams ^ np.uint64(0xA0761D6478BD642F)).min().view(np.int64))
+def _group_keys(grams: np.ndarray) -> list[int]:
+    """The set's smallest n-gram under each of N_KEYS hashes: sets of similarity s share each with probability s."""
+    return [int(_mix(grams + np.uint64(0xA0761D6478BD642F * (i + 1) & 0xFFFFFFFFFFFFFFFF)).min().view(np.int64)) for i in range(N_KEYS)]
 
 
 def _cells(counts: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
@@ -113,10 +115,11 @@ def _add_blocks(rows: pd.DataFrame) -> pd.DataFrame:
 def _survey(docs: DataFrame, words: int) -> DataFrame:
     """First pass: id, n, digest and group key of every row, and each task's counts of n-grams and of keys."""
     kind = dict(docs.dtypes)["id"]
-    schema = f"id {kind}, n long, digest binary, key long, kind int, block int, cells binary"
+    schema = f"id {kind}, n long, digest binary, kind int, block int, cells binary"
+    names = ["id", "n", "digest", "kind", "block", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, frequency, keys, id_type = Shingler(words), np.zeros(FREQUENCY_CELLS, np.int64), np.zeros(KEY_CELLS, np.int64), pa.int64()
+        shingle, frequency, keys, id_type = Shingler(words), np.zeros(FREQUENCY_CELLS, np.int64), np.zeros((N_KEYS, KEY_CELLS), np.int64), pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
             ns, digests, found, recent = [], [], [], []
@@ -124,38 +127,37 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
                 grams = shingle(text)
                 ns.append(len(grams))
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                found.append(_group_key(grams) if len(grams) else None)
+                if len(grams):
+                    found.append(_group_keys(grams))
                 recent.append(grams)
             every = np.concatenate(recent or [np.zeros(0, np.uint64)])
             frequency += np.bincount((every & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64), minlength=FREQUENCY_CELLS)
-            keys += np.bincount(np.array([k & (KEY_CELLS - 1) for k in found if k is not None], np.int64), minlength=KEY_CELLS)
+            for i, column in enumerate(zip(*found)):
+                keys[i] += np.bincount(np.array(column, np.int64) & (KEY_CELLS - 1), minlength=KEY_CELLS)
             none = len(ns)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
-                ["id", "n", "digest", "key", "kind", "block", "cells"],
-            )
-        rows = [*_cells(frequency, 0), *_cells(keys, 1)]
+            blank = [pa.nulls(none, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), *blank], names)
+        rows = [*_cells(frequency, 0), *_cells(keys.reshape(-1), 1)]
         none = len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-            ["id", "n", "digest", "key", "kind", "block", "cells"],
-        )
+        blank = [pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())]
+        cells = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*blank, *cells], names)
 
     return materialise(docs.mapInArrow(run, schema), "survey")
 
 
 def _sketches(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The two summed sketches, one byte a cell; 5 MB whatever the input."""
-    out = (np.zeros((FREQUENCY_CELLS // BLOCK, BLOCK), np.uint8), np.zeros((KEY_CELLS // BLOCK, BLOCK), np.uint8))
+    """The summed sketches of n-grams and of each key, one byte a cell; 7 MB whatever the input."""
+    out = (np.zeros((FREQUENCY_CELLS // BLOCK, BLOCK), np.uint8), np.zeros((N_KEYS * KEY_CELLS // BLOCK, BLOCK), np.uint8))
     summed = survey.where("kind is not null").select("kind", "block", "cells").groupBy("kind", "block").applyInPandas(_add_blocks, "kind int, block int, cells binary")
     for row in summed.collect():
         out[row.kind][row.block] = np.frombuffer(zlib.decompress(row.cells), np.uint8)
-    return out[0].reshape(-1), out[1].reshape(-1)
+    return out[0].reshape(-1), out[1].reshape(N_KEYS, KEY_CELLS)
 
 
 def _prefixes(docs: DataFrame, words: int, threshold: Threshold, frequency, keys) -> DataFrame:
     """Second pass: the prefix of every set that can have a similar one, rarest n-grams first by the sketch (an order
-    that all tasks share), and the whole set where its key is common."""
+    that all tasks share), and the whole set where one of its keys is common."""
     common = int(np.ceil(4 * np.log2(1 + LARGE_GROUP)))
     kind = dict(docs.dtypes)["id"]
 
@@ -170,14 +172,15 @@ def _prefixes(docs: DataFrame, words: int, threshold: Threshold, frequency, keys
                 rank = (often[(grams & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
                 p = threshold.prefix(len(grams))
                 first = grams[np.argpartition(rank, p - 1)[:p]] if p < len(grams) else grams
-                key = _group_key(grams)
-                row = (doc, len(grams), hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), key, first.view(np.int64), grams.tobytes() if crowded[key & (KEY_CELLS - 1)] >= common else None)
+                own = _group_keys(grams)
+                whole = any(crowded[i, k & (KEY_CELLS - 1)] >= common for i, k in enumerate(own))
+                row = (doc, len(grams), hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), own, first.view(np.int64), grams.tobytes() if whole else None)
                 for column, value in zip(out, row):
                     column.append(value)
-            types = (batch.column(0).type, pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["id", "n", "digest", "key", "prefix", "grams"])
+            types = (batch.column(0).type, pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["id", "n", "digest", "keys", "prefix", "grams"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, digest binary, key long, prefix array<long>, grams binary")
+    return docs.mapInArrow(run, f"id {kind}, n long, digest binary, keys array<long>, prefix array<long>, grams binary")
 
 
 def _links_in_group(rows: pd.DataFrame, threshold: Threshold) -> np.ndarray:
@@ -208,17 +211,13 @@ def _links_in_group(rows: pd.DataFrame, threshold: Threshold) -> np.ndarray:
 
 
 def _form_groups(reps: DataFrame, threshold: Threshold, most_rounds: int = 8) -> tuple[DataFrame, DataFrame] | None:
-    """Groups of similar documents where many share a key: (id, gid) of the first round, and links (a, b).
+    """Groups of similar documents where many share a key: (id, gid), and links (a, b).
 
     A key's documents are dealt into groups of bounded size; those found connected within one become a group and
     send one document on to the next round, where a key's remaining documents are dealt anew, until a key has been seen
-    whole or its documents turn out not to be similar. What no group finds, the search finds.
+    whole or its documents turn out not to be similar. What is then left is dealt by the next key. What no group
+    finds, the search finds.
     """
-    counted = materialise(reps.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams_in")).where(F.col("docs") >= LARGE_GROUP), "keys")
-    if counted.isEmpty():
-        return None
-    active = reps.where("grams is not null").select("id", "key", "grams")
-    links, gids, previous = None, None, None
 
     def root_of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
@@ -226,22 +225,47 @@ def _form_groups(reps: DataFrame, threshold: Threshold, most_rounds: int = 8) ->
         ids = rows["id"].to_numpy()
         return pd.DataFrame({"id": ids, "root": ids[root], "key": rows["key"].to_numpy(), "whole": rows["whole"].to_numpy()})
 
-    for turn in range(most_rounds):
-        pieces = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("grams_in") / GROUP_TOKENS))
-        dealt = active.join(counted.withColumnsRenamed({"key": "_key"}), F.col("key") == F.col("_key")).withColumns({"piece": F.pmod(F.xxhash64(F.lit(turn), "id"), pieces), "whole": pieces == 1})
-        found = materialise(dealt.select("id", "key", "grams", "piece", "whole").groupBy("key", "piece").applyInPandas(root_of, "id long, root long, key long, whole boolean"), "groups")
-        new = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        if gids is None:
-            gids = found.select("id", F.col("root").alias("gid"))
-        roots = found.where("id = root and not whole")
-        left = roots.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
-        again = left.join(counted.select("key", "docs", "grams_in"), "key").where("left > 1 and left < 0.9 * docs")
-        counted = materialise(again.select("key", F.col("left").alias("docs"), F.ceil(F.col("grams_in") * F.col("left") / F.col("docs")).alias("grams_in")), "keys")
-        if counted.isEmpty():
-            break
-        active = active.join(roots.select("id", "key"), ["id", "key"], "left_semi").select("id", "key", "grams")
-    return gids, links
+    links, gids = None, None
+    for number in range(N_KEYS):
+        keyed = reps.where("grams is not null").select("id", "n", F.col("keys")[number].alias("key"), "grams")
+        if links is not None:
+            keyed = keyed.join(links.select(F.col("a").alias("id")), "id", "left_anti")
+        counted = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams_in")).where(F.col("docs") >= LARGE_GROUP), "keys")
+        active = keyed.select("id", "key", "grams")
+        for turn in range(most_rounds):
+            if counted.isEmpty():
+                break
+            pieces = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("grams_in") / GROUP_TOKENS))
+            dealt = active.join(counted.withColumnsRenamed({"key": "_key"}), F.col("key") == F.col("_key"))
+            dealt = dealt.select("id", "key", "grams", F.pmod(F.xxhash64(F.lit(turn), "id"), pieces).alias("piece"), (pieces == 1).alias("whole"))
+            found = materialise(dealt.groupBy("key", "piece").applyInPandas(root_of, "id long, root long, key long, whole boolean"), "groups")
+            new = found.where("id <> root")
+            links = _union(links, new.select(F.col("id").alias("a"), F.col("root").alias("b")))
+            if turn == 0:  # those of later rounds are in groups already
+                gids = _union(gids, new.select("id", F.col("root").alias("gid")))
+            roots = found.where("id = root and not whole")
+            left = roots.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
+            again = left.join(counted, "key").where("left > 1 and left < 0.9 * docs")
+            counted = materialise(again.select("key", F.col("left").alias("docs"), F.ceil(F.col("grams_in") * F.col("left") / F.col("docs")).alias("grams_in")), "keys")
+            active = active.join(roots.select("id", "key"), ["id", "key"], "left_semi").select("id", "key", "grams")
+    return None if links is None else (gids, links)
+
+
+def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+def _may_reach(threshold: Threshold) -> Column:
+    """Whether `both` n-grams that a query of size n shares with a group on prefixes leave a similar member possible.
+
+    Beyond its prefix a set has under s * size n-grams (s = least / scale), so sets of n and m that share `both` on
+    prefixes share under both + s * max(n, m) in all, and similar ones share s / (1 + s) * (n + m) at least. The
+    difference is least at an end of the range of m, which is the group's sizes cut to those that can be similar to n.
+    """
+    s = threshold.least / threshold.scale
+    n, low, high = F.col("n"), F.greatest(F.col("low"), F.col("n") * s), F.least(F.col("high"), F.col("n") / s)
+    lacking = lambda m: (n + m) * (s / (1 + s)) - F.greatest(n, m) * s
+    return F.col("both") + 1e-6 >= F.least(lacking(low), lacking(high))
 
 
 def _verify(pairs: DataFrame, threshold: Threshold) -> DataFrame:
@@ -311,7 +335,9 @@ def _search(docs: DataFrame, reps: DataFrame, groups: tuple[DataFrame, DataFrame
     q, g = postings.select("gram", "id", "n", "comp", "csize").alias("q"), matrix.alias("g")
     smaller = (F.col("q.csize") < F.col("g.csize")) | ((F.col("q.csize") == F.col("g.csize")) & (F.col("q.comp") < F.col("g.comp")))
     fits = (F.col("g.n_min") * threshold.least <= F.col("q.n") * threshold.scale) & (F.col("q.n") * threshold.least <= F.col("g.n_max") * threshold.scale)
-    candidates = materialise(q.join(g, (F.col("q.gram") == F.col("g.gram")) & (F.col("q.comp") != F.col("g.comp")) & smaller & fits).select("q.id", "g.gid").distinct(), "candidates")
+    matched = q.join(g, (F.col("q.gram") == F.col("g.gram")) & (F.col("q.comp") != F.col("g.comp")) & smaller & fits)
+    matched = matched.groupBy("q.id", "q.n", "g.gid").agg(F.count(F.lit(1)).alias("both"), F.min("g.n_min").alias("low"), F.max("g.n_max").alias("high"))
+    candidates = materialise(matched.where(_may_reach(threshold)).select("id", "gid"), "candidates")
     members = placed.select("id", "digest", "gid").join(candidates.select("gid").distinct(), "gid")
     wanted = members.select("id", "digest").unionByName(placed.select("id", "digest").join(candidates.select("id").distinct(), "id")).distinct()
     wanted = materialise(wanted, "wanted")

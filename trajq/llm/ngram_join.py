@@ -28,6 +28,10 @@ GROUP_DOCS, GROUP_TOKENS = 128, 1 << 18
 LARGE_GROUP = 16
 #: Keys of a set. What the first leaves apart of a large group of near copies, the others bring together.
 N_KEYS = 3
+#: Fewer documents of a piece form no group; those nearly similar, at this part of the similarity, form one too.
+SMALL_GROUP, LOOSER = 8, 0.75
+#: Bytes that a task takes at once when it compares groups.
+BATCH_BYTES = "32m"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -183,9 +187,8 @@ def _prefixes(docs: DataFrame, words: int, threshold: Threshold, frequency, keys
     return docs.mapInArrow(run, f"id {kind}, n long, digest binary, keys array<long>, prefix array<long>, grams binary")
 
 
-def _links_in_group(rows: pd.DataFrame, threshold: Threshold) -> np.ndarray:
-    """The group's token matrix, documents by distinct n-grams, gives all overlaps; returns each row's root in it."""
-    sets = [np.frombuffer(b, np.uint64) for b in rows["grams"]]
+def _overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The group's token matrix, documents by distinct n-grams, gives all overlaps. Returns sizes and overlaps."""
     sizes = np.array([len(s) for s in sets])
     _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -197,57 +200,73 @@ def _links_in_group(rows: pd.DataFrame, threshold: Threshold) -> np.ndarray:
         matrix = np.zeros((len(sets), 8192), np.float32)
         matrix[owner[part], column[part] - start] = 1
         overlaps += matrix @ matrix.T
-    linked = threshold.scale * overlaps >= threshold.least * (sizes[:, None] + sizes[None, :] - overlaps)
-    root = np.arange(len(sets))
-    for i in range(len(sets)):
-        if root[i] == i:
-            reach = [i]
+    return sizes, overlaps
+
+
+def _roots(sizes: np.ndarray, overlaps: np.ndarray, least: float, scale: float) -> np.ndarray:
+    """Each document's root: of those connected with it, the one with the most links, which is likeliest to be similar
+    to others of its kind."""
+    linked = scale * overlaps >= least * (sizes[:, None] + sizes[None, :] - overlaps)
+    degree, root = linked.sum(axis=1), np.full(len(sizes), -1)
+    for i in np.argsort(-degree, kind="stable"):
+        if root[i] < 0:
+            root[i], reach = i, [i]
             while reach:
-                j = reach.pop()
-                new = np.flatnonzero(linked[j] & (root > i))
+                new = np.flatnonzero(linked[reach.pop()] & (root < 0))
                 root[new] = i
                 reach.extend(new.tolist())
     return root
 
 
 def _form_groups(reps: DataFrame, threshold: Threshold, most_rounds: int = 8) -> tuple[DataFrame, DataFrame] | None:
-    """Groups of similar documents where many share a key: (id, gid), and links (a, b).
+    """Groups where many documents share a key: (id, gid), and the links (a, b) found on the way.
 
-    A key's documents are dealt into groups of bounded size; those found connected within one become a group and
-    send one document on to the next round, where a key's remaining documents are dealt anew, until a key has been seen
-    whole or its documents turn out not to be similar. What is then left is dealt by the next key. What no group
-    finds, the search finds.
+    A key's documents are dealt into pieces of bounded size, and each piece's matrix gives all links within it. Those
+    found connected form a group, and so do others that are nearly similar. A connected group sends its root on to
+    the next round, where a key's remaining documents are dealt anew, until a key has been seen whole or its documents
+    turn out not to be similar. Then comes the next key. That connects most of a large group of near copies; what no
+    piece holds together, the search compares.
     """
 
     def root_of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        root = _links_in_group(rows, threshold)
-        ids = rows["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "root": ids[root], "key": rows["key"].to_numpy(), "whole": rows["whole"].to_numpy()})
+        sets = [np.frombuffer(b, np.uint64) for b in rows["grams"]]
+        ids, free, (sizes, overlaps) = rows["id"].to_numpy(), ~rows["grouped"].to_numpy(bool), _overlaps(sets)
+        root = _roots(sizes, overlaps, threshold.least, threshold.scale)
+        gid, single = ids.copy(), free.copy()
+        for near in (root, _roots(sizes, overlaps, LOOSER * threshold.least, threshold.scale)):
+            for r, size in zip(*np.unique(near[single], return_counts=True)):
+                if size >= SMALL_GROUP:
+                    own = single & (near == r)
+                    gid[own], single = ids[own].min(), single & ~own
+        return pd.DataFrame({"id": ids, "root": ids[root], "gid": gid, "free": free, "key": rows["key"].to_numpy(), "whole": rows["whole"].to_numpy()})
 
     links, gids = None, None
     for number in range(N_KEYS):
         keyed = reps.where("grams is not null").select("id", "n", F.col("keys")[number].alias("key"), "grams")
-        if links is not None:
-            keyed = keyed.join(links.select(F.col("a").alias("id")), "id", "left_anti")
-        counted = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams_in")).where(F.col("docs") >= LARGE_GROUP), "keys")
-        active = keyed.select("id", "key", "grams")
+        if links is None:
+            keyed = keyed.withColumn("grouped", F.lit(False))
+        else:
+            keyed = keyed.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+            keyed = keyed.join(gids.select("id", F.lit(True).alias("grouped")), "id", "left").withColumn("grouped", F.coalesce("grouped", F.lit(False)))
+        enough = LARGE_GROUP if number == 0 else 2
+        counted = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams_in")).where(F.col("docs") >= enough), "keys")
+        active = keyed.select("id", "key", "grams", "grouped")
         for turn in range(most_rounds):
             if counted.isEmpty():
                 break
             pieces = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("grams_in") / GROUP_TOKENS))
             dealt = active.join(counted.withColumnsRenamed({"key": "_key"}), F.col("key") == F.col("_key"))
-            dealt = dealt.select("id", "key", "grams", F.pmod(F.xxhash64(F.lit(turn), "id"), pieces).alias("piece"), (pieces == 1).alias("whole"))
-            found = materialise(dealt.groupBy("key", "piece").applyInPandas(root_of, "id long, root long, key long, whole boolean"), "groups")
-            new = found.where("id <> root")
-            links = _union(links, new.select(F.col("id").alias("a"), F.col("root").alias("b")))
-            if turn == 0:  # those of later rounds are in groups already
-                gids = _union(gids, new.select("id", F.col("root").alias("gid")))
+            dealt = dealt.select("id", "key", "grams", "grouped", F.pmod(F.xxhash64(F.lit(turn), "id"), pieces).alias("piece"), (pieces == 1).alias("whole"))
+            found = materialise(dealt.groupBy("key", "piece").applyInPandas(root_of, "id long, root long, gid long, free boolean, key long, whole boolean"), "groups")
+            links = _union(links, found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+            if turn == 0:
+                gids = _union(gids, found.where("free").select("id", "gid"))
             roots = found.where("id = root and not whole")
             left = roots.groupBy("key").agg(F.count(F.lit(1)).alias("left"))
             again = left.join(counted, "key").where("left > 1 and left < 0.9 * docs")
             counted = materialise(again.select("key", F.col("left").alias("docs"), F.ceil(F.col("grams_in") * F.col("left") / F.col("docs")).alias("grams_in")), "keys")
-            active = active.join(roots.select("id", "key"), ["id", "key"], "left_semi").select("id", "key", "grams")
+            active = active.join(roots.select("id", "key"), ["id", "key"], "left_semi").select("id", "key", "grams", F.lit(True).alias("grouped"))
     return None if links is None else (gids, links)
 
 
@@ -256,36 +275,48 @@ def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
 
 
 def _may_reach(threshold: Threshold) -> Column:
-    """Whether `both` n-grams that a query of size n shares with a group on prefixes leave a similar member possible.
+    """Whether `both` n-grams that two groups share on prefixes leave a pair of similar members possible.
 
     Beyond its prefix a set has under s * size n-grams (s = least / scale), so sets of n and m that share `both` on
-    prefixes share under both + s * max(n, m) in all, and similar ones share s / (1 + s) * (n + m) at least. The
-    difference is least at an end of the range of m, which is the group's sizes cut to those that can be similar to n.
+    prefixes share under both + s * max(n, m) in all, and similar ones share s / (1 + s) * (n + m) at least. Over the
+    sizes in the groups the difference is least at their ends, m cut to what can be similar to n.
     """
     s = threshold.least / threshold.scale
-    n, low, high = F.col("n"), F.greatest(F.col("low"), F.col("n") * s), F.least(F.col("high"), F.col("n") / s)
-    lacking = lambda m: (n + m) * (s / (1 + s)) - F.greatest(n, m) * s
-    return F.col("both") + 1e-6 >= F.least(lacking(low), lacking(high))
+
+    def lacking(n: Column, m: Column) -> Column:
+        m = F.least(F.greatest(m, n * s), n / s)
+        return (n + m) * (s / (1 + s)) - F.greatest(n, m) * s
+
+    return F.col("both") + 1e-6 >= F.least(*[lacking(F.col(n), F.col(m)) for n in ("a_min", "a_max") for m in ("b_min", "b_max")])
+
+
+def _links_between(a: list[tuple[int, np.ndarray]], b: list[tuple[int, np.ndarray]], threshold: Threshold) -> list[tuple[int, int]]:
+    """Links that connect what is similar between two groups: the other group's token union bounds each document's
+    overlap, and only documents that reach what they need are compared."""
+    if len(a) == len(b) == 1:
+        (i, x), (j, y) = a[0], b[0]
+        return [(i, j)] if threshold.similar(_overlap(x, y), len(x), len(y)) else []
+    opened = []
+    for group, other in ((a, b), (b, a)):
+        union = np.unique(np.concatenate([grams for _, grams in other]))
+        opened.append([(i, grams) for i, grams in group if _overlap(grams, union) >= threshold.overlap_needed(len(grams))])
+    if not all(opened):
+        return []
+    every = [*opened[0], *opened[1]]
+    root = _roots(*_overlaps([grams for _, grams in every]), threshold.least, threshold.scale)
+    return [(every[k][0], every[r][0]) for k, r in enumerate(root) if k != r]
 
 
 def _verify(pairs: DataFrame, threshold: Threshold) -> DataFrame:
-    """pairs(id, grams, gid, members array<struct<id, grams>>) to links (a, b): the group's token union bounds the
-    overlap with any member; only groups that reach what the query needs are opened, up to the first similar member."""
+    """pairs(a, b: array<struct<id, grams>>), the members of two groups, to links (a, b)."""
+
+    def members(group: pa.Scalar) -> list[tuple[int, np.ndarray]]:
+        return [(m["id"].as_py(), np.frombuffer(m["grams"].as_buffer(), np.uint64)) for m in group]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for doc, grams, members in zip(*(batch.column(c) for c in ("id", "grams", "members"))):
-                query = np.frombuffer(grams.as_buffer(), np.uint64)
-                sets = [(m["id"].as_py(), np.frombuffer(m["grams"].as_buffer(), np.uint64)) for m in members]
-                if len(sets) > 1 and _overlap(query, np.unique(np.concatenate([s for _, s in sets]))) < threshold.overlap_needed(len(query)):
-                    continue
-                for other, grams_of in sets:
-                    if threshold.scale * min(len(query), len(grams_of)) >= threshold.least * max(len(query), len(grams_of)) and threshold.similar(_overlap(query, grams_of), len(query), len(grams_of)):
-                        a.append(doc.as_py())
-                        b.append(other)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            links = [link for a, b in zip(batch.column(0), batch.column(1)) for link in _links_between(members(a), members(b), threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -308,43 +339,40 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _search(docs: DataFrame, reps: DataFrame, groups: tuple[DataFrame, DataFrame] | None, words: int, threshold: Threshold) -> DataFrame:
-    """Links (a, b) between documents that the groups have not connected: every such pair of components with a
-    similar pair of documents gets one link at least, or is connected through others."""
+    """Links (a, b) beyond those of the groups: with them, all documents are connected that similar pairs connect."""
     spark = docs.sparkSession
     rows = reps.select("id", "n", "digest", "prefix")
     if groups is None:
-        placed = rows.withColumns({"gid": F.col("id"), "comp": F.col("id"), "csize": F.lit(1).cast("long")})
+        placed = rows.withColumns({"gid": F.col("id"), "comp": F.col("id")})
     else:
         gids, links = groups
-        comps = connected_components(links)
-        sizes = comps.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("csize"))
-        known = materialise(comps.join(sizes, F.col("component") == F.col("_c")).select("id", F.col("component").alias("comp"), "csize"), "components")
-        placed = rows.join(gids, "id", "left").join(known, "id", "left").withColumns(
-            {"gid": F.coalesce("gid", "id"), "comp": F.coalesce("comp", "id"), "csize": F.coalesce("csize", F.lit(1).cast("long"))}
-        )
+        comps = materialise(connected_components(links).withColumnRenamed("component", "comp"), "components")
+        placed = rows.join(gids, "id", "left").join(comps, "id", "left").withColumns({"gid": F.coalesce("gid", "id"), "comp": F.coalesce("comp", "id")})
     placed = materialise(placed, "placed")
     release(spark)
     # N-grams found in the prefixes of two components at least.
     tokens = placed.select(F.explode("prefix").alias("gram"), "comp").groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     tokens = materialise(tokens.select("gram"), "grams")
-    postings = placed.select(F.explode("prefix").alias("gram"), "id", "n", "gid", "comp", "csize")
-    postings = materialise(postings.join(tokens, "gram"), "postings")
-    release(spark)
     # The token-group matrix, on prefixes: a row for each n-gram and group.
-    matrix = postings.groupBy("gram", "gid", "comp", "csize").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    q, g = postings.select("gram", "id", "n", "comp", "csize").alias("q"), matrix.alias("g")
-    smaller = (F.col("q.csize") < F.col("g.csize")) | ((F.col("q.csize") == F.col("g.csize")) & (F.col("q.comp") < F.col("g.comp")))
-    fits = (F.col("g.n_min") * threshold.least <= F.col("q.n") * threshold.scale) & (F.col("q.n") * threshold.least <= F.col("g.n_max") * threshold.scale)
-    matched = q.join(g, (F.col("q.gram") == F.col("g.gram")) & (F.col("q.comp") != F.col("g.comp")) & smaller & fits)
-    matched = matched.groupBy("q.id", "q.n", "g.gid").agg(F.count(F.lit(1)).alias("both"), F.min("g.n_min").alias("low"), F.max("g.n_max").alias("high"))
-    candidates = materialise(matched.where(_may_reach(threshold)).select("id", "gid"), "candidates")
-    members = placed.select("id", "digest", "gid").join(candidates.select("gid").distinct(), "gid")
-    wanted = members.select("id", "digest").unionByName(placed.select("id", "digest").join(candidates.select("id").distinct(), "id")).distinct()
-    wanted = materialise(wanted, "wanted")
-    sets = materialise(_sets_of(docs, wanted, words), "sets")
-    grouped = sets.join(members.select("id", "gid"), "id").groupBy("gid").agg(F.collect_list(F.struct("id", "grams")).alias("members"))
-    queries = candidates.join(sets.select("id", "grams"), "id")
-    return materialise(_verify(queries.join(grouped, "gid").select("id", "grams", "members"), threshold), "links")
+    cells = placed.select(F.explode("prefix").alias("gram"), "n", "gid", "comp").join(tokens, "gram").groupBy("gram", "gid")
+    matrix = materialise(cells.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high")), "matrix")
+    release(spark)
+    a, b = matrix.alias("a"), matrix.alias("b")
+    apart = (F.col("a.low") != F.col("b.low")) | (F.col("a.high") != F.col("b.high")) | (F.col("a.low") != F.col("a.high"))
+    fits = (F.col("a.n_min") * threshold.least <= F.col("b.n_max") * threshold.scale) & (F.col("b.n_min") * threshold.least <= F.col("a.n_max") * threshold.scale)
+    shared = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.gid") < F.col("b.gid")) & apart & fits)
+    ends = {f"{side}_{end}": getattr(F, end)(f"{side}.n_{end}") for side in "ab" for end in ("min", "max")}
+    pairs = shared.groupBy(F.col("a.gid").alias("gid"), F.col("b.gid").alias("other")).agg(F.count(F.lit(1)).alias("both"), *[c.alias(n) for n, c in ends.items()])
+    candidates = materialise(pairs.where(_may_reach(threshold)).select("gid", "other"), "candidates")
+    both = candidates.select("gid").unionByName(candidates.select(F.col("other").alias("gid"))).distinct()
+    members = materialise(placed.select("id", "digest", "gid").join(both, "gid"), "wanted")
+    sets = _sets_of(docs, members, words).join(members.select("id", "gid"), "id")
+    grouped = materialise(sets.groupBy("gid").agg(F.collect_list(F.struct("id", "grams")).alias("members")), "members")
+    release(spark)
+    first = candidates.join(grouped.withColumnRenamed("members", "a"), "gid").select("a", F.col("other").alias("gid"))
+    opened = first.join(grouped.withColumnRenamed("members", "b"), "gid").select("a", "b")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return materialise(_verify(opened, threshold), "links")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, scale: int = 100) -> DataFrame:
@@ -352,11 +380,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     words (A-Z lower-cased; a shorter text is one n-gram; a text without words is empty and linked with nothing).
 
     A token-group matrix finds the links. Equal sets are one node. Where many sets share a min-hash key they are
-    grouped ahead, in groups of bounded size, by the matrix of their n-grams. The matrix of all groups, restricted to
-    prefixes (of which similar sets share one), then gives each document the groups that it may be similar to; the
-    union of a group's n-grams bounds the overlap, and only groups that reach it are opened and compared in full.
+    put in groups of bounded size, whose n-gram matrices give the links within. The matrix of all groups (most hold one
+    document), restricted to prefixes, of which similar sets share one, then gives the pairs of groups that may hold
+    similar documents. The n-grams they share there bound the overlap, and so does the union of a group's n-grams for
+    each document of the other; only what reaches the bound is compared in full.
     Prefixes take the rarest n-grams first, by a count sketch of fixed size over all documents, so what many texts share
-    (licence lines, passages) is hardly ever searched. No pairs within a component are made.
+    (licence lines, passages) is hardly ever searched. No pairs of documents within
+    a group are made, nor any between groups that are known to be of one component.
 
     Returns a row per row of docs: id_col, n_shingles, component_id. Rows with a null id take the component of their
     set, null if no row with an id has it; rows of one id count as linked; ids must be integers.
@@ -391,5 +421,5 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs, with all their columns, whose id is their component's; each component keeps one document.
     Rows with a null id have no component of their own and stay."""
     linked = ngram_jaccard_components(docs, id_col, text_col, **options)
-    dropped = materialise(linked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct(), "near-copies")
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    dropped = materialise(linked.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__dropped")).distinct(), "near-copies")
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trajq.session import ship_package
 
-from .common import materialise, release
+from .common import discard, materialise, release
 from .components import connected_components
 from .lm import UNIGRAM, _keys, build_bloom
 
@@ -63,6 +63,19 @@ class Shingler:
         return np.unique(_mix(grams))
 
 
+def _pack(grams: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, in order: enough to compare the few sets that meet in one place, where two of n
+    and m differing n-grams are taken for one with a chance of n * m / 2**48."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpack(packed) -> np.ndarray:
+    upper = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(upper), 8), np.uint8)
+    out[:, 2:] = upper
+    return out.view("<u8").reshape(-1)
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Sets are similar when scale * intersection >= least * union."""
@@ -178,7 +191,7 @@ def _prefixes(docs: DataFrame, words: int, threshold: Threshold, frequency, keys
                 first = grams[np.argpartition(rank, p - 1)[:p]] if p < len(grams) else grams
                 own = _group_keys(grams)
                 whole = any(crowded[i, k & (KEY_CELLS - 1)] >= common for i, k in enumerate(own))
-                row = (doc, len(grams), hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), own, first.view(np.int64), grams.tobytes() if whole else None)
+                row = (doc, len(grams), hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), own, first.view(np.int64), _pack(grams) if whole else None)
                 for column, value in zip(out, row):
                     column.append(value)
             types = (batch.column(0).type, pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
@@ -230,7 +243,7 @@ def _form_groups(reps: DataFrame, threshold: Threshold, most_rounds: int = 8) ->
 
     def root_of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        sets = [np.frombuffer(b, np.uint64) for b in rows["grams"]]
+        sets = [_unpack(b) for b in rows["grams"]]
         ids, free, (sizes, overlaps) = rows["id"].to_numpy(), ~rows["grouped"].to_numpy(bool), _overlaps(sets)
         root = _roots(sizes, overlaps, threshold.least, threshold.scale)
         gid, single = ids.copy(), free.copy()
@@ -311,7 +324,7 @@ def _verify(pairs: DataFrame, threshold: Threshold) -> DataFrame:
     """pairs(a, b: array<struct<id, grams>>), the members of two groups, to links (a, b)."""
 
     def members(group: pa.Scalar) -> list[tuple[int, np.ndarray]]:
-        return [(m["id"].as_py(), np.frombuffer(m["grams"].as_buffer(), np.uint64)) for m in group]
+        return [(m["id"].as_py(), _unpack(m["grams"].as_buffer())) for m in group]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +335,7 @@ def _verify(pairs: DataFrame, threshold: Threshold) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The sets of the wanted(id, digest): a third pass that a small filter of their ids thins before any shuffle."""
+    """The wanted(id, digest, gid) with their sets: a third pass that a small filter of their ids thins before any shuffle."""
     items = wanted.select(F.lit(UNIGRAM).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(1).cast("long").alias("c"))
     bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(items, 1 << 20, 3))
 
@@ -333,9 +346,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             hit = bloom.value.levels(_keys(UNIGRAM, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))) > 0
             batch = batch.filter(pa.array(hit))
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "digest", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([_pack(s) for s in sets], pa.binary())], ["id", "digest", "grams"])
 
-    return docs.mapInArrow(run, "id long, digest binary, grams binary").join(wanted.select("id", "digest"), ["id", "digest"]).dropDuplicates(["id"])
+    return docs.mapInArrow(run, "id long, digest binary, grams binary").dropDuplicates(["id", "digest"]).join(wanted, ["id", "digest"])
 
 
 def _search(docs: DataFrame, reps: DataFrame, groups: tuple[DataFrame, DataFrame] | None, words: int, threshold: Threshold) -> DataFrame:
@@ -349,6 +362,7 @@ def _search(docs: DataFrame, reps: DataFrame, groups: tuple[DataFrame, DataFrame
         comps = materialise(connected_components(links).withColumnRenamed("component", "comp"), "components")
         placed = rows.join(gids, "id", "left").join(comps, "id", "left").withColumns({"gid": F.coalesce("gid", "id"), "comp": F.coalesce("comp", "id")})
     placed = materialise(placed, "placed")
+    discard(reps)
     release(spark)
     # N-grams found in the prefixes of two components at least.
     tokens = placed.select(F.explode("prefix").alias("gram"), "comp").groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
@@ -366,8 +380,11 @@ def _search(docs: DataFrame, reps: DataFrame, groups: tuple[DataFrame, DataFrame
     candidates = materialise(pairs.where(_may_reach(threshold)).select("gid", "other"), "candidates")
     both = candidates.select("gid").unionByName(candidates.select(F.col("other").alias("gid"))).distinct()
     members = materialise(placed.select("id", "digest", "gid").join(both, "gid"), "wanted")
-    sets = _sets_of(docs, members, words).join(members.select("id", "gid"), "id")
-    grouped = materialise(sets.groupBy("gid").agg(F.collect_list(F.struct("id", "grams")).alias("members")), "members")
+    for table in (placed, matrix):
+        discard(table)
+    # Written before they are grouped: the two joins below then share one shuffle by group.
+    sets = materialise(_sets_of(docs, members, words), "sets")
+    grouped = sets.groupBy("gid").agg(F.collect_list(F.struct("id", "grams")).alias("members"))
     release(spark)
     first = candidates.join(grouped.withColumnRenamed("members", "a"), "gid").select("a", F.col("other").alias("gid"))
     opened = first.join(grouped.withColumnRenamed("members", "b"), "gid").select("a", "b")

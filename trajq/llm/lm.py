@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trajq.session import ship_package
 
-from .common import materialise, shuffle_partitions
+from .common import materialise, release
 from .toxicity import crc_remainder
 
 #: The end token; no word holds white space.
@@ -26,8 +27,12 @@ END = "\n"
 #: Counts are quantised to powers of the square root of 2.
 STEPS = 2.0
 MOST_LEVELS = 128
-UNIGRAM, BIGRAM, CONTEXT = 1, 2, 3
+UNIGRAM, BIGRAM = 1, 2
 BLOCK = 1 << 16
+#: Characters of text that are probed together, unless one text has more.
+CHUNK = 1 << 21
+#: Tokens of the training rows for each part of the filter.
+PART_TOKENS = 1 << 17
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -60,6 +65,11 @@ def _keys(kind: int, ids: np.ndarray) -> np.ndarray:
     return _mix(ids.astype(np.uint64) + np.uint64(kind * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the filter that a key belongs to; grows with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
 @dataclass(frozen=True)
 class LogFrequencyBloom:
     """An item of level q is stored as (item, 1) ... (item, q); its level is read by probing upwards until one misses."""
@@ -94,6 +104,23 @@ class LogFrequencyBloom:
         return out
 
 
+@dataclass(frozen=True)
+class PartedBloom(LogFrequencyBloom):
+    """The bits of one filter for each part of the keys, one after another; filter i has the bits starts[i] to starts[i + 1]."""
+
+    starts: np.ndarray
+
+    @staticmethod
+    def of(filters: list[bytes], hashes: int) -> PartedBloom:
+        starts = np.cumsum([0, *(8 * len(f) for f in filters)]).astype(np.uint64)
+        return PartedBloom(np.frombuffer(b"".join(filters), np.uint8).copy(), hashes, starts)
+
+    def _at(self, keys: np.ndarray, level: int, i: int) -> np.ndarray:
+        part = _part(keys, len(self.starts) - 1).astype(np.int64)
+        first = self.starts[part]
+        return first + ((_mix(keys + np.uint64(level * 0x632BE5AB + i * 0x85EBCA77)) >> np.uint64(32)) * (self.starts[part + 1] - first) >> np.uint64(32))
+
+
 def _or_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(BLOCK, np.uint8)
     for packed in rows["bits"]:
@@ -109,7 +136,7 @@ def build_bloom(items: DataFrame, n_bytes: int, hashes: int) -> LogFrequencyBloo
         bloom = LogFrequencyBloom(np.zeros(n_bytes, np.uint8), hashes)
         for batch in batches:
             kind, ids, counts = (batch.column(i).to_numpy() for i in range(3))
-            for k in (UNIGRAM, BIGRAM, CONTEXT):
+            for k in (UNIGRAM, BIGRAM):
                 bloom.add(_keys(k, ids[kind == k].view(np.uint64)), _level(counts[kind == k]))
         blocks = bloom.bits.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
@@ -130,6 +157,26 @@ def _ids(tokens: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
 
 
+def ngrams(tokens: list[bytes], cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens and of each with the one before it; the end token precedes the first."""
+    ids = _ids(tokens, cache)
+    before = np.concatenate((_ids([END.encode()], cache), ids[:-1]))
+    return ids, _mix(_mix(before) + ids)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row (part, keys, counts) for each part that the keys lie in."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    at = _part(keys, parts).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(at, prepend=-1))
+    ends = [*cuts[1:], len(keys)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(at[cuts]), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
+        ["part", "keys", "counts"],
+    )
+
+
 def score_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -144,10 +191,15 @@ def score_documents(
 ) -> DataFrame:
     """Score every text by a bigram model learnt from the rows whose crc32(id) mod `modulus` is not `held`.
 
-    All tokens of the training rows are counted. The filter of bloom_bytes holds the quantised counts of words and of
-    word pairs (both words among the context_words most frequent), from the count level upwards at which they fit.
-    With c read from it, a pair's probability is c(v, w)/(c(v) + kappa) plus the mass that v's stored pairs leave,
-    times the word's own probability; a word that the filter lacks has the mean count of those left out.
+    All tokens and all pairs of successive tokens of the training rows are counted, and the quantised counts of all are
+    stored in a filter. It has a part for each PART_TOKENS tokens, and each part the bits that its n-grams take at half of
+    them set, so it grows with the input. A filter of up to bloom_bytes is broadcast; a larger one stays dealt out by
+    part, and the distinct n-grams of each chunk of texts are sent to their parts and the levels back. Scores are the
+    same either way.
+
+    With c read from the filter, a pair's probability is (c(v, w) + kappa * p(w)) / (c(v) + kappa), p(w) being the
+    word's own. Two of n pairs share a 64-bit hash with a chance of n^2 / 2^65. context_words has no effect: it was a
+    limit on the words whose pairs were counted.
 
     base_score is exact: the counts of the `frequent` commonest tokens are broadcast (a fixed number of rows), the
     rarer tokens of each document are joined with their counts.
@@ -170,106 +222,147 @@ def score_documents(
     counts = materialise(train.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "unigrams")
     n_types, n_tokens = (x or 0 for x in counts.agg(F.count(F.lit(1)), F.sum("c")).first())
     common = {bytes(r.token): r.c for r in counts.orderBy(F.desc("c"), "token").limit(frequent).collect()}
-    vocabulary = {t: i for i, t in enumerate(list(common)[:context_words])}
-    width = len(vocabulary) + 1
-    shared = spark.sparkContext.broadcast((common, vocabulary))
-
-    def pair_ids(tokens: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-        """v * width + w for each token w after v (the end token before the first), -1 unless both are in the vocabulary."""
-        ids = np.fromiter((vocabulary.get(t, -1) for t in tokens), np.int64, len(tokens))
-        before = np.concatenate(([vocabulary.get(END.encode(), -1)], ids[:-1]))
-        return np.where((ids >= 0) & (before >= 0), before * width + ids, -1)
+    shared = spark.sparkContext.broadcast(common)
+    parts = 1 + n_tokens // PART_TOKENS
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, vocabulary = shared.value
-        for batch in batches:
-            found = [pair_ids(tokens_of(t), vocabulary) for t in batch.column(0).to_pylist()]
-            ids, n = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[ids >= 0]), pa.array(n[ids >= 0], pa.int64())], ["id", "c"])
-
-    pairs = materialise(train.mapInArrow(count_pairs, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")), "pairs")
-
-    # The lowest level from which upwards everything fits in the filter at half its bits set.
-    level = F.floor(F.log2("c") * STEPS + 1e-9) + 1
-    histogram = {r[0]: r[1] for r in counts.select(level.alias("q")).unionByName(pairs.select(level.alias("q"))).groupBy("q").count().collect()}
-    room, least = bloom_bytes * 8 * math.log(2) / hashes, 1
-    while sum(q * n for q, n in histogram.items() if q >= least) > room:
-        least += 1
-    kept_pairs = pairs.where(level >= least)
-    contexts = kept_pairs.groupBy(F.floor(F.col("id") / width).alias("id")).agg(F.sum("c").alias("c"))
-    low_types, low_mass = (x or 0 for x in counts.where(level < least).agg(F.count(F.lit(1)), F.sum("c")).first())
-
-    def hash_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
         for batch in batches:
-            ids = np.array([xxhash.xxh64_intdigest(t) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1)], ["id", "c"])
-
-    items = counts.where(level >= least).mapInArrow(hash_tokens, "id long, c long").select(F.lit(UNIGRAM).alias("kind"), "id", "c")
-    for kind, more in ((BIGRAM, kept_pairs), (CONTEXT, contexts)):
-        items = items.unionByName(more.select(F.lit(kind).alias("kind"), "id", "c"))
-    bloom = spark.sparkContext.broadcast(build_bloom(items, bloom_bytes, hashes))
+            found = [np.zeros(0, np.uint64)]
+            for first in range(0, batch.num_rows, 256):  # a text's end token precedes the next text
+                found.append(ngrams([t for text in batch.column(0).slice(first, 256).to_pylist() for t in tokens_of(text)], cache)[1])
+            pairs, n = np.unique(np.concatenate(found), return_counts=True)
+            yield _packed(_keys(BIGRAM, pairs), n, parts)
 
+    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array([xxhash.xxh64_intdigest(t) for t in batch.column(0).to_pylist()], np.uint64)
+            yield _packed(_keys(UNIGRAM, ids), batch.column(1).to_numpy(), parts)
+
+    def fill(rows: pa.Table) -> pa.Table:
+        """The filter of a part, of a size that its n-grams fill to half the bits."""
+        packed, n = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+        keys, which = np.unique(packed, return_inverse=True)
+        levels = _level(np.bincount(which, n))
+        empty = bytes(8 * math.ceil(levels.sum() * hashes / math.log(2) / 64))
+        bloom = PartedBloom.of([empty], hashes)
+        bloom.add(keys, levels)
+        return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([bloom.bits.tobytes()], pa.binary())})
+
+    packed = "part long, keys binary, counts binary"
+    items = train.mapInArrow(count_pairs, packed).unionByName(counts.mapInArrow(pack_words, packed))
+    filled = materialise(items.groupBy("part").applyInArrow(fill, "part long, bits binary"), "filter")
+    release(spark)
     whole = n_tokens + 0.5 * (n_types + 1)
     unseen = math.log10(0.5 / whole)
-    absent = low_mass / low_types / 2 if low_types else 0.5
-
-    def log_probability(tokens: list[bytes], filter_: LogFrequencyBloom, vocabulary: dict[bytes, int], cache: dict[bytes, int]) -> np.ndarray:
-        def counts_of(kind: int, ids: np.ndarray) -> np.ndarray:
-            distinct, which = np.unique(ids, return_inverse=True)
-            return VALUES[filter_.levels(_keys(kind, distinct))][which]
-
-        words = counts_of(UNIGRAM, _ids(tokens, cache))
-        p = np.where(words > 0, words + 0.5, absent) / whole
-        pair = pair_ids(tokens, vocabulary)
-        at = np.flatnonzero(pair >= 0)
-        if len(at):
-            both = counts_of(BIGRAM, pair[at])
-            stored = counts_of(CONTEXT, pair[at] // width)
-            first = np.maximum(np.where(at > 0, words[at - 1], words[-1]), stored)
-            p[at] = np.minimum(both, stored) / (first + kappa) + (first - stored + kappa) / (first + kappa) * p[at]
+
+    def log_probability(tokens: list[bytes], levels_of: Callable[[np.ndarray], np.ndarray], cache: dict[bytes, int]) -> np.ndarray:
+        def counts_of(keys: np.ndarray) -> np.ndarray:
+            distinct, which = np.unique(keys, return_inverse=True)
+            return VALUES[levels_of(distinct)][which]
+
+        ids, pairs = ngrams(tokens, cache)
+        words = counts_of(_keys(UNIGRAM, np.concatenate((_ids([END.encode()], cache), ids))))
+        both, first = counts_of(_keys(BIGRAM, pairs)), words[:-1]
+        p = (np.minimum(both, first) + kappa * (words[1:] + 0.5) / whole) / (first + kappa)
         return np.log10(np.minimum(p, 1.0))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (common, vocabulary), filter_, cache = shared.value, bloom.value, {}
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            rare: list[tuple[int, bytes, int]] = []
-            texts = batch.column(1).to_pylist()
-            for first in range(0, len(texts), 256):  # so many texts share their probes
-                tokenised = [tokens_of(t) for t in texts[first : first + 256]]
-                flat = [t for tokens in tokenised for t in tokens]
-                logs = log_probability(flat, filter_, vocabulary, cache)
-                at = 0
-                for tokens in tokenised:
-                    known, base, others = 0, 0.0, 0
-                    for token, k in Counter(tokens).items():
-                        if c := common.get(token):
-                            known, base = known + k, base + k * math.log10((c + 0.5) / whole)
-                        else:
-                            rare.append((row, token, k))
-                            others += k
-                    for column, value in zip(out, (row, len(tokens), known, base, others, float(logs[at : at + len(tokens)].sum()))):
-                        column.append(value)
-                    at, row = at + len(tokens), row + 1
-            n, blank = len(texts), len(rare)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column(0), pa.nulls(blank, batch.column(0).type)]),
-                    pa.concat_arrays([batch.column(2), pa.nulls(blank, pa.bool_())]),
-                    pa.array([*out[0], *(r for r, _, _ in rare)], pa.int64()),
-                    pa.array([*out[1], *[None] * blank], pa.int64()),
-                    pa.array([*out[2], *[None] * blank], pa.int64()),
-                    pa.array([*out[3], *[None] * blank], pa.float64()),
-                    pa.array([*out[4], *(k for _, _, k in rare)], pa.int64()),
-                    pa.array([*out[5], *[None] * blank], pa.float64()),
-                    pa.array([*[None] * n, *(t for _, t, _ in rare)], pa.binary()),
-                ],
-                ["id", "held_out", "row", "n_tokens", "n_known", "base", "k", "score", "token"],
-            )
+    def scores_of(ids: pa.Array, held_out: pa.Array, numbers: list[int], texts: list[str | None], levels_of: Callable[[np.ndarray], np.ndarray], cache: dict[bytes, int]) -> pa.RecordBatch:
+        common = shared.value
+        out: list[list] = [[] for _ in range(6)]
+        rare: list[tuple[int, bytes, int]] = []
+        for first in range(0, len(texts), 256):  # so many texts share their probes
+            tokenised = [tokens_of(t) for t in texts[first : first + 256]]
+            logs = log_probability([t for tokens in tokenised for t in tokens], levels_of, cache)
+            at = 0
+            for row, tokens in zip(numbers[first : first + 256], tokenised):
+                known, base, others = 0, 0.0, 0
+                for token, k in Counter(tokens).items():
+                    if c := common.get(token):
+                        known, base = known + k, base + k * math.log10((c + 0.5) / whole)
+                    else:
+                        rare.append((row, token, k))
+                        others += k
+                for column, value in zip(out, (row, len(tokens), known, base, others, float(logs[at : at + len(tokens)].sum()))):
+                    column.append(value)
+                at += len(tokens)
+        n, blank = len(texts), len(rare)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([ids, pa.nulls(blank, ids.type)]),
+                pa.concat_arrays([held_out, pa.nulls(blank, pa.bool_())]),
+                pa.array([*out[0], *(r for r, _, _ in rare)], pa.int64()),
+                pa.array([*out[1], *[None] * blank], pa.int64()),
+                pa.array([*out[2], *[None] * blank], pa.int64()),
+                pa.array([*out[3], *[None] * blank], pa.float64()),
+                pa.array([*out[4], *(k for _, _, k in rare)], pa.int64()),
+                pa.array([*out[5], *[None] * blank], pa.float64()),
+                pa.array([*[None] * n, *(t for _, t, _ in rare)], pa.binary()),
+            ],
+            ["id", "held_out", "row", "n_tokens", "n_known", "base", "k", "score", "token"],
+        )
 
     kind = dict(rows.dtypes)[id_col]
-    scored = rows.mapInArrow(score, f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, k long, score double, token binary")
+    schema = f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, k long, score double, token binary"
+
+    def score_broadcast() -> DataFrame:
+        filters = {r.part: bytes(r.bits) for r in filled.collect()}
+        bloom = spark.sparkContext.broadcast(PartedBloom.of([filters.get(i, bytes(8)) for i in range(parts)], hashes))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filter_, cache = bloom.value, {}
+            row = TaskContext.get().partitionId() << 40
+            for batch in batches:
+                for first in range(0, batch.num_rows, 2048):
+                    some = batch.slice(first, 2048)
+                    yield scores_of(some.column(0), some.column(2), list(range(row, row + some.num_rows)), some.column(1).to_pylist(), filter_.levels, cache)
+                    row += some.num_rows
+
+        return rows.mapInArrow(score, schema)
+
+    def distinct_keys(texts: list[str | None], cache: dict[bytes, int]) -> np.ndarray:
+        found = [_keys(UNIGRAM, _ids([END.encode()], cache))]
+        for first in range(0, len(texts), 256):
+            ids, pairs = ngrams([t for text in texts[first : first + 256] for t in tokens_of(text)], cache)
+            found += [np.unique(_keys(UNIGRAM, ids)), np.unique(_keys(BIGRAM, pairs))]
+        return np.unique(np.concatenate(found))
+
+    def score_dealt() -> DataFrame:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            row = TaskContext.get().partitionId() << 40
+            for batch in batches:
+                ends = np.cumsum(pc.utf8_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
+                chunk = ends // CHUNK
+                chunk = row + np.searchsorted(chunk, chunk)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk), batch.column(0), batch.column(2), pa.array(np.arange(row, row + batch.num_rows)), batch.column(1)], ["chunk", "id", "held_out", "row", "text"])
+                row += batch.num_rows
+
+        def ask(some: pa.Table) -> pa.Table:
+            """For each part of the filter, the chunk's keys in it, in order."""
+            keys = distinct_keys(some.column("text").to_pylist(), {})
+            asked = _packed(keys, np.zeros(len(keys)), parts)
+            return pa.table({"chunk": pa.array([some.column("chunk")[0].as_py()] * asked.num_rows, pa.int64()), "part": asked.column(0), "keys": asked.column(1)})
+
+        def answer(asked: pa.Table, stored: pa.Table) -> pa.Table:
+            bloom = PartedBloom.of([stored.column("bits")[0].as_py() if stored.num_rows else bytes(8)], hashes)
+            levels = [bloom.levels(np.frombuffer(k, np.uint64)).astype(np.uint8).tobytes() for k in asked.column("keys").to_pylist()]
+            return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "levels": pa.array(levels, pa.binary())})
+
+        def score(some: pa.Table, answers: pa.Table) -> pa.Table:
+            cache: dict[bytes, int] = {}
+            texts = some.column("text").to_pylist()
+            keys = distinct_keys(texts, cache)
+            levels = np.frombuffer(b"".join(answers.sort_by("part").column("levels").to_pylist()), np.uint8).astype(np.int64)
+            ids, held_out = (some.column(c).combine_chunks() for c in ("id", "held_out"))
+            return pa.Table.from_batches([scores_of(ids, held_out, some.column("row").to_pylist(), texts, lambda k: levels[np.searchsorted(keys, k)], cache)])
+
+        texts = materialise(rows.mapInArrow(cut, f"chunk long, id {kind}, held_out boolean, row long, text string"), "chunks").groupBy("chunk")
+        asked = texts.applyInArrow(ask, "chunk long, part long, keys binary").groupBy("part")
+        answers = asked.cogroup(filled.groupBy("part")).applyInArrow(answer, "chunk long, part long, levels binary")
+        return texts.cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
+
+    n_bytes = filled.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    scored = score_broadcast() if n_bytes <= bloom_bytes else score_dealt()
     scored = materialise(scored, "scores")
     documents = scored.where("token is null").drop("token")
     matched = (

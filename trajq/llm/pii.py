@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 # The forms that are looked for, tried in this order. All are bounded or possessive, so that a search
 # takes time in proportion to the text.
 SECRET = r"(?i:token|secret|api[_-]?key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Za-z_\-]{16,256}+"
-EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
-PHONE = r"\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"
-CARD = r"(?<!\d)(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{13,19}+)(?!\d)"
+EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]{1,64}+@[\p{L}\p{M}0-9\-]{1,63}(?:\.[\p{L}\p{M}0-9\-]{1,63}){1,8}"
+PHONE = (
+    r"\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"
+    r"|(?<![\d+])\+\d{1,3}(?:[ .\-]?(?!\d{4}-\d{2}-\d{2}(?!\d))\(?\d\)?){6,13}(?!\d)"
+    r"|(?<![\p{L}\d.\-+(/])\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}(?![\d\-/]|\.\d)"
+    r"|(?<![\p{L}\d.\-+(/])\d{3}([ .\-])\d{3}\1\d{4}(?![\d\-/]|\.\d)"
+)
+CARD = r"(?<!\d)(?:\d{4}([ \-])\d{4}\2\d{4}\2\d{4}|\d{4}([ \-])\d{6}\3\d{5}|\d{13,19}+)(?!\d)"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d\-/]|\.\d)"
 ANY = "|".join((SECRET, EMAIL, PHONE, CARD, IPV4, DATE))
@@ -79,7 +84,7 @@ def _card(match: Column, key: str) -> Column:
 
 
 def _phone(match: Column, key: str) -> Column:
-    head = F.regexp_extract(match, r"^\+\d{1,3}[ .\-]?", 0)
+    head = F.regexp_extract(match, r"^(?:\+\d{1,3}(?=[ .(\-])|\+\d)?[ .\-]?", 0)
     rest = F.substring(match, F.char_length(head) + 1, F.char_length(match))
     return F.concat(head, refill(rest, permute_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
 
@@ -91,16 +96,21 @@ def _ip(match: Column, key: str) -> Column:
 
 
 def _as_date(match: Column) -> Column:
-    return F.regexp_replace(match, r"^(\d{2})[./](\d{2})[./](\d{4})$", "$3-$2-$1").try_cast("date")
+    """Day first; with slashes, month first if day first is no date."""
+    day_first = F.regexp_replace(match, r"^(\d{2})[./](\d{2})[./](\d{4})$", "$3-$2-$1").try_cast("date")
+    return F.coalesce(day_first, F.regexp_replace(match, r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$1-$2").try_cast("date"))
 
 
 def _date(match: Column, key: str) -> Column:
-    """Within 270 x 271 numbers, 121 more than there are days; a result beyond the days is permuted again."""
+    """Within 270 x 271 numbers, 121 more than there are days; a result beyond the days is permuted again.
+    So is one with a day up to 12 of a month-first date, as it would read as another day-first date."""
+    month_first = match.contains("/") & (F.substring(match, 4, 2).cast("int") > 12)
+    date_of = lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
     day = F.datediff(_as_date(match), F.lit(FIRST_DAY).cast("date")).cast("long")
     again = lambda x: _let(feistel(F.floor(x / 271), x % 271, F.lit(270), F.lit(271), key, "date"), lambda s: s["l"] * 271 + s["r"])
-    mixed = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.struct(day.alias("x"), F.lit(True).alias("go")), lambda s, i: _let(F.when(s["go"], again(s["x"])).otherwise(s["x"]), lambda y: F.struct(y.alias("x"), (y >= N_DAYS).alias("go"))))
-    out = F.date_add(F.lit(FIRST_DAY).cast("date"), mixed["x"].cast("int"))
-    return F.when(match.contains("-"), F.date_format(out, "yyyy-MM-dd")).when(match.contains("/"), F.date_format(out, "dd/MM/yyyy")).otherwise(F.date_format(out, "dd.MM.yyyy"))
+    mixed = F.aggregate(F.sequence(F.lit(0), F.lit(47)), F.struct(day.alias("x"), F.lit(True).alias("go")), lambda s, i: _let(F.when(s["go"], again(s["x"])).otherwise(s["x"]), lambda y: F.struct(y.alias("x"), ((y >= N_DAYS) | (month_first & (F.dayofmonth(date_of(y)) <= 12))).alias("go"))))
+    out = date_of(mixed["x"])
+    return F.when(match.contains("-"), F.date_format(out, "yyyy-MM-dd")).when(month_first, F.date_format(out, "MM/dd/yyyy")).when(match.contains("/"), F.date_format(out, "dd/MM/yyyy")).otherwise(F.date_format(out, "dd.MM.yyyy"))
 
 
 def _email(match: Column, key: str) -> Column:
@@ -124,8 +134,8 @@ def _judge(match: Column, key: str) -> Column:
     return (
         F.when(whole(r"(?i:token|secret|api|password).*"), made("secret", _secret(match, key)))
         .when(match.contains("@"), made("email", _email(match, key)))
-        .when(match.startswith("+"), made("phone", _phone(match, key)))
-        .when(whole(r"\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}"), F.when(F.pmod(_luhn_sum(digits), F.lit(10)) == 0, made("card", _card(match, key))))
+        .when(whole(r"\+.*|\(\d{3}\).*|\d{3}[ .\-]\d{3}[ .\-]\d{4}"), F.when(F.char_length(digits).between(8, 16), made("phone", _phone(match, key))).when(~match.startswith("+"), made("phone", _phone(match, key))))
+        .when(whole(r"\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}"), F.when(F.pmod(_luhn_sum(digits), F.lit(10)) == 0, made("card", _card(match, key))))
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"), F.when(octets, made("ip", _ip(match, key))))
         .when((day >= 0) & (day < N_DAYS), made("date", _date(match, key)))
     )
@@ -137,7 +147,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Card numbers (13 to 19 digits that pass the Luhn test), phone numbers, IPv4 addresses and calendar dates are
     permuted by a keyed Feistel network within their format: the pseudonym is a valid value of the same form, distinct
     values stay distinct and equal values equal in every document. E-mail addresses and secrets become keyed digests.
-    Numbers that fail validation are left as they are. A null text stays null with zero counts; existing columns of the
+    Numbers that fail validation are left as they are. Phones are +, a country code and 8 to 16 digits in all in groups, or
+    3-3-4 digits with separators or parentheses; cards are unseparated, 4-4-4-4 or 4-6-5; dates with slashes are read day
+    first, else month first. Not covered: national numbers in other groupings or without separators, cards in other
+    groupings, dates with month names, two-digit years or single digits, years outside 1900 to 2099, IPv6, secrets
+    under 16 characters or not after one of the four words. A null text stays null with zero counts; existing columns of the
     added names are replaced; repeated rows each get a row. The key shows in query plans: pass one made for the job.
     """
     counts = [f"n_{k}" for k in KINDS]

@@ -10,6 +10,8 @@ PHONES = ["(555) 123-4567", "555-123-4567", "555.123.4567", "+1 555 123 4567", "
 CARDS = ["3782 822463 10005", "3782-822463-10005", "4539 5787 6362 1486"]
 DATES = ["12/25/2024", "25/12/2024", "02/29/2024"]
 LEFT = ["10-20-30", "3782 822463 10006", "13/32/2024", "1234567890", "section 555-123-45678", "+12 34"]
+LONG = "aB3-" * 500
+SECRETS = ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N", "abc/def+ghi/jkl+mno/pqr==", LONG, "short.ab/cdefghijklmnop"]
 
 
 def run(spark, texts):
@@ -33,6 +35,15 @@ def test_domains_beyond_ascii(spark):
         assert r.n_email == 1 and "@example.invalid" in r.text and "müller" not in r.text and "пример" not in r.text
 
 
+def test_secrets_are_replaced_to_their_end(spark):
+    for before, r in zip(SECRETS, run(spark, [f'token="{s}" end' for s in SECRETS])):
+        after = re.fullmatch(r'token="(.*)" end', r.text)[1]
+        assert r.n_secret == 1 and len(after) == len(before)
+        assert not {before[i : i + 8] for i in range(len(before) - 7)} & {after[i : i + 8] for i in range(len(after) - 7)}
+
+
 def test_neighbours_of_a_phone(spark):
-    (card,) = run(spark, ["+1 555 123 4567 4539578763621486"])
+    card, link = run(spark, ["+1 555 123 4567 4539578763621486", 'token=abcdefghij.klmnop/qrs. token=abcdefghij.klmnop/qrs'])
     assert (card.n_phone, card.n_card) == (1, 1) and "4539578763621486" not in card.text
+    a, b = link.text.split(". ")
+    assert a == b and link.n_secret == 2

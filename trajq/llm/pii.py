@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The forms that are looked for, tried in this order. All are bounded or possessive, so that a search
 # takes time in proportion to the text.
-SECRET = r"(?i:token|secret|api[_-]?key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Za-z_\-]{16,256}+"
+SECRET = r"(?i:token|secret|api[_-]?key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Za-z_.+/=~\-]{16,}+"
 EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]{1,64}+@[\p{L}\p{M}0-9\-]{1,63}(?:\.[\p{L}\p{M}0-9\-]{1,63}){1,8}"
 PHONE = (
     r"\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"
@@ -118,10 +118,12 @@ def _email(match: Column, key: str) -> Column:
 
 
 def _secret(match: Column, key: str) -> Column:
-    value = F.regexp_extract(match, r"[0-9A-Za-z_\-]+$", 0)
-    head = F.substring(match, F.lit(1), F.char_length(match) - F.char_length(value))
-    fresh = F.substring(F.repeat(_digest(key, "secret", value), F.lit(4)), F.lit(1), F.char_length(value))
-    return F.concat(head, F.when(value == F.upper(value), F.upper(fresh)).otherwise(fresh))
+    head = F.regexp_extract(match, r"^(?i:token|secret|api[_-]?key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?", 0)
+    tail = F.regexp_extract(match, r"\.*$", 0)  # the end of a sentence, not of the value
+    value = F.substring(match, F.char_length(head) + 1, F.char_length(match) - F.char_length(head) - F.char_length(tail))
+    digest = _digest(key, "secret", value)
+    fresh = F.substring(F.repeat(digest, F.ceil(F.char_length(value) / 64).cast("int")), F.lit(1), F.char_length(value))
+    return F.concat(head, F.when(value == F.upper(value), F.upper(fresh)).otherwise(fresh), tail)
 
 
 def _judge(match: Column, key: str) -> Column:

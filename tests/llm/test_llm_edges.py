@@ -139,7 +139,7 @@ def test_lm(spark, odd, empty):
     rows = score_documents(odd).collect()
     assert len(rows) == 12 and all(r.n_tokens >= 1 and r.score <= 0 and r.base_score <= 0 for r in rows)
     assert score_documents(empty).count() == 0
-    few = {(r.doc_id, r.n_tokens, r.n_known): r.base_score for r in score_documents(odd, frequent=2, context_words=2, bloom_bytes=1 << 16).collect()}
+    few = {(r.doc_id, r.n_tokens, r.n_known): r.base_score for r in score_documents(odd, broadcast_bytes=0).collect()}
     assert few == pytest.approx({(r.doc_id, r.n_tokens, r.n_known): r.base_score for r in rows})
 
 

@@ -3,40 +3,38 @@
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajq.session import ship_package
 
-from .common import materialise, release
+from .common import discard, give_back, materialise, release
 from .toxicity import crc_remainder
 
-#: The end token; no word holds white space.
-END = "\n"
 #: Counts are quantised to powers of the square root of 2.
 STEPS = 2.0
 MOST_LEVELS = 128
-UNIGRAM, BIGRAM = 1, 2
-BLOCK = 1 << 16
-#: Characters of text that are probed together, unless one text has more.
-CHUNK = 1 << 21
-#: Tokens of the training rows for each part of the filter.
-PART_TOKENS = 1 << 17
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END.encode()]  # bytes.lower() is A-Z only
+HASHES = 24
+#: Bytes of training text for each part of the filter.
+PART_BYTES = 1 << 23
+#: Characters of text that are counted and scored together, unless one text has more; words whose hashes a task
+#: remembers; bytes of a text that are split into words at once.
+CHUNK, MOST_CACHED, PIECE = 1 << 22, 1 << 15, 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: The end token; no word holds white space.
+END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
+LOW = np.uint64(0xFFFFFFFF)
+HALF = np.uint64(32)
 
 
 def _level(count: np.ndarray) -> np.ndarray:
@@ -44,7 +42,7 @@ def _level(count: np.ndarray) -> np.ndarray:
 
 
 def _level_values() -> np.ndarray:
-    """The mean count of each level; 0 for level 0."""
+    """The mean count of each level, in halves; 0 for level 0."""
     out = [0.0]
     for q in range(1, MOST_LEVELS + 1):
         low, high = math.ceil(2 ** ((q - 1) / STEPS) - 1e-9), math.ceil(2 ** (q / STEPS) - 1e-9) - 1
@@ -61,120 +59,250 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _keys(kind: int, ids: np.ndarray) -> np.ndarray:
-    return _mix(ids.astype(np.uint64) + np.uint64(kind * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-
-
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of the filter that a key belongs to; grows with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+class LogFrequencyBloom:
+    """An item of level q is stored as (item, 1) ... (item, q); its level is read by probing upwards until one misses.
+    Its bits are half set, so an item that was never stored is taken for one with a chance of 2 ** -HASHES."""
 
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits  # one boolean a bit while in memory
 
-@dataclass(frozen=True)
-class LogFrequencyBloom:
-    """An item of level q is stored as (item, 1) ... (item, q); its level is read by probing upwards until one misses."""
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: np.ndarray) -> LogFrequencyBloom:
+        """A filter of a size that these items fill to half the bits."""
+        out = cls(np.zeros(64 * max(1, math.ceil(HASHES * int(levels.sum()) / math.log(2) / 64)), bool))
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            keys, levels = keys[levels >= level], levels[levels >= level]
+            for i in range(HASHES):
+                out.bits[out._at(keys, level, i)] = True
+        return out
 
-    bits: np.ndarray
-    hashes: int
+    def packed(self) -> bytes:
+        return np.packbits(self.bits).tobytes()
 
-    @property
-    def size(self) -> int:
-        return len(self.bits) * 8
+    @classmethod
+    def unpacked(cls, packed: bytes) -> LogFrequencyBloom:
+        return cls(np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool))
 
     def _at(self, keys: np.ndarray, level: int, i: int) -> np.ndarray:
-        return _mix(keys + np.uint64(level * 0x632BE5AB + i * 0x85EBCA77)) & np.uint64(self.size - 1)
-
-    def add(self, keys: np.ndarray, levels: np.ndarray) -> None:
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            keys, levels = keys[levels >= level], levels[levels >= level]
-            for i in range(self.hashes):
-                at = self._at(keys, level, i)
-                np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        return (((_mix(keys + np.uint64(level * 0x632BE5AB + i * 0x85EBCA77)) >> HALF) * np.uint64(len(self.bits))) >> HALF).astype(np.int64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
+        out, live = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for level in range(1, MOST_LEVELS + 1):
-            for i in range(self.hashes):
-                at = self._at(keys[live], level, i)
-                live = live[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            for i in range(HASHES):
+                live = live[self.bits[self._at(keys[live], level, i)]]
             if not len(live):
                 break
             out[live] = level
         return out
 
 
-@dataclass(frozen=True)
-class PartedBloom(LogFrequencyBloom):
-    """The bits of one filter for each part of the keys, one after another; filter i has the bits starts[i] to starts[i + 1]."""
+class WordIds:
+    """Texts to 64-bit hashes of their tokens: words between ASCII white space, A-Z lower-cased, then the end token."""
 
-    starts: np.ndarray
+    def __init__(self):
+        self.cache: dict[bytes, int] = {}
 
-    @staticmethod
-    def of(filters: list[bytes], hashes: int) -> PartedBloom:
-        starts = np.cumsum([0, *(8 * len(f) for f in filters)]).astype(np.uint64)
-        return PartedBloom(np.frombuffer(b"".join(filters), np.uint8).copy(), hashes, starts)
+    def __call__(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and each text's number of tokens."""
+        found, lengths, cache = [np.zeros(0, np.uint64)], [], self.cache
+        for text in texts:
+            data, at, n = (text or "").encode("utf-8", "surrogatepass").lower(), 0, 1  # bytes.lower() is A-Z only
+            while at < len(data):
+                space = SPACE.search(data, at + PIECE)
+                end = space.start() if space else len(data)
+                words = data[at:end].split()
+                if len(cache) > MOST_CACHED:
+                    cache.clear()
+                for w in set(words).difference(cache):
+                    cache[w] = xxhash.xxh64_intdigest(w)
+                found.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+                at, n = end, n + len(words)
+            found.append(np.full(1, END))
+            lengths.append(n)
+        return np.concatenate(found), np.array(lengths, np.int64)
 
-    def _at(self, keys: np.ndarray, level: int, i: int) -> np.ndarray:
-        part = _part(keys, len(self.starts) - 1).astype(np.int64)
-        first = self.starts[part]
-        return first + ((_mix(keys + np.uint64(level * 0x632BE5AB + i * 0x85EBCA77)) >> np.uint64(32)) * (self.starts[part + 1] - first) >> np.uint64(32))
 
+def context_of(ids: np.ndarray) -> np.ndarray:
+    """A word as a context: the upper half of its id. Words that share it share what follows them."""
+    return ids >> HALF
 
-def _or_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    bits = np.zeros(BLOCK, np.uint8)
-    for packed in rows["bits"]:
-        bits |= np.frombuffer(zlib.decompress(packed), np.uint8)
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [zlib.compress(bits.tobytes(), 1)]})
 
+def pair_keys(contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A hash of both in the upper half, the context in the lower."""
+    return (_mix(_mix(contexts) + ids) & ~LOW) | contexts
 
-def build_bloom(items: DataFrame, n_bytes: int, hashes: int) -> LogFrequencyBloom:
-    """items(kind, id, c) into one filter: each task fills its own, the filters' blocks are OR-ed by a shuffle, and the
-    n_bytes of the result, a parameter whatever the input, come to the driver."""
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = LogFrequencyBloom(np.zeros(n_bytes, np.uint8), hashes)
-        for batch in batches:
-            kind, ids, counts = (batch.column(i).to_numpy() for i in range(3))
-            for k in (UNIGRAM, BIGRAM):
-                bloom.add(_keys(k, ids[kind == k].view(np.uint64)), _level(counts[kind == k]))
-        blocks = bloom.bits.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(blocks[b].tobytes(), 1) for b in used], pa.binary())], ["block", "bits"])
-
-    merged = items.mapInArrow(fill, "block int, bits binary").groupBy("block").applyInPandas(_or_blocks, "block int, bits binary").collect()
-    bits = np.zeros((n_bytes // BLOCK, BLOCK), np.uint8)
-    for row in merged:
-        bits[row.block] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
-    return LogFrequencyBloom(bits.reshape(-1), hashes)
-
-
-def _ids(tokens: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    if len(cache) > 1_000_000:
-        cache.clear()
-    for t in set(tokens).difference(cache):
-        cache[t] = xxhash.xxh64_intdigest(t)
-    return np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-
-
-def ngrams(tokens: list[bytes], cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the tokens and of each with the one before it; the end token precedes the first."""
-    ids = _ids(tokens, cache)
-    before = np.concatenate((_ids([END.encode()], cache), ids[:-1]))
-    return ids, _mix(_mix(before) + ids)
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A row (part, keys, counts) for each part that the keys lie in."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    at = _part(keys, parts).astype(np.int64)
+def _before(ids: np.ndarray) -> np.ndarray:
+    """The token before each; an end token precedes the first one of a text, as the texts lie one after another."""
+    return np.concatenate((np.full(min(1, len(ids)), END), ids[:-1]))
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the filter that a key belongs to; grows with the key. The context of a word is in the word's part."""
+    return (((keys >> HALF) * np.uint64(parts)) >> HALF).astype(np.int64)
+
+
+def _slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """(part, where) of sorted keys."""
+    at = _part(keys, parts)
     cuts = np.flatnonzero(np.diff(at, prepend=-1))
-    ends = [*cuts[1:], len(keys)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(at[cuts]), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
-        ["part", "keys", "counts"],
-    )
+    for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+        yield int(at[a]), slice(int(a), int(b))
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    types = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({n: pa.array([r[i] for r in rows], types[t]) for i, (n, t) in enumerate(fields)})
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def _unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(zstandard.decompress(x) for x in column.to_pylist() if x is not None), kind)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in order: the lower halves as they are, the steps between the upper ones byte by byte, as most are small."""
+    steps = np.diff(keys >> HALF, prepend=np.uint64(0)).astype("<u4")
+    return (keys & LOW).astype("<u4").tobytes() + zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked_keys(packed: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(zstandard.decompress(packed[4 * n :]), np.uint8).reshape(4, n).T.copy().view("<u4").reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64) << HALF | np.frombuffer(packed, "<u4", n)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, which = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(which, values, len(distinct))
+
+
+def _values_at(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 where it is not among the known ones, which are in order."""
+    if not len(known):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, values[at], 0)
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """A part of the filter that holds pairs. excess: for contexts with pairs of inexact levels, what the levels'
+    values have in sum beyond the counts."""
+
+    bloom: LogFrequencyBloom
+    contexts: np.ndarray
+    excess: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Pairs:
+        keys, counts = _summed(keys, counts)
+        levels = _level(counts)
+        over = VALUES[levels] - counts
+        inexact = over != 0
+        return cls(LogFrequencyBloom.of(keys, levels), *_summed(keys[inexact] & LOW, over[inexact]))
+
+
+@dataclass(frozen=True)
+class Words:
+    """A part of the filter that holds words; beside it, their exact counts, and the sum of each context's pairs."""
+
+    bloom: LogFrequencyBloom
+    keys: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    sums: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, excess: np.ndarray) -> Words:
+        """A word is followed by a token as often as it occurs, so its pairs' counts add up to its own."""
+        keys, counts = _summed(keys, counts)
+        both = _summed(np.concatenate((context_of(keys), contexts)), np.concatenate((counts, excess)))
+        return cls(LogFrequencyBloom.of(keys, _level(counts)), keys, counts.astype(np.int64), *both)
+
+    @property
+    def mass(self) -> float:
+        return float(VALUES[self.bloom.levels(self.keys)].sum())
+
+    def answers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.bloom.levels(keys), _values_at(self.keys, self.counts, keys), _values_at(self.contexts, self.sums, context_of(keys))
+
+
+@dataclass(frozen=True)
+class Answers:
+    """What the filter says of a chunk's distinct words and pairs, in order of their keys."""
+
+    levels: np.ndarray
+    counts: np.ndarray
+    sums: np.ndarray
+    pair_levels: np.ndarray
+
+
+def distinct_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with their numbers, in order. The end token is among them: every text has one."""
+    keys, n = np.unique(ids, return_counts=True)
+    return keys, n.astype(np.uint32)
+
+
+def distinct_pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = np.unique(pair_keys(context_of(_before(ids)), ids), return_counts=True)
+    return keys, n.astype(np.uint32)
+
+
+@dataclass(frozen=True)
+class BigramModel:
+    """p(w | v) = (c(v, w) + kappa * p(w)) / (c(v) + kappa) and p(w) = (c(w) + 0.5) / (mass + 0.5 * (types + 1)), the
+    counts of w and of (v, w) being those that the filter gives, c(v) the sum of v's pairs and mass the sum of all words. All
+    words that were not seen share one place with a count of 0, so both sum to 1."""
+
+    tokens: int
+    types: int
+    mass: float
+    kappa: float
+
+    def alone(self, levels: np.ndarray) -> np.ndarray:
+        return (VALUES[levels] + 0.5) / (self.mass + 0.5 * (self.types + 1))
+
+    def score(self, ids: np.ndarray, lengths: np.ndarray, answers: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n_known, base score and score of each text."""
+        words, which = np.unique(ids, return_inverse=True)
+        before = np.concatenate((np.searchsorted(words, np.full(min(1, len(ids)), END)), which[:-1]))
+        pair = np.unique(pair_keys(context_of(_before(ids)), ids), return_inverse=True)[1]
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        base = np.log10((answers.counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+        logs = np.log10((VALUES[answers.pair_levels][pair] + self.kappa * self.alone(answers.levels)[which]) / (answers.sums[before] + self.kappa))
+        total = lambda of_tokens: np.bincount(text, of_tokens, len(lengths))
+        return total((answers.counts > 0)[which]).astype(np.int64), total(base[which]), total(logs)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some successive rows (id, text, held_out) of one fold at a time."""
+    for batch in batches:
+        for fold in (False, True):
+            rows = batch.filter(pc.equal(batch.column(2), fold))
+            ends = np.cumsum(pc.utf8_length(rows.column(1)).fill_null(0).to_numpy().astype(np.int64)) // CHUNK
+            cuts = np.flatnonzero(np.diff(ends, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], rows.num_rows]):
+                yield rows.slice(int(a), int(b - a))
+
+
+def _written_batch(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _read_batch(written: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(written).read_all().combine_chunks().to_batches()[0]
+
+
+TOTALS = "types long, tokens long, mass double"
+COUNTED = "train boolean, keys binary, counts binary"
 
 
 def score_documents(
@@ -183,200 +311,154 @@ def score_documents(
     text_col: str = "text",
     modulus: int = 5,
     held: int = 1,
-    frequent: int = 1 << 17,
-    context_words: int = 1 << 12,
-    bloom_bytes: int = 1 << 23,
-    hashes: int = 4,
+    broadcast_bytes: int = 1 << 22,
     kappa: float = 500.0,
 ) -> DataFrame:
     """Score every text by a bigram model learnt from the rows whose crc32(id) mod `modulus` is not `held`.
 
     All tokens and all pairs of successive tokens of the training rows are counted, and the quantised counts of all are
-    stored in a filter. It has a part for each PART_TOKENS tokens, and each part the bits that its n-grams take at half of
-    them set, so it grows with the input. A filter of up to bloom_bytes is broadcast; a larger one stays dealt out by
-    part, and the distinct n-grams of each chunk of texts are sent to their parts and the levels back. Scores are the
-    same either way.
-
-    With c read from the filter, a pair's probability is (c(v, w) + kappa * p(w)) / (c(v) + kappa), p(w) being the
-    word's own. Two of n pairs share a 64-bit hash with a chance of n^2 / 2^65. context_words has no effect: it was a
-    limit on the words whose pairs were counted.
-
-    base_score is exact: the counts of the `frequent` commonest tokens are broadcast (a fixed number of rows), the
-    rarer tokens of each document are joined with their counts.
-
-    Returns a row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts are
-    empty and have their end token; a null id is in no held-out fold; repeated rows each count and get a row.
+    stored in a log-frequency Bloom filter. Of up to broadcast_bytes of training text, whose filter is at most about 8
+    times that, the filter is one and is broadcast. Beyond, it is dealt into parts of PART_BYTES of text: the distinct n-grams of
+    each chunk of texts are sent to their parts, which are built from those of the training chunks and probed for all,
+    and the levels come back to the chunk. Scores are the same either way. BigramModel states the probabilities, which
+    sum to 1 but for pairs that the filter takes for stored: 2 ** -HASHES of those that are not, and 2 ** -32 times as many as
+    follow the same word. base_score is exact:
+    words' counts are kept beside the filter. Words are told apart by 64-bit hashes: two of n share one with a chance
+    of n^2 / 2^65.
+
+    Returns a row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score. Null and empty
+    texts have their end token alone; a null id is in no held-out fold; repeated rows each count and get a row; an
+    empty table gives no rows; columns other than the two named are not read, so their names can't clash. A long text
+    is one task's work, at some hundred bytes a token.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"), F.coalesce(crc_remainder(F.col(id_col), modulus) == held, F.lit(False)).alias("held_out"))
-    train = rows.where(~F.col("held_out")).select("_text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(crc_remainder(F.col(id_col), modulus) == held, F.lit(False)).alias("held_out"))
+    n_bytes = rows.where(~F.col("held_out")).agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    kind = dict(rows.dtypes)["id"]
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    names = [x.split()[0] for x in schema.split(", ")]
+    if n_bytes <= broadcast_bytes:
+        model, words, pairs = _whole_filter(rows, kappa)
+        shared = spark.sparkContext.broadcast((words, pairs))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word_ids, (words, pairs) = WordIds(), shared.value
+            for some in _chunks(batches):
+                tokens, lengths = word_ids(some.column(1).to_pylist())
+                answers = Answers(*words.answers(distinct_words(tokens)[0]), pairs.bloom.levels(distinct_pairs(tokens)[0]))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(lengths), *map(pa.array, model.score(tokens, lengths, answers))], names)
+
+        scores = rows.mapInArrow(score, schema)
+    else:
+        model, chunks, answers = _dealt_filter(rows, 1 + n_bytes // PART_BYTES, kappa)
+
+        def score_chunk(some: pa.Table, answers: pa.Table) -> pa.Table:
+            answers = answers.sort_by([("pairs", "ascending"), ("part", "ascending")])
+            read = Answers(*(_unpacked(answers.column(c), t) for c, t in (("levels", np.uint8), ("counts", np.int64), ("sums", np.float64), ("pair_levels", np.uint8))))
+            texts = _read_batch(some.column("texts")[0].as_py())
+            tokens, lengths = WordIds()(texts.column(1).to_pylist())
+            out = pa.RecordBatch.from_arrays([texts.column(0), texts.column(2), pa.array(lengths), *map(pa.array, model.score(tokens, lengths, read))], names)
+            give_back()
+            return pa.Table.from_batches([out])
+
+        texts = chunks.select("chunk", "texts").groupBy("chunk")
+        scores = materialise(texts.cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk, schema), "scores")
+        for table in (chunks, answers):
+            discard(table)
+    return scores.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _whole_filter(rows: DataFrame, kappa: float) -> tuple[BigramModel, Words, Pairs]:
+    """The filter of a bounded text, in one task, to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids = WordIds()
+        for some in _chunks(batches):
+            tokens = word_ids(some.column(1).to_pylist())[0]
+            yield _rows(COUNTED, [(i == 0, k.tobytes(), n.tobytes()) for i, (k, n) in enumerate((distinct_words(tokens), distinct_pairs(tokens)))]).to_batches()[0]
+
+    counted = {True: ([], []), False: ([], [])}
+    for row in rows.where(~F.col("held_out")).mapInArrow(count, COUNTED).toLocalIterator():
+        counted[row.train][0].append(np.frombuffer(row["keys"], np.uint64))
+        counted[row.train][1].append(np.frombuffer(row["counts"], np.uint32))
+    whole = {k: (np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.uint32), *counts])) for k, (keys, counts) in counted.items()}
+    pairs = Pairs.of(*whole[False])
+    words = Words.of(*whole[True], pairs.contexts, pairs.excess)
+    return BigramModel(int(words.counts.sum()), len(words.keys), words.mass, kappa), words, pairs
+
+
+def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramModel, DataFrame, DataFrame]:
+    """The model, the chunks of texts, and the filter's answers to each chunk."""
+    asked = "chunk long, part long, train boolean, n long, keys binary, counts binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, word_ids = TaskContext.get().partitionId() << 32, WordIds()
+        for some in _chunks(batches):
+            keys, n = distinct_words(word_ids(some.column(1).to_pylist())[0])
+            row = (chunk, not some.column(2)[0].as_py(), _packed_keys(keys), _packed(n), len(n), _written_batch(some))
+            yield _rows(cuts, [row]).to_batches()[0]
+            chunk += 1
+        give_back()
+
+    def deal(chunk: int, train: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """The chunk's keys, by part; their numbers too if they are to be counted."""
+        return _rows(asked, [(chunk, p, train, s.stop - s.start, _packed_keys(keys[s]), _packed(n[s]) if train else None) for p, s in _slices(keys, parts)]).to_batches()[0]
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids = WordIds()
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
-
-    counts = materialise(train.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "unigrams")
-    n_types, n_tokens = (x or 0 for x in counts.agg(F.count(F.lit(1)), F.sum("c")).first())
-    common = {bytes(r.token): r.c for r in counts.orderBy(F.desc("c"), "token").limit(frequent).collect()}
-    shared = spark.sparkContext.broadcast(common)
-    parts = 1 + n_tokens // PART_TOKENS
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for first in range(0, batch.num_rows, 256):  # a text's end token precedes the next text
-                found.append(ngrams([t for text in batch.column(0).slice(first, 256).to_pylist() for t in tokens_of(text)], cache)[1])
-            pairs, n = np.unique(np.concatenate(found), return_counts=True)
-            yield _packed(_keys(BIGRAM, pairs), n, parts)
+            for chunk, train, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                yield deal(chunk, train, *distinct_pairs(word_ids(_read_batch(texts.as_py()).column(1).to_pylist())[0]))
+        give_back()
 
-    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array([xxhash.xxh64_intdigest(t) for t in batch.column(0).to_pylist()], np.uint64)
-            yield _packed(_keys(UNIGRAM, ids), batch.column(1).to_numpy(), parts)
-
-    def fill(rows: pa.Table) -> pa.Table:
-        """The filter of a part, of a size that its n-grams fill to half the bits."""
-        packed, n = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
-        keys, which = np.unique(packed, return_inverse=True)
-        levels = _level(np.bincount(which, n))
-        empty = bytes(8 * math.ceil(levels.sum() * hashes / math.log(2) / 64))
-        bloom = PartedBloom.of([empty], hashes)
-        bloom.add(keys, levels)
-        return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([bloom.bits.tobytes()], pa.binary())})
-
-    packed = "part long, keys binary, counts binary"
-    items = train.mapInArrow(count_pairs, packed).unionByName(counts.mapInArrow(pack_words, packed))
-    filled = materialise(items.groupBy("part").applyInArrow(fill, "part long, bits binary"), "filter")
-    release(spark)
-    whole = n_tokens + 0.5 * (n_types + 1)
-    unseen = math.log10(0.5 / whole)
-
-    def log_probability(tokens: list[bytes], levels_of: Callable[[np.ndarray], np.ndarray], cache: dict[bytes, int]) -> np.ndarray:
-        def counts_of(keys: np.ndarray) -> np.ndarray:
-            distinct, which = np.unique(keys, return_inverse=True)
-            return VALUES[levels_of(distinct)][which]
-
-        ids, pairs = ngrams(tokens, cache)
-        words = counts_of(_keys(UNIGRAM, np.concatenate((_ids([END.encode()], cache), ids))))
-        both, first = counts_of(_keys(BIGRAM, pairs)), words[:-1]
-        p = (np.minimum(both, first) + kappa * (words[1:] + 0.5) / whole) / (first + kappa)
-        return np.log10(np.minimum(p, 1.0))
-
-    def scores_of(ids: pa.Array, held_out: pa.Array, numbers: list[int], texts: list[str | None], levels_of: Callable[[np.ndarray], np.ndarray], cache: dict[bytes, int]) -> pa.RecordBatch:
-        common = shared.value
-        out: list[list] = [[] for _ in range(6)]
-        rare: list[tuple[int, bytes, int]] = []
-        for first in range(0, len(texts), 256):  # so many texts share their probes
-            tokenised = [tokens_of(t) for t in texts[first : first + 256]]
-            logs = log_probability([t for tokens in tokenised for t in tokens], levels_of, cache)
-            at = 0
-            for row, tokens in zip(numbers[first : first + 256], tokenised):
-                known, base, others = 0, 0.0, 0
-                for token, k in Counter(tokens).items():
-                    if c := common.get(token):
-                        known, base = known + k, base + k * math.log10((c + 0.5) / whole)
-                    else:
-                        rare.append((row, token, k))
-                        others += k
-                for column, value in zip(out, (row, len(tokens), known, base, others, float(logs[at : at + len(tokens)].sum()))):
-                    column.append(value)
-                at += len(tokens)
-        n, blank = len(texts), len(rare)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([ids, pa.nulls(blank, ids.type)]),
-                pa.concat_arrays([held_out, pa.nulls(blank, pa.bool_())]),
-                pa.array([*out[0], *(r for r, _, _ in rare)], pa.int64()),
-                pa.array([*out[1], *[None] * blank], pa.int64()),
-                pa.array([*out[2], *[None] * blank], pa.int64()),
-                pa.array([*out[3], *[None] * blank], pa.float64()),
-                pa.array([*out[4], *(k for _, _, k in rare)], pa.int64()),
-                pa.array([*out[5], *[None] * blank], pa.float64()),
-                pa.array([*[None] * n, *(t for _, t, _ in rare)], pa.binary()),
-            ],
-            ["id", "held_out", "row", "n_tokens", "n_known", "base", "k", "score", "token"],
-        )
-
-    kind = dict(rows.dtypes)[id_col]
-    schema = f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, k long, score double, token binary"
-
-    def score_broadcast() -> DataFrame:
-        filters = {r.part: bytes(r.bits) for r in filled.collect()}
-        bloom = spark.sparkContext.broadcast(PartedBloom.of([filters.get(i, bytes(8)) for i in range(parts)], hashes))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filter_, cache = bloom.value, {}
-            row = TaskContext.get().partitionId() << 40
-            for batch in batches:
-                for first in range(0, batch.num_rows, 2048):
-                    some = batch.slice(first, 2048)
-                    yield scores_of(some.column(0), some.column(2), list(range(row, row + some.num_rows)), some.column(1).to_pylist(), filter_.levels, cache)
-                    row += some.num_rows
-
-        return rows.mapInArrow(score, schema)
-
-    def distinct_keys(texts: list[str | None], cache: dict[bytes, int]) -> np.ndarray:
-        found = [_keys(UNIGRAM, _ids([END.encode()], cache))]
-        for first in range(0, len(texts), 256):
-            ids, pairs = ngrams([t for text in texts[first : first + 256] for t in tokens_of(text)], cache)
-            found += [np.unique(_keys(UNIGRAM, ids)), np.unique(_keys(BIGRAM, pairs))]
-        return np.unique(np.concatenate(found))
-
-    def score_dealt() -> DataFrame:
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row = TaskContext.get().partitionId() << 40
-            for batch in batches:
-                ends = np.cumsum(pc.utf8_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
-                chunk = ends // CHUNK
-                chunk = row + np.searchsorted(chunk, chunk)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk), batch.column(0), batch.column(2), pa.array(np.arange(row, row + batch.num_rows)), batch.column(1)], ["chunk", "id", "held_out", "row", "text"])
-                row += batch.num_rows
-
-        def ask(some: pa.Table) -> pa.Table:
-            """For each part of the filter, the chunk's keys in it, in order."""
-            keys = distinct_keys(some.column("text").to_pylist(), {})
-            asked = _packed(keys, np.zeros(len(keys)), parts)
-            return pa.table({"chunk": pa.array([some.column("chunk")[0].as_py()] * asked.num_rows, pa.int64()), "part": asked.column(0), "keys": asked.column(1)})
-
-        def answer(asked: pa.Table, stored: pa.Table) -> pa.Table:
-            bloom = PartedBloom.of([stored.column("bits")[0].as_py() if stored.num_rows else bytes(8)], hashes)
-            levels = [bloom.levels(np.frombuffer(k, np.uint64)).astype(np.uint8).tobytes() for k in asked.column("keys").to_pylist()]
-            return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "levels": pa.array(levels, pa.binary())})
-
-        def score(some: pa.Table, answers: pa.Table) -> pa.Table:
-            cache: dict[bytes, int] = {}
-            texts = some.column("text").to_pylist()
-            keys = distinct_keys(texts, cache)
-            levels = np.frombuffer(b"".join(answers.sort_by("part").column("levels").to_pylist()), np.uint8).astype(np.int64)
-            ids, held_out = (some.column(c).combine_chunks() for c in ("id", "held_out"))
-            return pa.Table.from_batches([scores_of(ids, held_out, some.column("row").to_pylist(), texts, lambda k: levels[np.searchsorted(keys, k)], cache)])
-
-        texts = materialise(rows.mapInArrow(cut, f"chunk long, id {kind}, held_out boolean, row long, text string"), "chunks").groupBy("chunk")
-        asked = texts.applyInArrow(ask, "chunk long, part long, keys binary").groupBy("part")
-        answers = asked.cogroup(filled.groupBy("part")).applyInArrow(answer, "chunk long, part long, levels binary")
-        return texts.cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
-
-    n_bytes = filled.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    scored = score_broadcast() if n_bytes <= bloom_bytes else score_dealt()
-    scored = materialise(scored, "scores")
-    documents = scored.where("token is null").drop("token")
-    matched = (
-        scored.where("token is not null").select("row", "k", "token").join(counts, "token")
-        .groupBy("row").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / F.lit(whole))).alias("rare_base"))
-    )
-    joined = documents.join(matched, "row", "left")
-    rare_known = F.coalesce("rare_known", F.lit(0))
-    return joined.select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + rare_known).alias("n_known"),
-        F.lit(int(n_tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + (F.col("k") - rare_known) * F.lit(unseen)).alias("base_score"),
-        "score",
-    )
+            for row in batch.to_pylist():
+                yield deal(row["chunk"], row["train"], _unpacked_keys(row["keys"], row["n"]), np.frombuffer(zstandard.decompress(row["counts"]), np.uint32))
+
+    def keys_of(rows: pa.Table) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *map(_unpacked_keys, rows.column("keys").to_pylist(), rows.column("n").to_pylist())])
+
+    def counted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        train = rows.filter(rows.column("train"))
+        return keys_of(train), _unpacked(train.column("counts"), np.uint32)
+
+    def answered(rows: pa.Table, read: Callable[[np.ndarray], tuple]) -> list[tuple]:
+        """(chunk, part, answers) for each chunk; every key is looked up once, whatever the number of chunks."""
+        keys, which = np.unique(keys_of(rows), return_inverse=True)
+        ends = np.cumsum(rows.column("n").to_numpy())
+        found = [np.split(x[which], ends[:-1]) for x in read(keys)]
+        return [(c, p, *map(_packed, own)) for c, p, *own in zip(rows.column("chunk").to_pylist(), rows.column("part").to_pylist(), *found)]
+
+    def answer_pairs(rows: pa.Table) -> pa.Table:
+        pairs = Pairs.of(*counted(rows))
+        own = [(*r, None, None) for r in answered(rows, lambda keys: (pairs.bloom.levels(keys),))]
+        excess = [(None, p, None, _packed(pairs.contexts[s]), _packed(pairs.excess[s])) for p, s in _slices(pairs.contexts << HALF, parts)]
+        give_back()
+        return _rows(pair_answers, own + excess)
+
+    def answer_words(rows: pa.Table, excess: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _rows(word_answers, [])
+        words = Words.of(*counted(rows), _unpacked(excess.column("contexts"), np.uint64), _unpacked(excess.column("excess"), np.float64))
+        own = [(*r, None, None, None) for r in answered(rows, words.answers)]
+        return _rows(word_answers, [*own, (None, own[0][1], None, None, None, len(words.keys), int(words.counts.sum()), words.mass)])
+
+    pair_answers = "chunk long, part long, pair_levels binary, contexts binary, excess binary"
+    word_answers = f"chunk long, part long, levels binary, counts binary, sums binary, {TOTALS}"
+    cuts = "chunk long, train boolean, keys binary, counts binary, n long, texts binary"
+    chunks = materialise(rows.mapInArrow(cut, cuts), "chunks")
+    release(rows.sparkSession)
+    of_pairs = materialise(chunks.select("chunk", "train", "texts").mapInArrow(ask_pairs, asked).groupBy("part").applyInArrow(answer_pairs, pair_answers), "pair-answers")
+    release(rows.sparkSession)
+    excess = of_pairs.where("chunk is null").select("part", "contexts", "excess")
+    words = chunks.select("chunk", "train", "keys", "counts", "n").mapInArrow(ask_words, asked).groupBy("part").cogroup(excess.groupBy("part"))
+    of_words = materialise(words.applyInArrow(answer_words, word_answers), "word-answers")
+    types, tokens, mass = of_words.agg(F.sum("types"), F.sum("tokens"), F.sum("mass")).first()
+    words, pairs = (t.where("chunk is not null").drop("types", "tokens", "mass", "contexts", "excess").withColumn("pairs", F.lit(x)) for t, x in ((of_words, False), (of_pairs, True)))
+    answers = materialise(words.unionByName(pairs, allowMissingColumns=True), "answers")
+    for table in (of_words, of_pairs):
+        discard(table)
+    release(rows.sparkSession)
+    return BigramModel(tokens or 0, types or 0, mass or 0.0, kappa), chunks, answers

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise
 
-MOST_SHARDS = 16384
-
-
 def capped_targets(sources: DataFrame, weights: Sequence[float], max_repeat: int) -> DataFrame:
     """sources(source, source_size) with target: shares of the whole by weight, none above max_repeat times its size.
 
@@ -72,48 +69,68 @@ def mix_sources(
     block_words: int = 16,
     shard_words: int = 65536,
     seed: int = 20,
+    carry: bool = False,
 ) -> DataFrame:
     """How many words of each document a mix takes that gives every source its target.
 
     Blocks of block_words words are apportioned to the sources by highest quotients of their targets, then each
-    source's blocks to its shards by their words. A shard's documents, in an order seeded by their ids, make a stream
-    that repeats up to max_repeat times; its quota of blocks is cut from the stream's head, so that a document is
-    taken whole zero or more times but for one at the cut. Shards (a hash of the id, about shard_words words each,
-    MOST_SHARDS at most) keep a large source from being one task's work.
-
-    Returns a row per row of docs: id_col, source_col, size, source_size, target, taken. A null text has size 0; null
-    sources are one source, the last; repeated rows count each; an empty input gives no rows.
+    source's blocks to its shards by their words. What a shard can't hold goes to the source's other shards in a further
+    round. A shard's documents, in an order seeded by their ids, make a stream that repeats up to max_repeat times; its
+    quota of blocks is cut from the stream's head, so that a document is taken whole zero or more times but for one at
+    the cut. A source has a shard for each shard_words of its own words (by a hash of the id), so a large one is no
+    single task's work and a small one isn't spread thin. The windows over all sources, a row each, are one task's.
+
+    Returns a row per row of docs: id_col, source_col, size, source_size, target, taken; with carry, the row itself as a
+    struct `row`, size and taken. A null or empty text has size 0 and nothing taken, however long ones are counted whole; null
+    sources are one source, the last; repeated rows count each, those of one id going to one shard; an empty input gives no rows;
+    other columns are not read, so their names can't clash.
     """
-    size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    columns = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("digest")]
+    sizes = materialise(docs.select(*columns, *row), "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    n_shards = min(MOST_SHARDS, max(1, -(-total // shard_words)))
     fits = lambda words: F.floor(words * F.lit(max_repeat) / F.lit(block_words)).cast("long")
 
     targets = capped_targets(sources, weights, max_repeat).withColumn("_all", F.lit(round(total / block_words)).cast("long"))
     seated = sainte_lague(targets, [], ["source"], "target", "_all", "_blocks").withColumn("_blocks", F.least("_blocks", fits(F.col("source_size")))).drop("_all")
-    sharded = sizes.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_shards)))
-    cells = sharded.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")).withColumnRenamed("source", "_source")
-    cells = cells.join(seated, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    quotas = sainte_lague(cells, ["source"], ["shard"], "cell_size", "_blocks", "quota").withColumn("quota", F.least("quota", fits(F.col("cell_size"))))
-    quotas = materialise(quotas.withColumnsRenamed({"source": "_source", "shard": "_shard"}), "quotas")
-
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    seated = materialise(seated.withColumnRenamed("source", "_source"), "sources")
+    n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
+    sharded = sizes.join(seated, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), n_shards)).drop("_source")
+    cells = sharded.groupBy("source", "shard", "_blocks").agg(F.sum("size").alias("cell_size"))
+    quotas = shard_quotas(cells, fits(F.col("cell_size")))
+    quotas = materialise(quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "cell_size", "quota"), "quotas")
+
+    order = (F.xxhash64(F.lit(seed + 1), "id"), F.col("id").asc_nulls_last(), "size", "digest")
+    stream = Window.partitionBy("source", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = sharded.withColumn("_before", F.sum("size").over(stream) - F.col("size"))
     joined = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     words = F.col("quota") * block_words
     passes = F.coalesce(F.floor(words / F.nullif(F.col("cell_size"), F.lit(0))), F.lit(0))
     head = F.least(F.greatest(words - passes * F.col("cell_size") - F.col("_before"), F.lit(0)), F.col("size"))
-    return joined.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (passes * F.col("size") + head).cast("long").alias("taken")
-    )
+    taken = (passes * F.col("size") + head).cast("long").alias("taken")
+    if carry:
+        return joined.select("row", "size", taken)
+    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken)
+
+
+def shard_quotas(cells: DataFrame, room: Column) -> DataFrame:
+    """cells(source, shard, cell_size, _blocks) with quota: the source's _blocks by highest quotients of the cells' sizes, none
+    above its room; blocks that find none there are given by highest quotients of the room that is left."""
+    cells = sainte_lague(cells, ["source"], ["shard"], "cell_size", "_blocks", "_first")
+    cells = cells.withColumn("_given", F.least(F.col("_first"), room)).withColumn("_left", room - F.col("_given"))
+    returned = F.col("_blocks") - F.sum("_given").over(Window.partitionBy("source"))
+    again = F.least(returned, F.sum("_left").over(Window.partitionBy("source")))
+    cells = materialise(cells.withColumn("_again", F.greatest(again, F.lit(0)).cast("long")).drop("_first"), "cells")
+    cells = sainte_lague(cells, ["source"], ["shard"], "_left", "_again", "_second")
+    return cells.withColumn("quota", F.col("_given") + F.least("_second", "_left"))
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of docs as often as its taken words round to whole documents, with all its columns."""
-    mixed = mix_sources(docs, id_col, text_col, source_col, **options)
+    """The mix itself: each row of docs as often as its taken words round to whole documents, with all its columns.
+    Repeated rows are each taken for themselves; empty texts are never taken; an empty table gives no rows; columns may have
+    any names."""
+    mixed = mix_sources(docs, id_col, text_col, source_col, carry=True, **options)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    chosen = mixed.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source")).agg(F.max(copies).alias("__copies")).where("__copies > 0")
-    rows = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    return mixed.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

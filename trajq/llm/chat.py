@@ -24,6 +24,25 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, _lit(ESCAPED_OPEN), _lit(OPEN)), _lit("\\\\"), _lit("\\"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(numbers: Column, run: int = 128) -> Column:
+    """The sum of the numbers before each. Summed by runs first, so that the work grows little faster than the array."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    before = lambda part: F.transform(part, lambda _, i: total(F.slice(part, F.lit(1), i)))
+    n_runs = F.ceil(F.size(numbers) / run).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), n_runs - 1), lambda r: F.slice(numbers, r * run + 1, F.lit(run)))
+
+    def shifted(runs: Column) -> Column:
+        starts = let(F.transform(runs, total), before)
+        return F.flatten(F.zip_with(runs, starts, lambda part, start: F.transform(before(part), lambda x: x + start)))
+
+    return F.when(F.size(numbers) > 0, let(runs, shifted)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _escape_role(role: Column) -> Column:
     return F.replace(escape(role), _lit("\n"), _lit(ESCAPED_NEWLINE))
 
@@ -62,18 +81,19 @@ def format_conversations(
     tail = END + "\n"
     formatted = F.array_join(F.transform("_blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], SEP), _lit(tail))), "")
 
-    def texts_after(acc: Column, text: Column, wanted: Column) -> Column:
-        end = acc["at"] + F.char_length(text)
-        span = F.array(F.struct(acc["at"].cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct((end + len(SEP)).alias("at"), F.when(wanted, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def piece(turn: Column, i: Column) -> Column:
+        """How many characters come before the turn's text since the one before it, and how many it has."""
+        opening = F.char_length(F.concat(_lit(START), _escape_role(turn["role"]), _lit("\n")))
+        lead = F.when(i == 0, opening).when(at(i - 1)["role"] == turn["role"], len(SEP)).otherwise(opening + len(tail))
+        return F.struct(lead.cast("long").alias("lead"), F.char_length(escape(turn["text"])).cast("long").alias("chars"), (turn["role"] == loss_role).alias("wanted"))
 
-    def block_after(acc: Column, b: Column) -> Column:
-        opened = F.struct((acc["at"] + F.char_length(head(b))).alias("at"), acc["spans"].alias("spans"))
-        inner = F.aggregate(b["texts"], opened, lambda a, t: texts_after(a, t, b["role"] == loss_role))
-        return F.struct((inner["at"] - len(SEP) + len(tail)).alias("at"), inner["spans"].alias("spans"))
+    def spans_of(pieces: Column) -> Column:
+        starts = running_sums(F.transform(pieces, lambda p: p["lead"] + p["chars"]))
+        span = lambda p, before: F.struct((before + p["lead"]).alias("start"), (before + p["lead"] + p["chars"]).alias("end"), p["wanted"].alias("wanted"))
+        wanted = F.filter(F.zip_with(pieces, starts, span), lambda s: s["wanted"])
+        return F.transform(wanted, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    spans = F.aggregate("_blocks", nothing, block_after)["spans"]
+    spans = let(F.transform("_turns", piece), spans_of)
     return blocks.select(F.col(conv_col), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -90,11 +110,13 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def conversation_digests(formatted: DataFrame, conv_col: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
-    """What format_conversations' output says, read back from it: counts and digests of turns and of loss texts."""
+def conversation_digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """What format_conversations' output says, read back from it: counts and digests of turns, and of the text under
+    the loss mask, which is cut from `formatted` at loss_spans."""
     read = formatted.withColumn("_read", read_turns(F.col("formatted")))
     said = F.array_join(F.transform("_read", lambda t: F.concat(t["role"], _lit("\n"), t["text"], _lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("_read", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
+    masked = lambda s: F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(masked(s))), "")
     return read.select(
         F.col(conv_col),
         F.size("_read").cast("long").alias("n_turns"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajq.session import materialise, scratch, ship_package  # noqa: F401
+from trajq.session import delete, materialise, scratch, ship_package, temporary_tables  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,9 +44,7 @@ def discard(table: DataFrame) -> None:
     spark = table.sparkSession
     files = table.inputFiles()
     if files:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, files[0].rpartition("/")[0])
 
 
 @contextlib.contextmanager

@@ -18,18 +18,17 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_col stays. A text that weighs more than a mean partition is dealt over several ranges by a hash of its id, and
     its parts' results are merged afterwards, so no group has to fit in one task.
 
-    Adds keep_id, group_size, kept and text_sha256 to id_col, and with carry to all columns of docs (whose columns of
-    those names are replaced). Null ids rank behind all others; of repeated rows with the same id and text exactly
-    one is kept. An empty input gives no rows.
+    Returns id_col, keep_id, group_size, kept and text_sha256 of every row; with carry, the whole row as a struct `row`
+    and those columns, so names of its own can't clash. Null ids rank behind all others; of repeated rows with the
+    same id and text exactly one is kept. An empty input gives no rows.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Equal normalised texts have equal lower() too, which is cheaper than the A-Z form; here it only finds hot texts.
     rough = F.xxhash64(F.lower(text)).alias("_h")
     hot = hot_keys(docs.select(rough, (F.octet_length(text) + F.lit(64)).cast("long").alias("w")), "_h", parts)
     rows = (
-        docs.select(F.struct(*(docs.columns if carry else [id_col])).alias("_row"), F.col(id_col).alias("_id"), rough, ascii_lower(text).alias("_norm"))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else [id_col])]).alias("row"), F.col(id_col).alias("_id"), rough, ascii_lower(text).alias("_norm"))
         .join(F.broadcast(hot), "_h", "left")
         .withColumn("_split", F.col("n_salts").isNotNull())
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("n_salts")).cast("int"), F.lit(0)))
@@ -51,7 +50,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = parted.join(merged, "text_sha256", "left")
     keep_id = F.when(F.col("_split"), F.col("_all_keep")).otherwise(F.col("_keep"))
     return out.select(
-        "_row.*",
+        "row" if carry else "row.*",
         keep_id.alias("keep_id"),
         F.when(F.col("_split"), F.col("_all_size")).otherwise(F.col("_size")).cast("long").alias("group_size"),
         ((F.col("_rank") == 1) & F.col("_id").eqNullSafe(keep_id)).alias("kept"),

@@ -1,5 +1,6 @@
 """Nulls, empty texts, long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import hashlib
 import random
 
 import pytest
@@ -13,7 +14,7 @@ from trajq.llm.exact import content_sort_dedup
 from trajq.llm.lm import score_documents
 from trajq.llm.mixing import mix_sources, sainte_lague, take_mix
 from trajq.llm.ngram_join import ngram_jaccard_components, one_per_component
-from trajq.llm.packing import pack
+from trajq.llm.packing import default_vocabulary, pack
 from trajq.llm.pii import permute_digits, pseudonymise
 from trajq.llm.quality import quality_cascade, quality_report
 from trajq.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
@@ -47,7 +48,7 @@ def test_exact(spark, odd, empty):
     )
     assert {r.keep_id for r in content_sort_dedup(odd, keep="min").where("group_size = 4").collect()} == {1}
     carried = content_sort_dedup(odd, carry=True)
-    assert {"lang", "source", "_norm", "size", "kept"} <= {*carried.columns, "_norm"} and carried.where("kept").count() == 7
+    assert carried.select("row.*").columns == odd.columns and carried.where("kept").count() == 7 and carried.where("row.kept is not null").count() == 0
     assert content_sort_dedup(empty).count() == 0
 
 
@@ -99,13 +100,25 @@ def test_chat_round_trip(spark, empty):
     out = format_conversations(turns)
     read = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in out.select("conv_id", read_turns(F.col("formatted")).alias("turns")).collect()}
     assert read == {1: [(r or "", x or "") for _, _, r, x in rows[:12]], None: [("assistant", "hi")], 2: [("assistant", "first")] * 2 + [("user", "last")]}
+    digests = {r.conv_id: r for r in conversation_digests(out).collect()}
     for r in out.collect():
+        said = "".join(x for role, x in read[r.conv_id] if role == "assistant")
+        assert (digests[r.conv_id].loss_chars, digests[r.conv_id].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
         masked = [r.formatted[s.start : s.end] for s in r.loss_spans]
         said = [x for role, x in read[r.conv_id] if role == "assistant"]
         assert [m.replace("<\\|", "<|").replace("\\\\", "\\") for m in masked] == said
     assert format_conversations(turns.where("false")).count() == 0 and conversation_digests(out).where("n_turns is null").count() == 0
 
 
+def test_chat_with_very_many_turns(spark):
+    n = 16_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (1 + F.col("id") % 3 % 2).cast("int")).alias("role"), F.concat(F.lit("é<|"), F.col("id").cast("string")).alias("text"))
+    out = format_conversations(turns).first()
+    want = [f"é<\\|{i}" for i in range(n) if i % 3 == 1]
+    assert [out.formatted[s.start : s.end] for s in out.loss_spans] == want
+    assert "loss_spans" in conversation_digests(format_conversations(turns))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pii(spark, odd, empty):
     assert pseudonymise(empty, "k").count() == 0
     same = pseudonymise(odd, "k")
@@ -147,6 +160,12 @@ def test_packing(spark, odd, empty):
     rows = pack(odd).collect()
     assert sum(r.length for r in rows if r.start == 0 and r.doc_id == 4) == 1 and sorted(r.doc_id for r in rows if r.doc_id in (2, 3)) == [2, 2, 3]
     assert pack(empty).count() == 0
+    blank = spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a" * 300_000)], "doc_id long, text string")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_vocabulary().replace(".tiktoken", ".json"))
+    sizes = {r.doc_id: r.doc_tokens for r in pack(blank).collect()}
+    assert sizes == {r.doc_id: len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in blank.collect()}
     small = pack(odd, size=16, open_windows=2, slack=1).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert all(r.n <= 16 for r in small)
 
@@ -163,6 +182,53 @@ def test_mixing(spark, odd, empty):
     assert len(rows) == 12 and {(r.doc_id, r.size) for r in rows if r.doc_id in (3, 4, 9)} == {(3, 0), (4, 0), (9, 1)}
     assert {r.source: r.target for r in rows}[None] == 3.0 and mix_sources(empty).count() == 0
     assert take_mix(odd).columns == odd.columns and take_mix(empty).count() == 0
+    same = spark.createDataFrame([row(1, "a " * 400), row(1, "a " * 400), row(1, None), row(2, "b " * 1000, "t")], SCHEMA)
+    want = sum(round(r.taken / r.size) for r in mix_sources(same).collect() if r.size)
+    assert take_mix(same).count() == want and take_mix(same).where("text is null").count() == 0
+
+
+def seats_by_hand(votes, seats):
+    won = [0] * len(votes)
+    for _ in range(seats if sum(votes) else 0):
+        won[max(range(len(votes)), key=lambda j: (votes[j] / (2 * won[j] + 1), -j))] += 1
+    return won
+
+
+def test_mixing_by_hand(spark):
+    """All that is taken, seat by seat; the hashes that deal and order the documents come from Spark."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), "big" if i % 20 else "small" if i % 40 else None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mix_sources(docs, block_words=4, shard_words=500).collect()}
+    hashes = {r.doc_id: (r.a, r.b) for r in docs.select("doc_id", F.xxhash64(F.lit(20), "doc_id").alias("a"), F.xxhash64(F.lit(21), "doc_id").alias("b")).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    own = {s: [i for i, _, x in rows if x == s] for s in ("big", "small", None)}
+    words = {s: sum(size[i] for i in ids) for s, ids in own.items()}
+    blocks = dict(zip(own, seats_by_hand([got[ids[0]].target for ids in own.values()], round(sum(words.values()) / 4))))
+    for s, ids in own.items():
+        shards = {}
+        for i in ids:
+            shards.setdefault(hashes[i][0] % max(1, -(-words[s] // 500)), []).append(i)
+        names = sorted(shards)
+        cells, limit = [sum(size[i] for i in shards[k]) for k in names], min(blocks[s], words[s] * 3 // 4)
+        first = seats_by_hand(cells, limit)
+        given = [min(q, 3 * c // 4) for q, c in zip(first, cells)]
+        left = [3 * c // 4 - g for c, g in zip(cells, given)]
+        quota = [g + min(q, x) for g, q, x in zip(given, seats_by_hand(left, min(limit - sum(given), sum(left))), left)]
+        for k, q in zip(names, quota):
+            want, at = dict.fromkeys(shards[k], 0), 0
+            stream = sorted(shards[k], key=lambda i: (hashes[i][1], i))
+            for i in stream * 3:
+                part = min(size[i], 4 * q - at)
+                want[i], at = want[i] + part, at + part
+            assert {i: got[i].taken for i in stream} == want
+
+
+def test_a_small_source_gets_its_target(spark):
+    docs = spark.range(1060).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, "a").otherwise("b").alias("source"), F.repeat(F.lit("w "), F.when(F.col("id") < 1000, 1000).otherwise(100)).alias("text"))
+    taken = {r.source: (r.t, r.target) for r in mix_sources(docs, shard_words=512, weights=(1, 1)).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target")).collect()}
+    assert taken["b"][1] == 18_000 and abs(taken["b"][0] - 18_000) <= 16 * 12
+    assert {r.t for r in mix_sources(docs, weights=(1, 1)).where("source = 'b'").agg(F.sum("taken").alias("t")).collect()} == {18_000}
 
 
 def test_highest_quotients(spark):

@@ -15,3 +15,27 @@ def test_pipeline(spark, sf):
             assert all(c == i for i, (_, c) in components({r.doc_id: shingles(r.text, 5) for r in docs.collect()}, 80, 100).items())
         assert 0 < docs.count() <= 3 * before
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_tables(spark, sf, tmp_path):
+    """Nulls, repeated rows and columns that clash with the operators' own names; and no rows at all."""
+    good = " ".join(f"word{i}" for i in range(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, keep_id string, size int, row string"
+    rows = [(i, t, None, s, 1, "yours", "mine", i, "r") for i, t, s in [(1, good, "a"), (1, good, "a"), (2, good.upper(), None), (None, good + " end", "b"), (3, None, "a"), (4, "", None)]]
+    for data, kept in ((rows, [4, 2, 2, None]), ([], [0] * 4)):
+        docs = spark.createDataFrame(data, schema)
+        for (name, stage), n in zip(corpus_pipeline.STAGES[:-1], kept):
+            docs = stage(spark, docs, sf).cache()
+            assert docs.columns == [x.split()[0] for x in schema.split(", ")], name
+            assert n is None or docs.count() == n, name
+            assert docs.where("kept <> 'yours'").count() == 0
+        assert corpus_pipeline.packing(spark, docs, sf).count() >= (1 if data else 0)
+
+
+def test_nothing_is_left_behind(spark, sf):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0 and len(set(glob.glob(f"{folder}/*")) - before) == 1

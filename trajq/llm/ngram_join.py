@@ -10,15 +10,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajq.session import ship_package
 
-from .common import discard, materialise, release
+from .common import discard, give_back, materialise, release, setting
 from .components import connected_components
-from .lm import UNIGRAM, _keys, build_bloom
+from .lm import WordIds
 
 #: Cells of the two count sketches, and cells in a block of them.
 FREQUENCY_CELLS, KEY_CELLS, BLOCK = 1 << 22, 1 << 20, 1 << 16
@@ -30,8 +29,10 @@ LARGE_GROUP = 16
 N_KEYS = 3
 #: Fewer documents of a piece form no group; those nearly similar, at this part of the similarity, form one too.
 SMALL_GROUP, LOOSER = 8, 0.75
-#: Bytes that a task takes at once when it compares groups.
-BATCH_BYTES = "32m"
+#: Bytes that a task takes at once when it compares groups; texts that it shingles at once.
+BATCH_BYTES, SLICE = "32m", 256
+#: Of the filter of wanted ids: bits an id, and the most ids it is made for. Beyond them, texts are joined with the ids.
+ID_BITS, MOST_FILTERED = 16, 1 << 22
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,18 +45,12 @@ class Shingler:
     """Texts to sorted arrays of distinct 64-bit n-gram hashes. A-Z is lower-cased; words end at ASCII white space."""
 
     def __init__(self, words: int):
-        self.n, self.cache = words, {}
+        self.n, self.word_ids = words, WordIds()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        cache = self.cache
-        if len(cache) > 1_000_000:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh64_intdigest(w)
-        ids = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        ids = self.word_ids([text])[0][:-1]
+        if not len(ids):
+            return ids
         n = min(self.n, len(ids))
         grams = np.full(len(ids) - n + 1, n, np.uint64)
         for i in range(n):
@@ -63,6 +58,11 @@ class Shingler:
         return np.unique(_mix(grams))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few texts at a time, so that a task holds the n-grams of no more."""
+    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+
+
 def _pack(grams: np.ndarray) -> bytes:
     """The upper 48 bits of each hash, in order: enough to compare the few sets that meet in one place, where two of n
     and m differing n-grams are taken for one with a chance of n * m / 2**48."""
@@ -109,13 +109,17 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def _group_keys(grams: np.ndarray) -> list[int]:
     """The set's smallest n-gram under each of N_KEYS hashes: sets of similarity s share each with probability s."""
     return [int(_mix(grams + np.uint64(0xA0761D6478BD642F * (i + 1) & 0xFFFFFFFFFFFFFFFF)).min().view(np.int64)) for i in range(N_KEYS)]
 
 
 def _cells(counts: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    blocks = np.minimum(counts, 65535).astype("<u2").reshape(-1, BLOCK)
+    blocks = np.minimum(counts, 65535).astype("<u2", copy=False).reshape(-1, BLOCK)
     for b in np.flatnonzero(blocks.any(axis=1)):
         yield kind, int(b), zlib.compress(blocks[b].tobytes(), 1)
 
@@ -136,29 +140,28 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
     names = ["id", "n", "digest", "kind", "block", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, frequency, keys, id_type = Shingler(words), np.zeros(FREQUENCY_CELLS, np.int64), np.zeros((N_KEYS, KEY_CELLS), np.int64), pa.int64()
-        for batch in batches:
+        shingle, frequency, keys, id_type = Shingler(words), np.zeros(FREQUENCY_CELLS, np.uint32), np.zeros((N_KEYS, KEY_CELLS), np.uint32), pa.int64()
+
+        def count(into: np.ndarray, hashes: np.ndarray) -> None:
+            cells, n = np.unique(hashes & np.uint64(len(into) - 1), return_counts=True)
+            into[cells.astype(np.int64)] += n.astype(np.uint32)
+
+        for batch in _slices(batches):
             id_type = batch.column(0).type
-            ns, digests, found, recent = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                grams = shingle(text)
-                ns.append(len(grams))
-                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                if len(grams):
-                    found.append(_group_keys(grams))
-                recent.append(grams)
-            every = np.concatenate(recent or [np.zeros(0, np.uint64)])
-            frequency += np.bincount((every & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64), minlength=FREQUENCY_CELLS)
-            for i, column in enumerate(zip(*found)):
-                keys[i] += np.bincount(np.array(column, np.int64) & (KEY_CELLS - 1), minlength=KEY_CELLS)
-            none = len(ns)
+            sets = [shingle(text) for text in batch.column(1).to_pylist()]
+            count(frequency, np.concatenate([np.zeros(0, np.uint64), *sets]))
+            own = np.array([_group_keys(grams) for grams in sets if len(grams)], np.int64).reshape(-1, N_KEYS).view(np.uint64)
+            for i in range(N_KEYS):
+                count(keys[i], own[:, i])
+            none = len(sets)
             blank = [pa.nulls(none, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), *blank], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_digest, sets), pa.binary()), *blank], names)
         rows = [*_cells(frequency, 0), *_cells(keys.reshape(-1), 1)]
         none = len(rows)
         blank = [pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())]
         cells = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
         yield pa.RecordBatch.from_arrays([*blank, *cells], names)
+        give_back()
 
     return materialise(docs.mapInArrow(run, schema), "survey")
 
@@ -180,7 +183,7 @@ def _prefixes(docs: DataFrame, words: int, threshold: Threshold, frequency, keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, often, crowded = Shingler(words), frequency.value, keys.value
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = shingle(text)
@@ -191,11 +194,12 @@ def _prefixes(docs: DataFrame, words: int, threshold: Threshold, frequency, keys
                 first = grams[np.argpartition(rank, p - 1)[:p]] if p < len(grams) else grams
                 own = _group_keys(grams)
                 whole = any(crowded[i, k & (KEY_CELLS - 1)] >= common for i, k in enumerate(own))
-                row = (doc, len(grams), hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), own, first.view(np.int64), _pack(grams) if whole else None)
+                row = (doc, len(grams), _digest(grams), own, first.view(np.int64), _pack(grams) if whole else None)
                 for column, value in zip(out, row):
                     column.append(value)
             types = (batch.column(0).type, pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["id", "n", "digest", "keys", "prefix", "grams"])
+        give_back()
 
     return docs.mapInArrow(run, f"id {kind}, n long, digest binary, keys array<long>, prefix array<long>, grams binary")
 
@@ -330,23 +334,55 @@ def _verify(pairs: DataFrame, threshold: Threshold) -> DataFrame:
         for batch in batches:
             links = [link for a, b in zip(batch.column(0), batch.column(1)) for link in _links_between(members(a), members(b), threshold)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+        give_back()
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _id_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [((_mix(ids + np.uint64(i + 1)) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32) for i in range(4)]
+
+
+def _id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of n ids, ID_BITS bits each: every task fills its own, and they are OR-ed where they come to the
+    driver one after another, compressed."""
+    n_bytes = max(8, n * ID_BITS // 8)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(n_bytes, np.uint8)
+        for batch in batches:
+            for at in _id_places(batch.column(0).to_numpy().view(np.uint64), 8 * n_bytes):
+                np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["bits"])
+
+    out = np.zeros(n_bytes, np.uint8)
+    for row in ids.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return out
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The wanted(id, digest, gid) with their sets: a third pass that a small filter of their ids thins before any shuffle."""
-    items = wanted.select(F.lit(UNIGRAM).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(1).cast("long").alias("c"))
-    bloom = docs.sparkSession.sparkContext.broadcast(build_bloom(items, 1 << 20, 3))
+    """The wanted(id, digest, gid) with their sets, in a third pass. A filter of their ids thins the texts before any
+    shuffle; if they are too many for a filter of a bounded size, the texts are first joined with them."""
+    n = wanted.count()
+    if n > MOST_FILTERED:
+        bits = None
+        docs = docs.join(wanted.select("id").distinct(), "id").select("id", "text")
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("id"), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for batch in batches:
+        for batch in _slices(batches):
             batch = batch.filter(batch.column(0).is_valid())
-            hit = bloom.value.levels(_keys(UNIGRAM, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))) > 0
-            batch = batch.filter(pa.array(hit))
+            if bits is not None:
+                hit = np.ones(batch.num_rows, bool)
+                for at in _id_places(batch.column(0).to_numpy().view(np.uint64), 8 * len(bits.value)):
+                    hit &= (bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                batch = batch.filter(pa.array(hit))
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([_pack(s) for s in sets], pa.binary())], ["id", "digest", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array(map(_pack, sets), pa.binary())], ["id", "digest", "grams"])
+        give_back()
 
     return docs.mapInArrow(run, "id long, digest binary, grams binary").dropDuplicates(["id", "digest"]).join(wanted, ["id", "digest"])
 
@@ -388,8 +424,11 @@ def _search(docs: DataFrame, reps: DataFrame, groups: tuple[DataFrame, DataFrame
     release(spark)
     first = candidates.join(grouped.withColumnRenamed("members", "a"), "gid").select("a", F.col("other").alias("gid"))
     opened = first.join(grouped.withColumnRenamed("members", "b"), "gid").select("a", "b")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return materialise(_verify(opened, threshold), "links")
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        links = materialise(_verify(opened, threshold), "links")
+    for table in (sets, candidates, members):
+        discard(table)
+    return links
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, scale: int = 100) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from trajq.operators import qlearn as ql
@@ -89,18 +90,36 @@ def test_replayed_batch_changes_nothing(spark, sf, tmp_path):
     assert {(r.state, r.action): round(r.q, 6) for r in load_q(spark, path).collect()} == {(r.state, r.action): round(r.q, 6) for r in twice.collect()}
 
 
-def test_stream_progress_equals_batch(spark, sf, tmp_path):
+def test_a_new_checkpoint_goes_on_from_the_table(spark, sf, tmp_path):
+    t, path, q = transitions(spark, sf), str(tmp_path / "q"), "state string, action int, q double"
+    for batch_id, source in ((0, "first"), (0, "second"), (0, "second")):
+        apply_batch(t, batch_id, path, 3, 0.1, 0.9, q, source)
+    assert versions(spark, path) == [0, 1]
+    twice = ql.q_iterate(t, rounds=2, gamma=0.9)
+    assert {(r.state, r.action): round(r.q, 6) for r in load_q(spark, path).collect()} == {(r.state, r.action): round(r.q, 6) for r in twice.collect()}
+
+
+@pytest.mark.parametrize("keys", [("run_id", "episode_id"), ("run_id",)])
+def test_stream_progress_equals_batch(spark, sf, tmp_path, keys):
     from trajq.plans import adapters
 
-    stages = adapters.stages(spark, sf).join(sp.rule_dim(spark).select("kind", "stage"), "kind").select("run_id", "episode_id", "step", "stage")
-    frames = adapters.traj(spark, sf).join(stages, ["run_id", "episode_id", "step"], "left").select("run_id", "episode_id", "step", "stage", "reward")
-    _in_files(frames, "step", str(tmp_path / "in"), 3)
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream_progress(stream).writeStream.format("memory").queryName("progress").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    hits = adapters.stages(spark, sf).select("run_id", "episode_id", "step", "kind")
+    frames = adapters.traj(spark, sf).join(hits, ["run_id", "episode_id", "step"], "left").select("run_id", "episode_id", "step", "ts", "kind", "reward", "done")
+    by_time = frames.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    _in_files(by_time, "at", str(tmp_path / "in"), 3)
+    stream = spark.readStream.schema(by_time.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = "progress" + str(len(keys))
+    query = stream_progress(stream, sp.rule_dim(spark), keys).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(200)
-    got = spark.table("progress").collect()
+    got = spark.table(name).collect()
     assert len(got) == frames.count() and not any(r.late for r in got)
-    want = rw.milestones(adapters.stages(spark, sf), sp.rule_dim(spark), ["run_id", "episode_id"]).collect()
+    want = rw.milestones(adapters.stages(spark, sf), sp.rule_dim(spark), list(keys)).collect()
     assert sorted((r.episode_id, r.step, r.stage) for r in got if r.fired) == sorted((r.episode_id, r.step, r.stage) for r in want)
-    returns = {(r.episode_id, r.step): round(r.running_return, 6) for r in tr.running_return(adapters.traj(spark, sf)).collect()}
-    assert {(r.episode_id, r.step): round(r.running_return, 6) for r in got} == returns
+    ends = {(r.episode_id, r.step) for r in frames.where("done").collect()}
+    if len(keys) == 2:
+        returns = {(r.episode_id, r.step): round(r.running_return, 6) for r in tr.running_return(adapters.traj(spark, sf)).collect()}
+        assert {(r.episode_id, r.step): round(r.running_return, 6) for r in got} == returns
+        assert {(r.episode_id, r.step) for r in got if r.done} == ends
+    else:
+        totals = {r.run_id: round(r.total, 6) for r in frames.groupBy("run_id").agg(F.sum("reward").alias("total")).collect()}
+        assert all(any(round(r.running_return, 6) == total for r in got if r.run_id == run) for run, total in totals.items())

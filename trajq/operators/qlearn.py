@@ -25,8 +25,8 @@ def q_lookup(keys: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def expand_actions(states: DataFrame, actions: DataFrame) -> DataFrame:
-    """A row for each state and action. The actions are a dimension of a few rows."""
-    return states.join(F.broadcast(actions), how="cross")
+    """A row for each state and action: what the result is, so neither side is hinted; Spark broadcasts one that is small."""
+    return states.crossJoin(actions)
 
 
 def max_next_q(q: DataFrame, n_actions: int) -> DataFrame:
@@ -38,10 +38,8 @@ def max_next_q(q: DataFrame, n_actions: int) -> DataFrame:
 def greedy_policy(q: DataFrame, actions: DataFrame) -> DataFrame:
     """(state, action, q): the best action of each state of q; ties go to the lowest, unseen pairs count as 0."""
     full = q_lookup(expand_actions(q.select("state").distinct(), actions), q)
-    # max of a struct breaks ties by its second field; rank turns actions of any type into numbers that fall
-    ranked = full.join(F.broadcast(actions.withColumn("_rank", F.row_number().over(Window.orderBy("action")))), "action")
-    best = ranked.groupBy("state").agg(F.max(F.struct("q", (-F.col("_rank")).alias("_rank"), "action")).alias("best"))
-    return best.select("state", "best.action", "best.q")
+    best = full.groupBy("state").agg(F.min(F.struct((-F.col("q")).alias("cost"), "action")).alias("best"))
+    return best.select("state", "best.action", (0.0 - F.col("best.cost")).alias("q"))
 
 
 def td_targets(transitions: DataFrame, q: DataFrame, n_actions: int, gamma: float) -> DataFrame:
@@ -100,9 +98,11 @@ def empty_q(transitions: DataFrame) -> DataFrame:
 def q_iterate(
     transitions: DataFrame, q: DataFrame | None = None, rounds: int = 3, n_actions: int = 3, alpha: float = 0.1, gamma: float = 0.95, tol: float | None = None, order: Sequence[str] = ("step",)
 ) -> DataFrame:
-    """q_update repeated. Each round's table is written to the shared scratch folder, so no lineage grows; with tol,
-    stops once no value moves by tol."""
+    """q_update repeated. Each round's table is written to the shared scratch folder, so no lineage grows, and so are the
+    transitions if several rounds read them; with tol, stops once no value moves by tol."""
     q = empty_q(transitions) if q is None else q
+    if rounds > 1:
+        transitions = materialise(transitions.select("run_id", "episode_id", *order, "state", "action", "reward", "next_state", "done"), "transitions")
     for _ in range(rounds):
         new = materialise(q_update(transitions, q, n_actions, alpha, gamma, order), "q-round")
         if tol is not None:

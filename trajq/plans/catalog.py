@@ -60,12 +60,12 @@ TRANSITION = """transition AS (SELECT run_id, episode_id, step, coalesce(lag(obs
   action, reward, obs AS next_state, done FROM traj)"""
 
 
-def _rounds(n: int, source: str = "transition") -> str:
+def _rounds(n: int, source: str = "transition", n_actions: str = "3") -> str:
     """CTEs q0 ... qn of n synchronous rounds from an empty table."""
     out = [f"q0 AS (SELECT state, action, 0.0::DOUBLE AS q FROM {source} WHERE false)"]
     for i in range(1, n + 1):
         out += [
-            f"m{i} AS (SELECT state, CASE WHEN count(*) < 3 THEN greatest(max(q), 0) ELSE max(q) END AS mq FROM q{i - 1} GROUP BY state)",
+            f"m{i} AS (SELECT state, CASE WHEN count(*) < {n_actions} THEN greatest(max(q), 0) ELSE max(q) END AS mq FROM q{i - 1} GROUP BY state)",
             f"""t{i} AS (SELECT t.state, t.action, reward + 0.95::DOUBLE * CASE WHEN done THEN 0 ELSE coalesce(mq, 0) END AS y,
               row_number() OVER (PARTITION BY t.state, t.action ORDER BY run_id, episode_id, step) AS i, count(*) OVER (PARTITION BY t.state, t.action) AS n
               FROM {source} t LEFT JOIN m{i} m ON t.next_state = m.state)""",
@@ -87,16 +87,16 @@ _NEXT = """transition AS (SELECT run_id, episode_id, step, coalesce(lag(obs) OVE
 
 
 @_query(
-    _with("traj", _NEXT, _rounds(1))
+    _with("traj", _NEXT, _rounds(2, n_actions="(SELECT count(DISTINCT obs) FROM traj)"))
     + """SELECT state, action, round(q, 6) AS q FROM (
       SELECT s.state, a.action, coalesce(q.q, 0) AS q, row_number() OVER (PARTITION BY s.state ORDER BY coalesce(q.q, 0) DESC, a.action) AS k
-      FROM (SELECT DISTINCT state FROM q1) s CROSS JOIN (SELECT DISTINCT obs AS action FROM traj) a LEFT JOIN q1 q ON q.state = s.state AND q.action = a.action) WHERE k = 1"""
+      FROM (SELECT DISTINCT state FROM q2) s CROSS JOIN (SELECT DISTINCT obs AS action FROM traj) a LEFT JOIN q2 q ON q.state = s.state AND q.action = a.action) WHERE k = 1"""
 )
 def greedy_next_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = ad.traj(spark, sf_dir).withColumns({"action": F.col("obs"), "reward": F.col("reward") + 60})
     transitions = tr.build_transitions(frames)
     actions = frames.select("action").distinct()
-    return ql.greedy_policy(ql.q_update(transitions, ql.empty_q(transitions), n_actions=3), actions)
+    return ql.greedy_policy(ql.q_iterate(transitions, rounds=2, n_actions=actions.count()), actions)
 
 
 # ---- transitions and episodes
@@ -303,12 +303,12 @@ def direction_gate(spark, sf_dir):
 
 
 @_query(
-    _with("tile", CODE, ZONE, "motion", BOX, HIT) + "SELECT kind, count(*) AS hits FROM hit WHERE kind IN ('wall', 'side', 'track') GROUP BY kind"
+    _with("tile", CODE, ZONE, "motion", BOX, HIT) + "SELECT run_id, episode_id, step, zone_id::BIGINT AS zone_id, kind FROM hit"
 )
 def union_hits(spark, sf_dir):
     zones = _zones(spark, sf_dir)
-    each = [sp.box_overlap_join(_boxes(spark, sf_dir), zones.where(F.col("kind") == k)) for k in ("wall", "side", "track")]
-    return sp.union_hits(*each).groupBy("kind").agg(F.count(F.lit(1)).alias("hits"))
+    each = [sp.box_overlap_join(_boxes(spark, sf_dir), zones.where(F.col("kind") == k)) for k in sp.KINDS]
+    return sp.union_hits(*each)
 
 
 # ---- motion
@@ -410,26 +410,21 @@ def max_next_q(spark, sf_dir):
     return ql.max_next_q(_q(spark, sf_dir, 2), 3)
 
 
-_PART = "seen AS (SELECT * FROM transition WHERE action <> 1 OR state <> 'view')"
 _GREEDY = """greedy AS (SELECT state, action, q FROM (SELECT s.state, a.action, coalesce(q.q, 0) AS q, row_number() OVER (PARTITION BY s.state ORDER BY coalesce(q.q, 0) DESC, a.action) AS k
   FROM (SELECT DISTINCT state FROM q1) s CROSS JOIN (VALUES (0), (1), (2)) a(action) LEFT JOIN q1 q ON q.state = s.state AND q.action = a.action) WHERE k = 1)"""
 
 
-def _some(spark, sf_dir):
-    return ql.q_iterate(_transitions(spark, sf_dir).where("action <> 1 OR state <> 'view'"), rounds=1)
-
-
-@_query(_with("traj", TRANSITION, _PART, _rounds(1, "seen"), _GREEDY) + "SELECT state, action, round(q, 6) AS q FROM greedy")
+@_query(_with("traj", TRANSITION, _rounds(1), _GREEDY) + "SELECT state, action, round(q, 6) AS q FROM greedy")
 def greedy_policy(spark, sf_dir):
-    return ql.greedy_policy(_some(spark, sf_dir), ql.action_dim(spark))
+    return ql.greedy_policy(_q(spark, sf_dir), ql.action_dim(spark))
 
 
 @_query(
-    _with("traj", TRANSITION, _PART, _rounds(1, "seen"))
+    _with("traj", TRANSITION, _rounds(1))
     + "SELECT t.run_id, t.episode_id, t.step, t.state, t.action, round(coalesce(q.q, 0), 6) AS q FROM transition t LEFT JOIN q1 q ON q.state = t.state AND q.action = t.action"
 )
 def q_lookup(spark, sf_dir):
-    return ql.q_lookup(_transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state", "action"), _some(spark, sf_dir))
+    return ql.q_lookup(_transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state", "action"), _q(spark, sf_dir))
 
 
 @_query(_with("traj", TRANSITION) + "SELECT t.run_id, t.episode_id, t.step, t.state, a.action FROM transition t CROSS JOIN (VALUES (0), (1), (2)) a(action)")
@@ -437,13 +432,10 @@ def expand_actions(spark, sf_dir):
     return ql.expand_actions(_transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state"), ql.action_dim(spark))
 
 
-@_query(
-    _with("traj", TRANSITION, "odd AS (SELECT * FROM transition WHERE step % 2 = 1 AND action <> 1)", _rounds(1), _rounds(1, "odd").replace("q0", "p0").replace("q1", "p1").replace("m1", "n1").replace("t1", "u1"))
-    + "SELECT state, action, round(coalesce(p1.q, q1.q), 6) AS q FROM q1 FULL JOIN p1 USING (state, action)"
-)
+@_query(_with("traj", TRANSITION, _rounds(2)) + "SELECT state, action, round(coalesce(q2.q, q1.q), 6) AS q FROM q1 FULL JOIN q2 USING (state, action)")
 def upsert_q(spark, sf_dir):
-    transitions = _transitions(spark, sf_dir)
-    return ql.upsert_q(ql.q_iterate(transitions, rounds=1), ql.q_iterate(transitions.where("step % 2 = 1 AND action <> 1"), rounds=1))
+    once = _q(spark, sf_dir)
+    return ql.upsert_q(once, ql.q_update(_transitions(spark, sf_dir), once, 3))
 
 
 def _draw(seed: str) -> str:
@@ -451,11 +443,11 @@ def _draw(seed: str) -> str:
 
 
 @_query(
-    _with("traj", TRANSITION, _PART, _rounds(1, "seen"), _GREEDY)
+    _with("traj", TRANSITION, _rounds(1), _GREEDY)
     + f"""SELECT run_id, episode_id, step, t.state, explores, CASE WHEN explores THEN floor(u2 * 3)::INT ELSE coalesce(g.action, 0) END AS chosen_action FROM (
       SELECT *, {_draw("explore1")} < greatest(0.01::DOUBLE, pow(0.9999::DOUBLE, episode_id * 40)) AS explores, {_draw("explore2")} AS u2 FROM transition) t LEFT JOIN greedy g ON g.state = t.state"""
 )
 def explore_or_exploit(spark, sf_dir):
-    policy = ql.greedy_policy(_some(spark, sf_dir), ql.action_dim(spark))
+    policy = ql.greedy_policy(_q(spark, sf_dir), ql.action_dim(spark))
     states = _transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state")
     return ql.explore_or_exploit(states, policy, scalar.epsilon_at(F.col("episode_id") * 40), 3)

@@ -8,14 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "run_id long, episode_id long, step long, stage int, fired boolean, running_return double, late boolean"
+OUTPUT = "run_id long, episode_id long, step long, stage int, fired boolean, running_return double, done boolean, late boolean"
+EMPTY = {"run_id": "int64", "episode_id": "int64", "step": "int64", "stage": "int32", "fired": "bool", "running_return": "float64", "done": "bool", "late": "bool"}
 
 
 class Progress(StatefulProcessor):
-    """Keeps (mark, return, steps, last step) of a group; rows of a batch are put in order of step first.
+    """Keeps (mark, return, steps, done) of a group and the last step of each of its episodes.
 
-    A row at or before the group's last step is late: it is reported as such and changes nothing. State expires
-    `ttl_ms` of processing time after the group's last rows.
+    A batch's rows are put in order of time, step and stage first, as the batch operator orders them: steps restart in
+    every episode. A row at or before its episode's last step is late: it is reported as such and changes nothing.
+    State expires `ttl_ms` of processing time after the group's last rows.
     """
 
     def __init__(self, ttl_ms: int):
@@ -23,38 +25,48 @@ class Progress(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("progress", "mark int, total double, steps long, last_step long")
+        self.state = handle.getValueState("progress", "mark int, total double, steps long, done boolean")
+        self.last = handle.getMapState("last_step", "episode_id long", "last_step long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["step", "stage"], kind="stable", na_position="first")
-        mark, total, steps, last = self.state.get() if self.state.exists() else (0, 0.0, 0, -1)
-        out, seen = [], None
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "step", "stage", "episode_id"], kind="stable", na_position="first")
+        mark, total, steps, done = self.state.get() if self.state.exists() else (0, 0.0, 0, False)
+        episodes = [int(e) for e in batch["episode_id"].unique()]
+        last = {e: self.last.getValue((e,))[0] if self.last.containsKey((e,)) else -1 for e in episodes}
+        out, seen = [], set()
         for row in batch.itertuples(index=False):
-            late = row.step <= last and row.step != seen
+            frame = (int(row.episode_id), int(row.step))
+            late = frame[1] <= last[frame[0]] and frame not in seen
             stage = 0 if pd.isna(row.stage) else int(row.stage)
             fired = not late and stage > mark
             if not late:
-                mark = max(mark, stage)
-                if row.step != seen:
+                mark, done = max(mark, stage), done or bool(row.done)
+                if frame not in seen:
                     total, steps = total + float(row.reward), steps + 1
-                seen = last = row.step
-            out.append((row.run_id, row.episode_id, row.step, stage, fired, total, late))
-        self.state.update((int(mark), float(total), int(steps), int(last)))
+                seen.add(frame)
+                last[frame[0]] = frame[1]
+            out.append((row.run_id, row.episode_id, row.step, stage, fired, total, done, late))
+        self.state.update((int(mark), float(total), int(steps), bool(done)))
+        for episode, step in last.items():
+            self.last.updateValue((episode,), (step,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
-        yield pd.DataFrame(out, columns=["run_id", "episode_id", "step", "stage", "fired", "running_return", "late"])
+        yield pd.DataFrame(out, columns=list(EMPTY))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
-        yield pd.DataFrame({"run_id": pd.Series(dtype="int64"), "episode_id": pd.Series(dtype="int64"), "step": pd.Series(dtype="int64"), "stage": pd.Series(dtype="int32"), "fired": pd.Series(dtype="bool"), "running_return": pd.Series(dtype="float64"), "late": pd.Series(dtype="bool")})
+        self.last.clear()
+        yield pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in EMPTY.items()})
 
     def close(self) -> None:
         pass
 
 
-def stream_progress(frames: DataFrame, keys: tuple[str, ...] = ("run_id", "episode_id"), ttl_ms: int = 3_600_000) -> DataFrame:
-    """Progress rows of a stream of frames(run_id, episode_id, step, stage or null, reward), stage being the milestone
-    that the frame hits. Needs the RocksDB state store. keys: ("run_id",) makes milestones one-shot per run."""
-    rows = frames.select("run_id", "episode_id", "step", "stage", "reward")
+def stream_progress(frames: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("run_id", "episode_id"), watermark: str | None = None, ttl_ms: int = 3_600_000) -> DataFrame:
+    """Progress rows of a stream of frames(run_id, episode_id, step, ts, kind or null, reward, done), kind being the zone
+    that the frame hits, and rules a static table of (kind, stage). Needs the RocksDB state store. keys: ("run_id",)
+    makes milestones one-shot per run. watermark: how far behind the latest ts rows may be before Spark drops them."""
+    staged = frames.join(rules.select("kind", "stage"), "kind", "left").select("run_id", "episode_id", "step", "ts", "stage", "reward", "done")
+    rows = staged if watermark is None else staged.withWatermark("ts", watermark)
     return rows.groupBy(*keys).transformWithStateInPandas(Progress(ttl_ms), OUTPUT, "Update", "ProcessingTime")

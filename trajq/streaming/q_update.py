@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from trajq import schemas
@@ -12,20 +12,36 @@ from trajq.operators.qlearn import q_update
 from trajq.sources.qstore import load_q, save_q, versions
 
 
-def apply_batch(batch: DataFrame, batch_id: int, path: str, n_actions: int, alpha: float, gamma: float, schema: str) -> None:
-    """One round over a micro-batch, from the newest version older than the batch to the version of its number.
+LOG = "batch string, parent long"
 
-    A batch that is replayed starts from the same parent and rewrites the same version, so a retry changes nothing.
+
+def apply_batch(batch: DataFrame, batch_id: int, path: str, n_actions: int, alpha: float, gamma: float, schema: str, source: str = "") -> None:
+    """One round over a micro-batch, from the newest version to the next one.
+
+    Which batch of which source made a version, and from which parent, is written down before the version is. A batch
+    that is replayed finds its version there, starts from the same parent and rewrites it, so a retry changes nothing;
+    another source, as a new checkpoint is, goes on from the newest version.
     """
-    spark = batch.sparkSession
-    parents = [v for v in versions(spark, path) if v < batch_id]
-    parent = load_q(spark, path, parents[-1], schema) if parents else spark.createDataFrame([], schema)
-    save_q(q_update(batch, parent, n_actions, alpha, gamma), path, batch_id)
+    spark, name = batch.sparkSession, f"{source}#{batch_id}"
+    noted = {v: read_note(spark, f"{path}/log/v={v}") for v in versions(spark, f"{path}/log")}
+    whole = versions(spark, path)
+    version = next((v for v, (made_by, _) in noted.items() if made_by == name), None)
+    if version is None:
+        version, parent = max([*noted, *whole], default=-1) + 1, max(whole, default=-1)
+        spark.createDataFrame([(name, parent)], LOG).coalesce(1).write.mode("overwrite").parquet(f"{path}/log/v={version}")
+    else:
+        parent = noted[version][1]
+    old = load_q(spark, path, parent, schema) if parent >= 0 else spark.createDataFrame([], schema)
+    save_q(q_update(batch, old, n_actions, alpha, gamma), path, version)
+
+
+def read_note(spark: SparkSession, path: str) -> tuple[str, int]:
+    return tuple(spark.read.schema(LOG).parquet(path).first())
 
 
 def stream_q_update(
     transitions: DataFrame, path: str, checkpoint: str, n_actions: int = 3, alpha: float = 0.1, gamma: float = 0.95, schema: str = schemas.Q
 ) -> DataStreamWriter:
     """A writer that keeps a Q-table under path up to date, a version per micro-batch. Start it with .start()."""
-    run = lambda batch, batch_id: apply_batch(batch, batch_id, path, n_actions, alpha, gamma, schema)
+    run = lambda batch, batch_id: apply_batch(batch, batch_id, path, n_actions, alpha, gamma, schema, checkpoint)
     return transitions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).queryName("q-update-" + json.dumps(path))

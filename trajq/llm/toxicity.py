@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,45 +24,58 @@ NEGATIONS = "not no never neither nor without nicht kein keine nie ohne ne pas j
 REPORTS = "said says say told called calls wrote quoted reported claimed sagte sagt nannte schrieb dit disait appelle écrit dijo dice llamó escribió".split()
 THREATS = "kill hurt destroy attack beat shoot stab burn hang strangle murder töten verletzen schlagen tuer frapper brûler matar golpear quemar".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-TOKEN = re.compile(r"[^\W\d_]+|[.,;:!?\n\"|()]")
-STEMS = range(2, 9)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = SYMBOLS = range(7)
+TOKEN = re.compile(r"[^\W\d_]+|[.;!?\n]")
+#: A word's first letters, so many of them, stand for the word where its own form is not known.
+STEMS = range(4, 9)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Two states; reading one of `marks` moves it from 0 to 1, any of `clears` back to 0."""
+    """Reads symbols one by one; step(state, symbol) gives the next state and whether it marks what it reads."""
 
     name: str
-    marks: frozenset[int]
-    clears: frozenset[int] = frozenset()
+    states: int
+    step: Callable[[int, int], tuple[int, bool]]
 
-    def step(self, state: int, symbol: int) -> int:
-        return 1 if symbol in self.marks else 0 if symbol in self.clears else state
 
+def within(opens: set[int], words: int) -> Callable[[int, int], tuple[int, bool]]:
+    """Marks the symbols that come at most `words` words after one of `opens` in the same clause."""
+    return lambda state, symbol: (0 if symbol == BREAK else words if symbol in opens else max(0, state - 1), state > 0)
 
-PARTS = (
-    Transducer("insult", frozenset({INSULT})),
-    Transducer("threat", frozenset({THREAT})),
-    Transducer("target", frozenset({TARGET})),
-    Transducer("negation", frozenset({NEGATION})),
-    Transducer("report", frozenset({REPORT})),
-)
+
+def after(opens: set[int]) -> Callable[[int, int], tuple[int, bool]]:
+    """Marks all symbols of a clause after one of `opens`."""
+    return lambda state, symbol: (0 if symbol == BREAK else 1 if symbol in opens else state, state > 0)
 
 
-def compose(parts: tuple[Transducer, ...] = PARTS) -> list[list[int]]:
-    """The product machine: table[state][symbol]; bit i of a state is the state of part i."""
-    states = list(itertools.product((0, 1), repeat=len(parts)))
-    number = {s: sum(bit << i for i, bit in enumerate(s)) for s in states}
-    table = [[0] * 6 for _ in states]
-    for s in states:
-        for symbol in range(6):
-            table[number[s]][symbol] = number[tuple(p.step(x, symbol) for p, x in zip(parts, s))]
+#: Negation acts on the two words after it, a report on the rest of its clause. An insult looks for a target before it
+#: in the clause; insults and threats look for one in the three words after them.
+PARTS = (
+    Transducer("negated", 3, within({NEGATION}, 2)),
+    Transducer("reported", 2, after({REPORT})),
+    Transducer("targeted", 2, after({TARGET})),
+    Transducer("sought", 4, within({INSULT, THREAT}, 3)),
+)
+#: Arc weights: what a negated and a reported hit still count.
+NEGATED, REPORTED = 0.2, 0.4
+
+
+def compose(parts: tuple[Transducer, ...] = PARTS) -> list[list[tuple[int, tuple[bool, ...]]]]:
+    """The product machine: table[state][symbol] is the next state and the mark of each part."""
+    states = list(itertools.product(*(range(p.states) for p in parts)))
+    number = {s: i for i, s in enumerate(states)}
+    table = []
+    for own in states:
+        moves = [[p.step(x, symbol) for p, x in zip(parts, own)] for symbol in SYMBOLS]
+        table.append([(number[tuple(to for to, _ in move)], tuple(mark for _, mark in move)) for move in moves])
     return table
 
 
-#: Features of a text: evidence, and clauses by kind.
-FEATURES = ("evidence", "plain insult", "insult at target", "threat", "threat at target", "negated", "reported", "insults per word")
+#: Path weights of a text, by the kind of hit; the share of insults among its words.
+FEATURES = ("insult", "insult at target", "threat", "threat at target", "insults per word")
+#: What the weights of FEATURES and the bias are drawn to where the labels say little. Weights are never negative.
+PRIOR = (1.5, 2.2, 0.4, 3.0, 0.5, -3.5)
 
 
 class Grammar:
@@ -73,43 +86,42 @@ class Grammar:
         self.closed = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
 
     def symbol(self, word: str) -> tuple[int, float]:
-        """The symbol of a word and its log-odds if an insult: the word's own, or its longest known stem's."""
+        """The symbol of a word, in any case, and the weight of its arc: an insult's log-odds, 3 for a threat."""
         found = self.known.get(word)
         if found is None:
-            own = word.lower() if word.isupper() and len(word) > 1 else word
+            own = word.lower()
             weight = next((self.lexicon[u] for u in (own, *(f"^{own[:n]}" for n in reversed(STEMS) if n <= len(own))) if u in self.lexicon), 0.0)
-            found = (INSULT, weight) if weight else (self.closed.get(own.lower(), OTHER), 0.0)
-            if len(self.known) > 500_000:
+            symbol = INSULT if weight else self.closed.get(own, OTHER) if own[0].isalpha() else BREAK
+            found = symbol, 3.0 if symbol == THREAT else weight
+            if len(self.known) > 50_000:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def paths(self, text: str | None) -> Iterator[tuple[int, float]]:
+        """(index in FEATURES, path weight) of every hit, as its clause reads from left to right."""
+        state, hit = 0, None
+        for token in TOKEN.findall(text or ""):
+            symbol, weight = self.symbol(token)
+            state, (negated, reported, targeted, sought) = self.table[state][symbol]
+            if symbol == TARGET and sought and hit is not None:
+                hit = (hit[0] | 1, hit[1])
+            if symbol in (INSULT, THREAT, BREAK) and hit is not None:
+                yield hit
+                hit = None
+            if symbol in (INSULT, THREAT):
+                hit = (2 if symbol == THREAT else int(targeted), weight * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0))
+        if hit is not None:
+            yield hit
+
     def features(self, text: str | None) -> list[float]:
-        out = [0.0] * len(FEATURES)
-        tokens = TOKEN.findall(text or "")
-        symbols = [self.symbol(t) for t in tokens]
-        if not any(s in (INSULT, THREAT) for s, _ in symbols):
-            return out
-        state, evidence, insults, words = 0, 0.0, 0, 0
-        for token, (symbol, weight) in zip(itertools.chain(tokens, "."), itertools.chain(symbols, [(OTHER, 0.0)])):
-            if token[0].isalpha():
-                words += 1
-                state = self.table[state][symbol]
-                evidence += weight
-                insults += symbol == INSULT
-            elif state or evidence:  # a clause ends
-                insult, threat, target, negated, reported = (state >> i & 1 for i in range(5))
-                if insult or threat:
-                    factor = (0.5 if negated else 1.0) * (0.5 if reported else 1.0)
-                    out[0] += evidence * factor
-                    out[1 + target if insult else 3 + target] += factor
-                    out[5] += negated
-                    out[6] += reported
-                state, evidence = 0, 0.0
-        out[0] = min(out[0], 60.0)
-        out[1:7] = [min(x, 20.0) for x in out[1:7]]
-        out[7] = min(1.0, 20.0 * insults / max(words, 1))
-        return out
+        """log2(1 + sum) of the paths of each kind, whatever their number, and 20 times the share of insults, at most 1."""
+        sums, hits = [0.0] * 4, 0
+        for kind, weight in self.paths(text):
+            sums[kind] += weight / 3.0
+            hits += kind < 2
+        words = len((text or "").split()) if hits else 1
+        return [*(math.log2(1.0 + x) for x in sums), min(1.0, 20.0 * hits / max(words, 1))]
 
 
 @dataclass(frozen=True)
@@ -131,7 +143,7 @@ def _units(texts: Iterator[str | None], wanted: set[str] | None) -> tuple[set[tu
             if not word[0].isalpha():
                 continue
             n += 1
-            own = word.lower() if word.isupper() and len(word) > 1 else word
+            own = word.lower()
             context = xxhash.xxh32_intdigest(before)
             for unit in (own, *(f"^{own[:k]}" for k in STEMS if k <= len(own))):
                 if wanted is None or unit in wanted:
@@ -155,13 +167,15 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
 
     A unit (a word, or its first letters) is an insult if the number of distinct words it follows in toxic texts
     exceeds what clean texts let expect: log-odds of least_odds or more, log-likelihood gain of `least` or more.
-    Copies of a text repeat the same contexts, so they add nothing. The weights come from a ridge logistic fit.
-    labelled should be a bounded sample; its features, 8 numbers a row, are collected.
+    Copies of a text repeat the same contexts, so they add nothing. Beginnings of 4 to 8 letters count beside words, if
+    a word of the lexicon has them. The weights come from a logistic fit drawn to PRIOR, none of them negative.
+    labelled should be a bounded sample: its units and its features, 5 numbers a row, are collected. Null and empty texts
+    have no hits; rows without a label are left out; without rows the weights are PRIOR.
     """
     ship_package(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label")).where("label is not null")
     toxic, toxic_n = _contexts(rows.where("label = 1").select("text"), None, 1)
-    candidates = toxic.groupBy("unit").agg(F.count_distinct("context").alias("n")).where("n >= 5").orderBy(F.desc("n"), "unit").limit(10 * most_units).collect()
+    candidates = toxic.groupBy("unit").agg(F.count_distinct("context").alias("n")).where("n >= 5").collect()
     positive = {r.unit: r.n for r in candidates}
     clean, clean_n = _contexts(rows.where("label <> 1").select("text"), set(positive), 1)
     negative = {r.unit: r.n for r in clean.groupBy("unit").agg(F.count_distinct("context").alias("n")).collect()}
@@ -173,6 +187,8 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
         gain = pos * math.log(pos / (share * (pos + neg))) + (neg * math.log(neg / ((1 - share) * (pos + neg))) if neg else 0.0)
         if odds >= least_odds and gain >= least:
             lexicon[unit] = round(odds, 4)
+    stems = {f"^{w[:k]}" for w in lexicon if w[0] != "^" for k in STEMS if k <= len(w)}
+    lexicon = {u: w for u, w in lexicon.items() if u[0] != "^" or u in stems}
     lexicon = dict(sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:most_units])
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,23 +197,28 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([grammar.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], ["label", "x"])
 
     fitted = rows.mapInArrow(featurise, "label int, x array<double>").collect()
-    x = np.array([[*r.x, 1.0] for r in fitted] or [[0.0] * len(FEATURES) + [1.0]])
-    y = np.array([float(r.label == 1) for r in fitted] or [0.0])
-    w, ridge = np.zeros(x.shape[1]), np.array([0.3] * len(FEATURES) + [1e-3])
-    for _ in range(40):
+    x = np.array([[*r.x, 1.0] for r in fitted]).reshape(-1, len(FEATURES) + 1)
+    y = np.array([float(r.label == 1) for r in fitted])
+    prior = np.array(PRIOR)
+    w, ridge, least = prior.copy(), np.array([1.0] * len(FEATURES) + [0.1]), np.array([0.05] * len(FEATURES) + [-np.inf])
+    for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         hessian = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(hessian, x.T @ (q - y) + ridge * w)
-        w -= step / max(1.0, float(np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
+        move = np.linalg.solve(hessian, x.T @ (q - y) + ridge * (w - prior))
+        after_move = np.maximum(w - 0.5 * move, least)
+        done = np.abs(after_move - w).max() < 1e-8
+        w = after_move
+        if done:
             break
     return ToxicityModel(lexicon, tuple(float(v) for v in w))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """A row per row of docs: id_col, score (0 to 1), predicted (1 if score >= threshold, else 0), n_matched clauses.
+    """A row per row of docs: id_col, score (0 to 1), predicted (1 if score >= threshold, else 0), matched (the path weights of all hits, each kind's as in
+    Grammar.features).
 
-    Only the text is read. Null and empty texts have no clause and get the score of a text without matches.
+    Only the text is read, whole. Null and empty texts have no clause and get the score of a text without hits; repeated
+    rows each get a row; an empty table gives no rows; other columns are not read, so their names can't clash.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
@@ -208,7 +229,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             features = [grammar.features(t) for t in batch.column(1).to_pylist()]
             scores = [model.score(x) for x in features]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([sum(x[1:5]) for x in features], pa.float64())],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([sum(x[:4]) for x in features], pa.float64())],
                 [id_col, "score", "predicted", "matched"],
             )
 
@@ -219,10 +240,11 @@ def crc_remainder(id_col: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(modulus))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", most_rows: int = 12_000, modulus: int = 3, held: int = 1) -> DataFrame:
-    """Texts with labels, of rows outside the held-out fold: all of them, or a hash sample of about most_rows."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", most_rows: int = 12_000, modulus: int = 3, held: int = 1) -> DataFrame:
+    """Texts with labels, of rows outside the held-out fold: all of them, or a hash sample of about most_rows labelled ids.
+    Repeated rows of docs count once for each different text."""
     train = labels.where(F.col(label_col).isNotNull() & (crc_remainder(F.col(id_col), modulus) != held)).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     n = train.count()
     kept = train.where(F.pmod(F.xxhash64(F.lit(4), id_col), F.lit(1_000_000)) < F.lit(1_000_000.0 * min(1.0, most_rows / max(n, 1))))
-    texts = docs.select(F.col(id_col), "text")
-    return texts.join(F.broadcast(kept), id_col).select("text", label_col)
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(kept), id_col)
+    return texts.dropDuplicates([id_col, "text"]).select("text", label_col)

@@ -17,7 +17,7 @@ from trajq.llm.ngram_join import ngram_jaccard_components, one_per_component
 from trajq.llm.packing import default_vocabulary, pack
 from trajq.llm.pii import permute_digits, pseudonymise
 from trajq.llm.quality import quality_cascade, quality_report
-from trajq.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
+from trajq.llm.toxicity import PRIOR, Grammar, ToxicityModel, fit_toxicity, score_toxicity, training_sample
 from trajq.llm.warc import archive_round_trip, read_archives, write_archives
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, component_id string, _norm int, size string"
@@ -138,14 +138,39 @@ def test_pii(spark, odd, empty):
 
 
 def test_toxicity(spark, odd, empty):
-    model = ToxicityModel({"scum": 5.0}, (1.0, 0, 0, 0, 0, 0, 0, 1.0, -3.0))
+    model = ToxicityModel({"scum": 6.0}, PRIOR)
     scores = {r.doc_id: r.score for r in score_toxicity(odd, model).collect()}
     assert len(set(scores.values())) == 1 and score_toxicity(empty, model).count() == 0
-    said = spark.createDataFrame([(1, "you scum"), (2, "you are not scum"), (3, "he said scum"), (4, "SCUM!! SCUM!!")], "doc_id long, text string")
-    by_id = {r.doc_id: r.score for r in score_toxicity(said, model).collect()}
-    assert by_id[1] > by_id[2] and by_id[1] > by_id[3] and by_id[4] > by_id[1]
     fitted = fit_toxicity(spark.createDataFrame([], "text string, toxic int"))
-    assert 0 <= fitted.score([0.0] * 8) <= 1
+    assert fitted.weights == PRIOR and fitted.lexicon == {}
+
+
+def test_toxic_clauses():
+    model, grammar = ToxicityModel({"scum": 6.0}, PRIOR), Grammar({"scum": 6.0})
+    score = lambda text: model.score(grammar.features(text))
+    direct = score("you scum")
+    assert direct > score("you are not scum") and direct > score("he said you scum") and score("SCUM!! SCUM!!") > score("scum")
+    # Order: a report or a negation acts on what follows, and a threat needs its target after it.
+    assert score("you scum he said nothing") == direct > score("he said nothing you scum")
+    assert score("scum not you") > score("not scum you") and score("no doubt you scum") == direct
+    assert score("I will kill you") > score("they kill time") and score("kill you") > score("do not kill you")
+    assert score("scum. You") < score("scum you")
+
+
+def test_harmless_and_toxic_sentences(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(training_sample(docs, labels))
+    harmless = ["I had an idea about the identity of the travel agency. We trade there.", "The tradition of transport and travel is old."]
+    texts = [*harmless, "I will kill you", "You Are Trash", "You are trash", "You are not trash", "He said you are trash", "I will not kill you"]
+    got = [r.score for r in score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).collect()]
+    assert max(got[:2]) < 0.5 and got[3] == got[4] > max(got[5:7]) and got[2] > got[7] and min(got[2:5]) > 0.5
+    assert min(model.weights[:-1]) > 0
+    scores = score_toxicity(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1").select("score", "toxic").collect()
+    toxic, clean = ([r.score for r in scores if r.toxic == t] for t in (1, 0))
+    # Four of the 18 toxic labels are on texts without any insult (shouting, a licence line); the others rank above all clean ones.
+    auc = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert auc > 0.88 and sum(a > max(clean) for a in toxic) >= len(toxic) - 4
 
 
 def test_lm(spark, odd, empty):

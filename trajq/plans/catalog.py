@@ -14,6 +14,7 @@ from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
 from trajq.operators import tiles as ti
 from trajq.operators import transitions as tr
+from trajq.session import materialise
 
 from . import adapters as ad
 
@@ -95,7 +96,7 @@ _NEXT = """transition AS (SELECT run_id, episode_id, step, coalesce(lag(obs) OVE
 def greedy_next_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = ad.traj(spark, sf_dir).withColumns({"action": F.col("obs"), "reward": F.col("reward") + 60})
     transitions = tr.build_transitions(frames)
-    actions = frames.select("action").distinct()
+    actions = materialise(frames.select("action").distinct(), "actions")  # a small table, which Spark then broadcasts by its size
     return ql.greedy_policy(ql.q_iterate(transitions, rounds=2, n_actions=actions.count()), actions)
 
 

@@ -1,13 +1,14 @@
 """Nulls, empty texts, long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import os
 import random
 
 import pytest
 from brute import components, shingles
 from pyspark.sql import functions as F
 
-from trajq.llm import ngram_join
+from trajq.llm import ngram_join, warc
 from trajq.llm.chat import conversation_digests, format_conversations, read_turns
 from trajq.llm.components import connected_components
 from trajq.llm.exact import content_sort_dedup
@@ -283,4 +284,22 @@ def test_archives(spark, tmp_path):
         manifest = write_archives(pages, f"file://{tmp_path}/{name}", roll_bytes=300)
         files.append(sorted((r.file, r.file_sha1) for r in manifest.collect()))
         assert read_archives(spark, f"file://{tmp_path}/{name}").count() == 7
+        assert not os.path.exists(f"{tmp_path}/{name}/_temporary")
     assert files[0] == files[1] and len(files[0]) > 3
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    """Repeated rows, a null id beside the id "None", and one id with two payloads; the first date is in another zone's day."""
+    rows = [("1", "x" * 2000), ("1", "x" * 2000), ("1", "x" * 2000), ("1", "y"), ("1", "y"), (None, "z"), ("None", "z"), ("0", "x" * 2000)]
+    pages = spark.createDataFrame([(i, "u", t, n) for n, (i, t) in enumerate(rows)], "page_id string, url string, html string, n int")
+    dated = pages.withColumn("at", F.when(F.col("n") == 7, F.timestamp_seconds(F.lit(1_700_000_000))))
+    manifest = write_archives(dated, f"file://{tmp_path}/w", date_col="at")
+    heads = []
+    for r in manifest.collect():
+        with open(f"{tmp_path}/w/{r.file}", "rb") as f:
+            heads += [h for h, _ in warc._records(f) if h["WARC-Type"] != "warcinfo"]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) == 8
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3 and all(ids[h["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[h["WARC-Refers-To"]]["X-Page-Id"] == "1" for h in revisits)
+    assert {h["WARC-Date"] for h in heads if h["X-Page-Id"] == "0"} == {"2023-11-14T22:13:20Z"} and {h["WARC-Date"] for h in heads if h["X-Page-Id"] == "1"} == {warc.DATE}

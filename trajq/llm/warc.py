@@ -19,14 +19,15 @@ from trajq.session import ship_package
 
 from .common import hot_keys, materialise, scratch, shuffle_partitions
 
-#: Written in every record, so that a rewrite gives the same bytes.
+#: Written in records of no date of their own and never the clock's, so that a rewrite gives the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, records long, file_bytes long, file_sha1 string"
 RECORDS = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, intact boolean"
 
 
-def _record_id(page: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def _record_id(*what: object) -> str:
+    """Of a page's record: its id, payload digest and number among the rows that have both in common."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr(what))}>"
 
 
 def _b32(hex_digest: str) -> str:
@@ -41,13 +42,13 @@ def _member(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress(text.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def _response(page: object, url: str | None, payload: bytes, digest: str, refers_to: tuple | None) -> bytes:
+def _response(page: object, url: str | None, date: str, payload: bytes, digest: str, nth: int, refers_to: tuple | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to else http + payload
     headers = [
         ("WARC-Type", "revisit" if refers_to else "response"),
-        ("WARC-Record-ID", _record_id(page)),
-        ("WARC-Date", DATE),
+        ("WARC-Record-ID", _record_id(page, digest, nth)),
+        ("WARC-Date", date),
         ("WARC-Target-URI", url or f"urn:page:{page}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", f"sha1:{_b32(digest)}"),
@@ -58,7 +59,7 @@ def _response(page: object, url: str | None, payload: bytes, digest: str, refers
     if refers_to:
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", _record_id(refers_to[0])),
+            ("WARC-Refers-To", _record_id(refers_to[0], digest, 0)),
             ("X-Refers-To-Page-Id", "" if refers_to[0] is None else refers_to[0]),
         ]
     return _member(headers, block)
@@ -93,7 +94,7 @@ class _Roller:
         return self.name, self.records, self.size, self.sha.hexdigest()
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = 8 << 20, min_revisit: int = 1000) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, roll_bytes: int = 8 << 20, min_revisit: int = 1000) -> DataFrame:
     """Write one WARC record per row to `folder` (a URI that driver and executors share) and return the manifest.
 
     Rows are range-sorted by payload digest and descending id, so the first of equal payloads is the response and its
@@ -104,13 +105,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Spark after all of them, is the commit: readers follow it and never list the folder.
 
     A null payload is empty; a null url becomes urn:page:ID; null ids rank last; of repeated rows the first is the
-    response. An empty table gives an empty manifest.
+    response, and each has a record id of its own. date_col is a timestamp, DATE where it is null or not given. Other
+    columns are not read, so their names can't clash. A payload is held whole, whatever its length. An empty table gives
+    an empty manifest. What failed attempts left under temporary names is deleted once the manifest is written.
     """
     spark = pages.sparkSession
     ship_package(spark)
     parts = shuffle_partitions(spark)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns(
+    utc = F.lit(None) if date_col is None else F.date_format(F.to_utc_timestamp(F.col(date_col), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.coalesce(utc.cast("string"), F.lit(DATE))
+    keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), date.alias("date"), payload.alias("payload")).withColumns(
         {"digest": F.sha1("payload"), "large": F.octet_length("payload") >= min_revisit}
     )
     weights = keyed.where("large").select("digest", "page_id", (F.octet_length("payload") + 256).cast("long").alias("w"))
@@ -119,34 +124,36 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     ranged = (
         keyed.join(F.broadcast(hot), "digest", "left")
         .withColumns({"salt": salt.cast("int"), "split": F.col("n_salts").isNotNull() & F.col("large")})
-        .select("digest", "salt", "page_id", "url", "payload", "large", "split", "top")
+        .select("digest", "salt", "page_id", "url", "date", "payload", "large", "split", "top")
         .repartitionByRange(parts, "digest", "salt")
-        .sortWithinPartitions("digest", "salt", F.col("page_id").desc_nulls_last(), "url")
+        .sortWithinPartitions("digest", "salt", F.col("page_id").desc_nulls_last(), "url", "date")
     )
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(f"{path}/_temporary", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
-        roller, done, group, written = _Roller(fs, path, roll_bytes), [], None, None
+        roller, done, group, same, nth = _Roller(fs, path, roll_bytes), [], None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 page, refers_to = row["page_id"], None
+                nth = nth + 1 if same == (row["digest"], page) else 0
+                same = row["digest"], page
                 if row["large"]:
                     if row["split"]:
-                        first = page == row["top"] and written != (row["digest"], page)
-                        head = row["top"]
+                        first, head = page == row["top"] and nth == 0, row["top"]
                     else:
                         first = row["digest"] != group
                         head = page if first else head  # noqa: F821
                     refers_to = None if first else (head,)
-                    group, written = row["digest"], (row["digest"], page)
-                done += roller.write(_response(page, row["url"], row["payload"].encode(), row["digest"], refers_to))
+                    group = row["digest"]
+                done += roller.write(_response(page, row["url"], row["date"], row["payload"].encode(), row["digest"], nth, refers_to))
         if roller.out is not None:
             done.append(roller.close())
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "records", "file_bytes", "file_sha1"])
 
     ranged.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    fs.delete_dir(f"{path}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # The forms that are looked for, tried in this order. All are bounded or possessive, so that a search
 # takes time in proportion to the text.
-SECRET = r"(?i:token|secret|api[_-]?key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Za-z_.+/=~\-]{16,}+"
+SECRET = r"(?i:token|secret|api[_-]?key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Za-z_.+/=~\-]{16,}+|(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
+IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+IBAN = rf"(?<![0-9A-Za-z])(?:{'|'.join(IBAN_COUNTRIES)})\d{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?(?![0-9A-Za-z])"
 EMAIL = r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]{1,64}+@[\p{L}\p{M}0-9\-]{1,63}(?:\.[\p{L}\p{M}0-9\-]{1,63}){1,8}"
 PHONE = (
     r"\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"
@@ -16,10 +18,11 @@ PHONE = (
     r"|(?<![\p{L}\d.\-+(/])\d{3}([ .\-])\d{3}\1\d{4}(?![\d\-/]|\.\d)"
 )
 CARD = r"(?<!\d)(?:\d{4}([ \-])\d{4}\2\d{4}\2\d{4}|\d{4}([ \-])\d{6}\3\d{5}|\d{13,19}+)(?!\d)"
-IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
+SSN = r"(?<![\p{L}\d.\-+(/])\d{3}-\d{2}-\d{4}(?![\d\-/]|\.\d)"
+IPV4 = r"(?<![\d.])(?<!\b(?i:version|release|section|chapter|v)[ ]{0,2})(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d\-/]|\.\d)"
-ANY = "|".join((SECRET, EMAIL, PHONE, CARD, IPV4, DATE))
-KINDS = ("secret", "email", "phone", "card", "ip", "date")
+ANY = "|".join((SECRET, EMAIL, IBAN, PHONE, CARD, SSN, IPV4, DATE))
+KINDS = ("secret", "email", "phone", "card", "ip", "date", "iban", "ssn")
 #: Dates from 1900-01-01 to 2099-12-31 are permuted among themselves, by number of the day.
 FIRST_DAY, N_DAYS = "1900-01-01", 73049
 ROUNDS = 10
@@ -89,6 +92,31 @@ def _phone(match: Column, key: str) -> Column:
     return F.concat(head, refill(rest, permute_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
 
 
+def _mod97(chars: Column) -> Column:
+    """The remainder of digits and capitals by 97, a letter standing for two digits (A is 10)."""
+    step = lambda x, c: F.when(c.rlike("[0-9]"), (x * 10 + c.cast("int")) % 97).otherwise((x * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.filter(F.split(chars, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _iban_body(match: Column) -> Column:
+    return F.substring(F.replace(match, F.lit(" ")), F.lit(5), F.char_length(match))
+
+
+def _iban(match: Column, key: str) -> Column:
+    """The digits of the account are permuted among themselves; country and letters stay; the check digits are new."""
+    country, digits = F.substring(match, 1, 2), permute_digits(F.regexp_replace(_iban_body(match), "[^0-9]", ""), key, "iban")
+    check = lambda d: F.lpad((98 - _mod97(F.concat(refill(_iban_body(match), d), country, F.lit("00")))).cast("string"), 2, "0")
+    return _let(digits, lambda d: refill(match, F.concat(check(d), d)))
+
+
+def _ssn(match: Column, key: str) -> Column:
+    """Among the 898 areas (1 to 899 but for 666), 99 groups and 9999 serial numbers that exist."""
+    area, group, serial = (F.substring(match, i, n).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
+    mixed = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
+    parts = lambda s: ((s["l"] + F.when(s["l"] >= 665, 2).otherwise(1), 3), (F.floor(s["r"] / 9999) + 1, 2), (s["r"] % 9999 + 1, 4))
+    return _let(mixed, lambda s: F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts(s)]))
+
+
 def _ip(match: Column, key: str) -> Column:
     octet = lambda i: F.element_at(F.split(match, r"\."), i).cast("long")
     mixed = feistel(octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), F.lit(65536), F.lit(65536), key, "ip")
@@ -118,7 +146,7 @@ def _email(match: Column, key: str) -> Column:
 
 
 def _secret(match: Column, key: str) -> Column:
-    head = F.regexp_extract(match, r"^(?i:token|secret|api[_-]?key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?", 0)
+    head = F.regexp_extract(match, r"^(?i:token|secret|api[_-]?key|password)[ ]{0,3}[=:][ ]{0,3}[\"']?|^(?:AKIA|ASIA)", 0)
     tail = F.regexp_extract(match, r"\.*$", 0)  # the end of a sentence, not of the value
     value = F.substring(match, F.char_length(head) + 1, F.char_length(match) - F.char_length(head) - F.char_length(tail))
     digest = _digest(key, "secret", value)
@@ -134,8 +162,10 @@ def _judge(match: Column, key: str) -> Column:
     made = lambda kind, new: F.struct(F.lit(kind).alias("kind"), new.alias("new"))
     octets = F.forall(F.split(match, r"\."), lambda o: o.cast("int") < 256)
     return (
-        F.when(whole(r"(?i:token|secret|api|password).*"), made("secret", _secret(match, key)))
+        F.when(whole(r"(?i:token|secret|api|password).*|(?:AKIA|ASIA)[0-9A-Z]{16}"), made("secret", _secret(match, key)))
         .when(match.contains("@"), made("email", _email(match, key)))
+        .when(whole(r"[A-Z]{2}\d{2}[0-9A-Z ]+"), F.when((_mod97(F.concat(_iban_body(match), F.substring(match, 1, 4))) == 1) & (F.char_length(digits) >= 4), made("iban", _iban(match, key))))
+        .when(whole(r"\d{3}-\d{2}-\d{4}"), F.when(~whole(r"(?:000|666|9\d\d)-.*|.*-00-.*|.*-0000"), made("ssn", _ssn(match, key))))
         .when(whole(r"\+.*|\(\d{3}\).*|\d{3}[ .\-]\d{3}[ .\-]\d{4}"), F.when(F.char_length(digits).between(8, 16), made("phone", _phone(match, key))).when(~match.startswith("+"), made("phone", _phone(match, key))))
         .when(whole(r"\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}"), F.when(F.pmod(_luhn_sum(digits), F.lit(10)) == 0, made("card", _card(match, key))))
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"), F.when(octets, made("ip", _ip(match, key))))
@@ -144,21 +174,23 @@ def _judge(match: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """docs with text_col's personal data replaced, and added columns n_secret, n_email, n_phone, n_card, n_ip, n_date.
+    """docs with text_col's personal data replaced, and added columns n_secret, n_email, n_phone, n_card, n_ip, n_date, n_iban, n_ssn.
 
-    Card numbers (13 to 19 digits that pass the Luhn test), phone numbers, IPv4 addresses and calendar dates are
+    Card numbers (13 to 19 digits that pass the Luhn test), phone numbers, IPv4 addresses, calendar dates, IBANs (that
+    pass the mod-97 test, in one piece or in groups of four) and US social security numbers (3-2-4, of ranges in use) are
     permuted by a keyed Feistel network within their format: the pseudonym is a valid value of the same form, distinct
     values stay distinct and equal values equal in every document. E-mail addresses and secrets become keyed digests.
     Numbers that fail validation are left as they are. Phones are +, a country code and 8 to 16 digits in all in groups, or
     3-3-4 digits with separators or parentheses; cards are unseparated, 4-4-4-4 or 4-6-5; dates with slashes are read day
     first, else month first. Not covered: national numbers in other groupings or without separators, cards in other
     groupings, dates with month names, two-digit years or single digits, years outside 1900 to 2099, IPv6, secrets
-    under 16 characters or not after one of the four words. A null text stays null with zero counts; existing columns of the
+    under 16 characters or not after one of the four words (but for AKIA and ASIA keys). Four numbers with dots right after
+    version, release, section, chapter or v are no address; elsewhere they are taken for one. A null text stays null with zero counts; existing columns of the
     added names are replaced; repeated rows each get a row. The key shows in query plans: pass one made for the job.
     """
     counts = [f"n_{k}" for k in KINDS]
     text = F.col(text_col).cast("string")
-    found = F.when(text.rlike("[0-9@]|(?i:token|secret|key|password)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike("[0-9@]|(?i:token|secret|key|password)|AKIA|ASIA"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     hits = docs.drop(*counts).withColumn("__found", found)
     hits = hits.withColumn("__hits", F.transform("__found", lambda m: F.struct(m.alias("old"), _judge(m, key).alias("judged"))))
     parts = F.split(text, ANY, -1)

@@ -31,7 +31,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonymise(read(spark, sf_dir, "documents"), key="an example key, not for production")
-    return out.select("doc_id", "text", "n_secret", "n_email", "n_phone", "n_card", "n_ip", "n_date")
+    return out.select("doc_id", "text", "n_secret", "n_email", "n_phone", "n_card", "n_ip", "n_date", "n_iban", "n_ssn")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

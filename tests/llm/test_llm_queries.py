@@ -40,7 +40,7 @@ def test_op3_links_equal_values_and_spares_the_rest(spark, sf, texts):
     seen = {}
     for r in queries.op3_pii(spark, sf).collect():
         before, after = texts[r.doc_id], r.text
-        n = r.n_secret + r.n_email + r.n_phone + r.n_card + r.n_ip + r.n_date
+        n = r.n_secret + r.n_email + r.n_phone + r.n_card + r.n_ip + r.n_date + r.n_iban + r.n_ssn
         assert (before == after) == (n == 0)
         assert len(token.findall(before)) >= n
         if not r.n_email:
@@ -128,7 +128,11 @@ def test_op8(spark, sf, texts):
         covered = {j for i, w in enumerate(zip(own, own[1:], own[2:])) if windows[w] > 1 for j in range(i, i + 3)}
         assert (r.n_words, r.word_chars) == (len(own), sum(len(w.decode()) for w in own))
         assert (r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
-        assert r.base_failed == (len(own) < 50 or 100 * len(covered) > 50 * len(own)) and not (r.kept and r.base_failed)
+        assert r.base_failed == (len(own) < 50 or 100 * len(covered) > 50 * len(own))
+        # The production rules, all of them and in no order.
+        chars, symbols, repeats = r.word_chars, r.n_symbols, len(lines) - len(set(lines))
+        bad = 100 * symbols > 10 * len(own) or (repeats >= 4 and 100 * repeats > 30 * len(lines)) or 100 * len(re.findall("!!", text)) > 30 * len(own)
+        assert r.kept == (not r.base_failed and not bad and 2 * len(own) <= chars <= 15 * len(own))
 
 
 def test_op9(spark, sf, con):

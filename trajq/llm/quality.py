@@ -128,7 +128,8 @@ def verdict(features: TextFeatures, ordered: Iterable[Rule]) -> bool:
 
 
 def quality_cascade(docs: DataFrame, rules: Iterable[Rule] = RULES, text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """The rows of docs, with all their columns, whose text every rule passes. A null text counts as empty."""
+    """The rows of docs, with all their columns, whose text every rule passes. A null text counts as empty, and so has
+    too few words; texts are judged whole; repeated rows are judged each; columns of any name go along; no rows give none."""
     ordered = order_rules(docs, rules, text_col, sample_rows)
     at = docs.columns.index(text_col)
 
@@ -142,7 +143,9 @@ def quality_cascade(docs: DataFrame, rules: Iterable[Rule] = RULES, text_col: st
 def quality_report(docs: DataFrame, rules: Iterable[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
     """For every row: id_col, the base figures, base_failed and kept (false if base_failed, else the cascade's verdict).
 
-    Null and empty texts have no words, so base_failed holds; repeated rows each get a row; other columns are ignored.
+    Null and empty texts have no words, so base_failed holds; repeated rows each get a row; other columns are ignored; an
+    empty table gives no rows. As the figures are columns, each is computed for every text here: the cascade decides
+    `kept` but saves work only in quality_cascade, which returns documents.
     """
     ordered = order_rules(docs, rules, text_col, sample_rows)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))

@@ -33,3 +33,16 @@ def components(sets, least, scale):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def passes_rules(text):
+    """The production quality rules, all of them and in no order."""
+    text = text or ""
+    own = words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    windows = list(zip(own, own[1:], own[2:]))
+    often = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 3)}
+    n, chars, repeats = len(own), sum(len(w.decode()) for w in own), len(lines) - len(set(lines))
+    bad = n < 50 or 100 * len(covered) > 50 * n or 100 * sum(map(text.count, "#*$%&|<>")) > 10 * n or 100 * text.count("!!") > 30 * n
+    return not bad and not (repeats >= 4 and 100 * repeats > 30 * len(lines)) and 2 * n <= chars <= 15 * n

@@ -76,7 +76,7 @@ def test_stream_q_update_equals_batches(spark, sf, tmp_path):
     _in_files(t, "run_id", str(tmp_path / "in"), 3)
     stream = spark.readStream.schema(TRANSITION).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = stream_q_update(stream, str(tmp_path / "q"), str(tmp_path / "c"), gamma=0.0).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     assert versions(spark, str(tmp_path / "q")) == [0, 1, 2]
     want = {(r.state, r.action): round(r.q, 6) for r in ql.q_update(t, ql.empty_q(t), 3, gamma=0.0).collect()}
     assert {(r.state, r.action): round(r.q, 6) for r in load_q(spark, str(tmp_path / "q")).collect()} == want
@@ -110,7 +110,7 @@ def test_stream_progress_equals_batch(spark, sf, tmp_path, keys):
     stream = spark.readStream.schema(by_time.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     name = "progress" + str(len(keys))
     query = stream_progress(stream, sp.rule_dim(spark), keys).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(200)
+    assert query.awaitTermination(200)
     got = spark.table(name).collect()
     assert len(got) == frames.count() and not any(r.late for r in got)
     want = rw.milestones(adapters.stages(spark, sf), sp.rule_dim(spark), list(keys)).collect()

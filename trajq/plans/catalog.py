@@ -14,7 +14,12 @@ from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
 from trajq.operators import tiles as ti
 from trajq.operators import transitions as tr
-from trajq.session import materialise
+from trajq.session import materialise, scratch, setting
+from trajq.sources import frames as fr
+from trajq.sources import qstore as qs
+from trajq.sources.tiles import read_tile_grid as read_maps
+from trajq.streaming.progress import stream_progress as progress
+from trajq.streaming.q_update import stream_q_update as learn
 
 from . import adapters as ad
 
@@ -452,3 +457,103 @@ def explore_or_exploit(spark, sf_dir):
     policy = ql.greedy_policy(_q(spark, sf_dir), ql.action_dim(spark))
     states = _transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state")
     return ql.explore_or_exploit(states, policy, scalar.epsilon_at(F.col("episode_id") * 40), 3)
+
+
+# ---- sources and streams: what is written to the scratch folder, read back
+
+
+@_query(
+    _with("tile")
+    + """SELECT map_id, pos, code, ((pos % 32) * 32)::INT AS x, (floor(pos / 32) * 32)::INT AS y FROM (
+      SELECT map_id, code, (row_number() OVER (PARTITION BY map_id ORDER BY pos, code) - 1)::INT AS pos FROM tile)"""
+)
+def read_tile_grid(spark, sf_dir):
+    path = scratch(spark, "maps")
+    codes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda p: p["code"].cast("string"))
+    lines = F.array_join(F.transform(codes, lambda c, i: F.concat(F.when(i == 0, "").when(i % 32 == 0, "\r\n").otherwise(" "), c)), "")
+    ad.tiles(spark, sf_dir).groupBy("map_id").agg(lines.alias("value")).write.partitionBy("map_id").text(path)
+    return read_maps(spark, path).withColumn("map_id", F.regexp_extract("map_id", "/map_id=([^/]+)/", 1))
+
+
+_FRAME_SQL = """SELECT run_id, episode_id, step, strftime(t.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, t.elapsed, map_id, round(x, 6) AS x, round(y, 6) AS y,
+  round(heading, 6) AS heading, round(vx, 6) AS vx, round(vy, 6) AS vy, m.action FROM motion m JOIN traj t USING (run_id, episode_id, step)"""
+
+
+def _frame_files(spark, sf_dir) -> str:
+    path = scratch(spark, "frames")
+    timed = ad.traj(spark, sf_dir).select(*schemas.FRAME_KEYS, F.col("ts").cast("timestamp"), "elapsed")
+    columns = [c.split()[0] for c in schemas.FRAME.split(", ")]
+    ad.motion(spark, sf_dir).join(timed, schemas.FRAME_KEYS).select(*columns).write.parquet(path)
+    return path
+
+
+@_query(_with("traj", "motion") + _FRAME_SQL)
+def read_frames(spark, sf_dir):
+    return fr.read_frames(spark, _frame_files(spark, sf_dir)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@_query(_with("traj", "motion") + _FRAME_SQL)
+def stream_frames(spark, sf_dir):
+    out = scratch(spark, "streamed")
+    stream = fr.stream_frames(spark, _frame_files(spark, sf_dir))
+    stream.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
+    return fr.read_frames(spark, out).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@_query(
+    _with("traj")
+    + """SELECT run_id, 'episode ' || episode_id || ', reward ' || printf('%.2f', sum(reward)) || ', epsilon '
+      || printf('%.3f', greatest(0.01::DOUBLE, pow(0.9999::DOUBLE, row_number() OVER (PARTITION BY run_id ORDER BY episode_id)))) AS line
+    FROM traj GROUP BY run_id, episode_id"""
+)
+def write_episode_log(spark, sf_dir):
+    path = scratch(spark, "episodes")
+    fr.write_episode_log(ep.episode_summary(ad.traj(spark, sf_dir)), path, text=True)
+    return spark.read.schema("value string, run_id long").text(path).select("run_id", F.col("value").alias("line"))
+
+
+@_query(_with("traj", TRANSITION, _rounds(2)) + "SELECT 0 AS version, state, action, round(q, 6) AS q FROM q1 UNION ALL SELECT 1, state, action, round(q, 6) FROM q2")
+def save_load_q(spark, sf_dir):
+    path, transitions = scratch(spark, "q"), materialise(_transitions(spark, sf_dir), "transitions")
+    for version in range(2):  # each from the newest one
+        qs.save_q(ql.q_update(transitions, qs.load_q(spark, path), 3), path, version)
+    first, newest = qs.load_q(spark, path, 0), qs.load_q(spark, path)
+    return first.withColumn("version", F.lit(0)).unionByName(newest.withColumn("version", F.lit(1)))
+
+
+@_query(
+    _with("traj", "stage", RULE)
+    + """SELECT t.run_id, t.episode_id, t.step, coalesce(r.stage, 0)::INT AS stage,
+      coalesce(r.stage, 0) > coalesce(max(r.stage) OVER (PARTITION BY t.run_id, t.episode_id ORDER BY t.step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fired,
+      round(sum(t.reward) OVER w, 6) AS running_return, bool_or(t.done) OVER w AS done, false AS late
+    FROM traj t LEFT JOIN stage s ON s.run_id = t.run_id AND s.episode_id = t.episode_id AND s.step = t.step LEFT JOIN rule r ON r.kind = s.kind
+    WINDOW w AS (PARTITION BY t.run_id, t.episode_id ORDER BY t.step)"""
+)
+def stream_progress(spark, sf_dir):
+    hits = ad.stages(spark, sf_dir).select(*schemas.FRAME_KEYS, "kind")
+    frames = ad.traj(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).join(hits, schemas.FRAME_KEYS, "left")
+    frames = materialise(frames.select(*schemas.FRAME_KEYS, "ts", "kind", "reward", "done"), "stream-in")
+    out = scratch(spark, "progress")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:  # a batch that is run again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    # Without the second setting, Spark runs batches without data for the timers' sake and never comes to an end.
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", store), setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"):
+        rows = progress(_as_stream(frames), sp.rule_dim(spark))
+        rows.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
+
+
+def _as_stream(table: DataFrame) -> DataFrame:
+    """A table that materialise() wrote, as a stream of its files."""
+    return table.sparkSession.readStream.schema(table.schema).parquet(table.inputFiles()[0].rpartition("/")[0])
+
+
+@_query(_with("traj", TRANSITION, _rounds(2)) + "SELECT state, action, round(q, 6) AS q FROM q2")
+def stream_q_update(spark, sf_dir):
+    path, transitions = scratch(spark, "q"), materialise(_transitions(spark, sf_dir), "stream-in")
+    for _ in range(2):  # the second stream, of a checkpoint of its own, goes on from the first one's table
+        learn(_as_stream(transitions), path, scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return qs.load_q(spark, path)

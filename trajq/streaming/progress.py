@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from trajq.session import ship_package
+
 OUTPUT = "run_id long, episode_id long, step long, stage int, fired boolean, running_return double, done boolean, late boolean"
 EMPTY = {"run_id": "int64", "episode_id": "int64", "step": "int64", "stage": "int32", "fired": "bool", "running_return": "float64", "done": "bool", "late": "bool"}
 
@@ -66,7 +68,9 @@ class Progress(StatefulProcessor):
 def stream_progress(frames: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("run_id", "episode_id"), watermark: str | None = None, ttl_ms: int = 3_600_000) -> DataFrame:
     """Progress rows of a stream of frames(run_id, episode_id, step, ts, kind or null, reward, done), kind being the zone
     that the frame hits, and rules a static table of (kind, stage). Needs the RocksDB state store. keys: ("run_id",)
-    makes milestones one-shot per run. watermark: how far behind the latest ts rows may be before Spark drops them."""
+    makes milestones one-shot per run. watermark: how far behind the latest ts rows may be before Spark drops them.
+    With an availableNow trigger, set spark.sql.streaming.noDataMicroBatches.enabled to false, or Spark goes on for the timers."""
+    ship_package(frames.sparkSession)
     staged = frames.join(rules.select("kind", "stage"), "kind", "left").select("run_id", "episode_id", "step", "ts", "stage", "reward", "done")
     rows = staged if watermark is None else staged.withWatermark("ts", watermark)
     return rows.groupBy(*keys).transformWithStateInPandas(Progress(ttl_ms), OUTPUT, "Update", "ProcessingTime")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajq.session import delete, materialise, scratch, ship_package, temporary_tables  # noqa: F401
+from trajq.session import delete, materialise, scratch, setting, ship_package, temporary_tables  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,17 +45,6 @@ def discard(table: DataFrame) -> None:
         delete(spark, files[0].rpartition("/")[0])
 
 
-@contextlib.contextmanager
-def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """A session setting for as long as a job takes; the caller's value comes back."""
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

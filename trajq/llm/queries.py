@@ -78,7 +78,23 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
+    # Sets that are similar share one of their rarest n-grams; pairs that do are compared in full.
+    "op1_ngram_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, {_LOWER} AS t FROM documents)),
+        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i : i + 3], ' '))) AS g FROM d WHERE len(w) > 0),
+        c AS (SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n, count(*) OVER (PARTITION BY g) AS docs FROM s),
+        p AS (SELECT doc_id, g, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY docs, g) <= n - (85 * n + 99) // 100 + 1),
+        pair AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+        link AS (SELECT a, b FROM pair JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 85 * (na + nb - count(*))),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, low) AS component_id
+        FROM d LEFT JOIN (SELECT DISTINCT doc_id, n FROM c) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+    """,
     "op2_chat_format": r"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -97,6 +113,31 @@ ORACLE_SQL = {
                sum(escaped + CASE WHEN before = role THEN 10 ELSE 24 + role_chars END)::BIGINT AS formatted_chars
         FROM m GROUP BY conv_id
     """,
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        r AS (SELECT page_id, h, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS top, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) > 1 AS later FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND later THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND later THEN top END AS refers_to, true AS intact
+        FROM r
+    """,
+    "op8_quality_rules": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM (SELECT r, {_WORDS} AS ws FROM d)),
+        g AS (SELECT *, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+        k AS (SELECT r, i, c IS NOT NULL AND count(*) OVER (PARTITION BY r, a, b, c) > 1 AS twice FROM g),
+        e AS (SELECT r, twice OR lag(twice, 1, false) OVER o OR lag(twice, 2, false) OVER o AS covered FROM k WINDOW o AS (PARTITION BY r ORDER BY i)),
+        n AS (SELECT r, count(*) AS n_words, count(*) FILTER (covered) AS n_repeat_words FROM e GROUP BY r),
+        f AS (
+          SELECT doc_id, coalesce(n_words, 0) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                 length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                 coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts
+          FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d) LEFT JOIN n USING (r)
+        ), v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 100 * n_symbols > 10 * n_words OR (n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * n_shouts > 30 * n_words
+                    OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words) AS kept
+        FROM v
+    """,
     "op10_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -67,6 +67,24 @@ def test_near(spark, odd, empty):
     assert one_per_component(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("small", [{"FREQUENCY_CELLS": 1 << 16, "KEY_CELLS": 1 << 16, "ID_BITS": 1}, {"MOST_FILTERED": 0}])
+def test_links_do_not_depend_on_sketch_or_filter(spark, sf, monkeypatch, small):
+    for name, value in small.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = components({r.doc_id: shingles(r.text, 5) for r in docs.collect()}, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs).collect()} == want
+
+
+def test_near_among_long_texts_of_distinct_words(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    near, far = (["x" if i % step == 7 else w for i, w in enumerate(words)] for step in (100, 10))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((words, near, far, words[:75_000]), 1)], "doc_id long, text string")
+    want = components({r.doc_id: shingles(r.text, 5) for r in docs.collect()}, 80, 100)
+    assert {i: c for i, (_, c) in want.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs).collect()} == want
+
+
 def test_near_in_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_DOCS", 16)
     rng = random.Random(5)

@@ -14,6 +14,7 @@ from .ngram_join import ngram_jaccard_components
 from .packing import pack
 from .pii import pseudonymise
 from .quality import quality_report
+from .shards import shard_documents
 from .toxicity import crc_remainder, fit_toxicity, score_toxicity, training_sample
 from .warc import archive_round_trip
 
@@ -65,6 +66,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(read(spark, sf_dir, "documents"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_chat_format": op2_chat_format,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_sharding": op13_sharding,
 }
 
 _WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"

@@ -1,0 +1,85 @@
+"""The prefix trie against a plain one."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from compare import database
+from pyspark.sql import functions as F
+
+from trajq.llm import prefix_trie as pt
+from trajq.llm import queries
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def plain(rows):
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn, role or "", text or ""))
+    convs = {c: [t[2:] for t in sorted(ts, key=lambda t: t[:2] if t[0] else (False, 0))] for c, ts in convs.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        whole = tuple(convs.get(c - c % 100, [])[:h] + own[h:])
+        for d in range(len(whole) + 1):
+            members[whole[:d]].append(c)
+        ends[whole].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children[node]
+        leaves[node] = sum(leaves[n] for n in below) if below else 1
+        saved[node] = (len(members[node]) - 1) * (len(node[-1][1]) if node else 0) + sum(saved[n] for n in below)
+    digest = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return sorted(
+        (min(m), len(node), -1 if not node else min(members[node[:-1]]), len(m), len(children[node]), leaves[node], saved[node], digest(ends.get(node, []))) for node, m in members.items()
+    )
+
+
+def collected(df):
+    return sorted((r.conv_id, r.depth, -1 if r.parent_conv_id is None else r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in df.collect())
+
+
+def test_op11(spark, sf):
+    rows = database(sf).sql("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    assert collected(queries.op11_prefix_trie(spark, sf)) == plain(rows)
+
+
+@pytest.mark.parametrize("seed,width,listed", [(1, 1 << 16, 1 << 14), (2, 2, 3)])
+def test_random_conversations(spark, monkeypatch, seed, width, listed):
+    monkeypatch.setattr(pt, "WIDTH", width)
+    monkeypatch.setattr(pt, "LISTED", listed)
+    draw = random.Random(seed)
+    rows = []
+    for c in draw.sample(range(0, 450), 120):
+        for turn in range(draw.choice([0, 1, 2, 5, 9])):
+            rows.append((c, turn, draw.choice(["user", "assistant", None]) if draw.random() < 0.2 else "user", draw.choice(["a", "bb", "cc c", "", None])))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert collected(pt.conversation_trie(df)) == plain(rows)
+
+
+def test_a_staircase_a_long_one_and_many_copies(spark, monkeypatch):
+    """Each conversation goes on from the one before; one is long; many are equal; base conversations are absent."""
+    monkeypatch.setattr(pt, "WIDTH", 50)
+    rows = [(1000 + c, i, "user", f"t{i}") for c in range(1, 30) for i in range(c)]
+    rows += [(2001, i, "user", f"t{i % 7}") for i in range(300)] + [(3001 + c, i, "bot", "same") for c in range(60) for i in range(12)]
+    assert collected(pt.conversation_trie(spark.createDataFrame(rows, SCHEMA).repartition(4))) == plain(rows)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "user", "first"), (1, 0, None, None), (1, 1, "user", "é😀"), (None, 0, "user", "nobody's"), (2, 5, "user", "x"), (100, 0, "user", "long " * 50_000), (103, 0, "user", ""), (7, 3, "user", "x")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"depth": F.lit("x"), "conv": F.lit(None), "len": F.lit(1)})
+    assert collected(pt.conversation_trie(df)) == plain(rows)
+    twice = df.unionByName(df)
+    assert sorted(r.n_convs for r in pt.conversation_trie(twice).where("depth = 0").collect()) == [5]
+    assert pt.conversation_trie(df.where("false")).count() == 0
+    assert pt.conversation_trie(df.where("conv_id is null")).count() == 0
+    renamed = df.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("role").alias("r"), F.col("text").alias("x"))
+    assert collected(pt.conversation_trie(renamed, "c", "t", "r", "x")) == plain(rows)

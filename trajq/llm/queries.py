@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .packing import pack
 from .pii import pseudonymise
+from .prefix_trie import conversation_trie
 from .quality import quality_report
 from .shards import shard_documents
 from .toxicity import crc_remainder, fit_toxicity, score_toxicity, training_sample
@@ -67,6 +68,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(read(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_alignment": op12_token_alignment,
     "op13_sharding": op13_sharding,
 }

@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajq import schemas
 from trajq.functions import scalar
-from trajq.session import materialise
-
-#: From the finest to the whole, the ordered stretches over which the update is folded.
-FOLD_LEVELS = (("run_id", "episode_id"), ("run_id",), ())
-
+from trajq.session import delete, materialise, read_table, scratch, temporary_tables, whole_tables, write_table
 
 def action_dim(spark) -> DataFrame:
     return spark.createDataFrame(schemas.ACTIONS, "action int")
@@ -42,33 +39,44 @@ def greedy_policy(q: DataFrame, actions: DataFrame) -> DataFrame:
     return best.select("state", "best.action", (0.0 - F.col("best.cost")).alias("q"))
 
 
-def td_targets(transitions: DataFrame, q: DataFrame, n_actions: int, gamma: float) -> DataFrame:
-    """transitions with target: reward, and gamma times the next state's max_next_q unless done."""
-    best = max_next_q(q, n_actions).withColumnRenamed("state", "next_state")
-    bootstrap = F.when(F.col("done"), 0.0).otherwise(F.coalesce("max_q", F.lit(0.0)))
-    return transitions.join(best, "next_state", "left").withColumn("target", F.col("reward") + gamma * bootstrap).drop("max_q")
-
-
-def _fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], alpha: float) -> DataFrame:
-    """rows(keys, order, n, s), each a stretch of n samples folded to s, to one row per keys."""
-    later = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.pow(F.lit(1 - alpha), F.coalesce(F.sum("n").over(later), F.lit(0)))
-    return rows.withColumn("_ws", F.col("s") * weight).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("_ws").alias("s"))
+def later_samples(transitions: DataFrame, order: Sequence[str] = ("step",)) -> DataFrame:
+    """(state, action, reward, next_state, done, after): how many samples of the same state and action come later, in
+    order of run, episode and `order`.
 
-
-def q_fold(targets: DataFrame, alpha: float, order: Sequence[str] = ("step",)) -> DataFrame:
-    """(state, action, n, s): with n samples in order, q becomes (1 - alpha)^n q + s.
-
-    The recurrence q += alpha (target - q) unrolls to that sum, which composes over stretches. It is folded within
-    each episode, then over a run's episodes, then over runs (in order of their ids), so that a state and action with
-    very many samples is not one task's work.
+    Samples are sorted by range, which deals one state and action over as many tasks as it needs, whether it fills many
+    runs or one episode. Each task counts its own; what other tasks hold of a pair is a row a task. The sorted table is
+    written, so that both read the same pieces.
+    """
+    pair = ["state", "action"]
+    columns = [*pair, "run_id", "episode_id", *order]
+    at = F.monotonically_increasing_id()
+    ranged = transitions.select(*columns, "reward", "next_state", "done").repartitionByRange(*columns).sortWithinPartitions(*columns)
+    ranged = materialise(ranged.select(*pair, "reward", "next_state", "done", at.alias("at"), F.shiftright(at, 33).alias("piece")), "samples")
+    onward = Window.partitionBy(*pair).orderBy(F.col("piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = ranged.groupBy(*pair, "piece").agg(F.count(F.lit(1)).alias("n"))
+    pieces = pieces.select(*[F.col(c).alias(f"_{c}") for c in [*pair, "piece"]], F.coalesce(F.sum("n").over(onward), F.lit(0)).alias("_later"))
+    nth = F.row_number().over(Window.partitionBy(*pair, "piece").orderBy(F.col("at").desc())) - 1
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*pair, "piece"]])
+    joined = ranged.withColumn("_nth", nth).join(pieces, same)
+    return joined.select(*pair, "reward", "next_state", "done", (F.col("_nth") + F.col("_later")).alias("after"))
+
+
+def q_model(transitions: DataFrame, alpha: float = 0.1, order: Sequence[str] = ("step",)) -> DataFrame:
+    """(state, action, next_state, n, r, w): all that a round needs of the transitions.
+
+    The recurrence q += alpha (target - q) over a pair's n samples unrolls to (1 - alpha)^n q plus the sum of the targets,
+    each weighed by alpha (1 - alpha)^after. Weights don't change from round to round, and a target is linear in its next
+    state's value: per next state, r sums the weighed rewards and w the weights of values to come. Samples that end an
+    episode have none to come and are summed under a null next_state. The table is written, and grows with the distinct
+    steps seen, not with the samples.
     """
-    rows = targets.select("state", "action", "run_id", "episode_id", *order, F.lit(1).cast("long").alias("n"), (alpha * F.col("target")).alias("s"))
-    within = list(order)
-    for level in FOLD_LEVELS:
-        rows = _fold(rows, ["state", "action", *level], within, alpha)
-        within = level[-1:]
-    return rows
+    with temporary_tables(transitions.sparkSession) as made:
+        weight = alpha * F.pow(F.lit(1 - alpha), "after")
+        weighed = later_samples(transitions, order).select("state", "action", F.when(~F.col("done"), F.col("next_state")).alias("next_state"), "reward", weight.alias("weight"))
+        model = weighed.groupBy("state", "action", "next_state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") * F.col("reward")).alias("r"), F.sum("weight").alias("w"))
+        model = materialise(model, "model")
+        made.pop()
+    return model
 
 
 def upsert_q(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,6 +85,25 @@ def upsert_q(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(fresh, ["state", "action"], "full_outer").select("state", "action", F.coalesce("_new", "q").alias("q"))
 
 
+def _start(model: DataFrame, q: DataFrame) -> DataFrame:
+    """(state, action, q, before, n, r, b): the pairs of q and model, before any round. b sums the weighed values to come;
+    it is 0, as all values are before q is looked at."""
+    own = model.groupBy("state", "action").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    return own.join(q, ["state", "action"], "full_outer").select(
+        "state", "action", *[F.coalesce(c, F.lit(zero)).alias(c) for c, zero in (("q", 0.0), ("n", 0), ("r", 0.0))], F.lit(0.0).alias("before"), F.lit(0.0).alias("b")
+    )
+
+
+def _round(values: DataFrame, model: DataFrame, n_actions: int, alpha: float, gamma: float) -> DataFrame:
+    """values after one more round. Only steps into states whose best value has changed are looked at."""
+    best = lambda c: F.when(F.count(F.lit(1)) < n_actions, F.greatest(F.max(c), F.lit(0.0))).otherwise(F.max(c))
+    changed = values.groupBy(F.col("state").alias("next_state")).agg((best("q") - best("before")).alias("change")).where("change <> 0")
+    moved = model.join(changed, "next_state").groupBy("state", "action").agg(F.sum(F.col("w") * F.col("change")).alias("_moved"))
+    b = F.col("b") + F.coalesce("_moved", F.lit(0.0))
+    new = F.pow(F.lit(1 - alpha), "n") * F.col("q") + F.col("r") + gamma * b
+    return values.join(moved, ["state", "action"], "left").select("state", "action", new.alias("q"), F.col("q").alias("before"), "n", "r", b.alias("b"))
+
+
 def q_update(
     transitions: DataFrame, q: DataFrame, n_actions: int, alpha: float = 0.1, gamma: float = 0.95, order: Sequence[str] = ("step",)
 ) -> DataFrame:
@@ -86,9 +113,8 @@ def q_update(
     iteration. Both give the same table when no update of the pass changes a value that a later target reads (all done,
     gamma 0, or next states not updated); otherwise they differ, and need not converge to the same limits.
     """
-    folded = q_fold(td_targets(transitions, q, n_actions, gamma), alpha, order)
-    new = q_lookup(folded, q).select("state", "action", (F.pow(F.lit(1 - alpha), "n") * F.col("q") + F.col("s")).alias("q"))
-    return upsert_q(q, new)
+    model = q_model(transitions, alpha, order)
+    return _round(_start(model, q), model, n_actions, alpha, gamma).select("state", "action", "q")
 
 
 def empty_q(transitions: DataFrame) -> DataFrame:
@@ -96,21 +122,60 @@ def empty_q(transitions: DataFrame) -> DataFrame:
 
 
 def q_iterate(
-    transitions: DataFrame, q: DataFrame | None = None, rounds: int = 3, n_actions: int = 3, alpha: float = 0.1, gamma: float = 0.95, tol: float | None = None, order: Sequence[str] = ("step",)
+    transitions: DataFrame,
+    q: DataFrame | None = None,
+    rounds: int = 3,
+    n_actions: int = 3,
+    alpha: float = 0.1,
+    gamma: float = 0.95,
+    tol: float | None = None,
+    order: Sequence[str] = ("step",),
+    path: str | None = None,
 ) -> DataFrame:
-    """q_update repeated. Each round's table is written to the shared scratch folder, so no lineage grows, and so are the
-    transitions if several rounds read them; with tol, stops once no value moves by tol."""
+    """q_update repeated; with tol, stops once no value moves by tol.
+
+    Transitions are read once, for the model; a round reads that, and of it only what leads to states whose best value
+    changed in the round before. Each round's values are written, so no lineage grows: to the shared scratch folder, or
+    under path. A training that is started again with the same path goes on after its last whole round, and reads neither
+    transitions nor q again; other settings with that path are an error.
+    """
+    spark = transitions.sparkSession
     q = empty_q(transitions) if q is None else q
-    if rounds > 1:
-        transitions = materialise(transitions.select("run_id", "episode_id", *order, "state", "action", "reward", "next_state", "done"), "transitions")
-    for _ in range(rounds):
-        new = materialise(q_update(transitions, q, n_actions, alpha, gamma, order), "q-round")
+    if path is None:
+        model, done = q_model(transitions, alpha, order), 0
+        values = _start(model, q)
+    else:
+        model, values, done = _resume(spark, path, transitions, q, n_actions, alpha, gamma, order)
+    before: list[str] = []
+    while done < rounds:
+        done += 1
+        folder = scratch(spark, "q-round") if path is None else f"{path}/round={done}"
+        values = write_table(_round(values, model, n_actions, alpha, gamma), folder)
+        for old in before:
+            delete(spark, old)
+        before = [folder]
         if tol is not None:
-            moved = new.join(q.withColumnRenamed("q", "_old"), ["state", "action"], "left").agg(F.max(F.abs(F.col("q") - F.coalesce("_old", F.lit(0.0))))).first()[0]
+            moved = values.agg(F.max(F.abs(F.col("q") - F.col("before")))).first()[0]
             if moved is None or moved < tol:
-                return new
-        q = new
-    return q
+                break
+    return values.select("state", "action", "q")
+
+
+def _resume(spark: SparkSession, path: str, transitions: DataFrame, q: DataFrame, n_actions: int, alpha: float, gamma: float, order: Sequence[str]) -> tuple[DataFrame, DataFrame, int]:
+    """The model and the values of a training under path, and how many of its rounds are whole; a new one is begun there."""
+    settings = f"{n_actions}_{alpha}_{gamma}_{'-'.join(order)}"
+    known = whole_tables(spark, path)
+    if "begun" not in known:
+        with temporary_tables(spark):
+            model = q_model(transitions, alpha, order)
+            write_table(model, f"{path}/model")
+            write_table(_start(read_table(spark, f"{path}/model"), q), f"{path}/round=0")
+        write_table(spark.createDataFrame([(settings,)], "settings string"), f"{path}/begun")
+        known = whole_tables(spark, path)
+    if (other := read_table(spark, f"{path}/begun").first()[0]) != settings:
+        raise ValueError(f"the training under {path} has settings {other}, not {settings}")
+    done = max(int(name[6:]) for name in known if name.startswith("round="))
+    return read_table(spark, f"{path}/model"), read_table(spark, f"{path}/round={done}"), done
 
 
 def explore_or_exploit(states: DataFrame, policy: DataFrame, epsilon: Column, n_actions: int, seed: str = "explore", ids: Sequence[str] = schemas.FRAME_KEYS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -13,7 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _local: dict[str, str] = {}
-_scopes: list[list[str]] = []
+_open = threading.local()  # a stream's batches run in a thread of their own
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -52,12 +59,29 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    for made in _scopes:
+    table = write_table(df, path)
+    for made in _scopes():
         made.append(path)
+    return table
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write df to path, replacing what an earlier try left there, and read it back."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def whole_tables(spark: SparkSession, path: str) -> set[str]:
+    """The names of the tables under path that were written to their end."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return {s.getPath().getParent().getName() for s in found or []}
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -78,10 +102,11 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
     """Tables that materialise() writes inside are deleted at the end, but those that are taken from the list."""
     made: list[str] = []
-    _scopes.append(made)
+    scopes = _scopes()
+    scopes.append(made)
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        scopes[:] = [s for s in scopes if s is not made]
         for path in made:
             delete(spark, path)

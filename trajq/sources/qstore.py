@@ -1,25 +1,39 @@
-"""Versioned snapshots of Q-tables."""
+"""Versioned snapshots of Q-tables, and a log of what made them."""
 
 from __future__ import annotations
 
+import hashlib
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trajq import schemas
 
 
+class Note(NamedTuple):
+    """Which batch of which source made a version, and from which parent (-1: from nothing)."""
+
+    version: int
+    parent: int
+    batch: int
+    source: str
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm.org.apache.hadoop.fs.Path
 
 
+def _found(spark: SparkSession, pattern: str) -> list:
+    """The paths of a glob, by the file system alone: no Spark job."""
+    fs, where, _ = _fs(spark, pattern)
+    return [s.getPath() for s in fs.globStatus(where) or []]
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The versions that were written whole, in order."""
-    fs, where, new_path = _fs(spark, path)
-    if not fs.exists(where):
-        return []
-    found = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in found if fs.exists(new_path(p, "_SUCCESS")))
+    return sorted(int(p.getParent().getName()[2:]) for p in _found(spark, f"{path.rstrip('/')}/v=*/_SUCCESS"))
 
 
 def save_q(q: DataFrame, path: str, version: int) -> None:
@@ -35,3 +49,34 @@ def load_q(spark: SparkSession, path: str, version: int | None = None, schema: s
             return spark.createDataFrame([], schema)
         version = known[-1]
     return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/v={version}")
+
+
+def source_id(source: str) -> str:
+    return hashlib.md5(source.encode()).hexdigest()
+
+
+def notes(spark: SparkSession, path: str) -> list[Note]:
+    """The log, by version: empty files whose names are the notes, so that one listing reads all of it."""
+    found = [p.getName().split("_") for p in _found(spark, f"{path.rstrip('/')}/log/*_*_*_*")]
+    return sorted(Note(int(v), int(parent), int(batch), source) for v, parent, batch, source in found)
+
+
+def write_note(spark: SparkSession, path: str, note: Note) -> None:
+    fs, where, _ = _fs(spark, f"{path.rstrip('/')}/log/{'_'.join(map(str, note))}")
+    fs.create(where, True).close()
+
+
+def retire(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all but the `keep` newest whole versions, what older writes left unfinished, and the notes of versions that
+    are gone, but for each source's newest: a source comes back with its last batch at most."""
+    whole = versions(spark, path)
+    oldest = whole[-keep:][0] if whole else 0
+    fs, _, new_path = _fs(spark, path)
+    for p in _found(spark, f"{path.rstrip('/')}/v=*"):
+        if int(p.getName()[2:]) < oldest:
+            fs.delete(p, True)
+    log = notes(spark, path)
+    newest = {n.source: n.version for n in log}
+    for n in log:
+        if n.version < oldest and n.version != newest[n.source]:
+            fs.delete(new_path(f"{path.rstrip('/')}/log/{'_'.join(map(str, n))}"), False)

@@ -52,13 +52,12 @@ def later_samples(transitions: DataFrame, order: Sequence[str] = ("step",)) -> D
     at = F.monotonically_increasing_id()
     ranged = transitions.select(*columns, "reward", "next_state", "done").repartitionByRange(*columns).sortWithinPartitions(*columns)
     ranged = materialise(ranged.select(*pair, "reward", "next_state", "done", at.alias("at"), F.shiftright(at, 33).alias("piece")), "samples")
-    onward = Window.partitionBy(*pair).orderBy(F.col("piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = ranged.groupBy(*pair, "piece").agg(F.count(F.lit(1)).alias("n"))
-    pieces = pieces.select(*[F.col(c).alias(f"_{c}") for c in [*pair, "piece"]], F.coalesce(F.sum("n").over(onward), F.lit(0)).alias("_later"))
-    nth = F.row_number().over(Window.partitionBy(*pair, "piece").orderBy(F.col("at").desc())) - 1
+    onward = Window.partitionBy(*pair).orderBy(F.col("piece").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = ranged.groupBy(*pair, "piece").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    pieces = pieces.select(*[F.col(c).alias(f"_{c}") for c in [*pair, "piece"]], "first", F.sum("n").over(onward).alias("left"))
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*pair, "piece"]])
-    joined = ranged.withColumn("_nth", nth).join(pieces, same)
-    return joined.select(*pair, "reward", "next_state", "done", (F.col("_nth") + F.col("_later")).alias("after"))
+    after = F.col("left") - 1 - (F.col("at") - F.col("first"))
+    return ranged.join(pieces, same).select(*pair, "reward", "next_state", "done", after.alias("after"))
 
 
 def q_model(transitions: DataFrame, alpha: float = 0.1, order: Sequence[str] = ("step",)) -> DataFrame:

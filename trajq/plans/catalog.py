@@ -14,7 +14,7 @@ from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
 from trajq.operators import tiles as ti
 from trajq.operators import transitions as tr
-from trajq.session import materialise, scratch, setting
+from trajq.session import materialise, scratch, setting, temporary_tables
 from trajq.sources import frames as fr
 from trajq.sources import qstore as qs
 from trajq.sources.tiles import read_tile_grid as read_maps
@@ -521,29 +521,58 @@ def save_load_q(spark, sf_dir):
     return first.withColumn("version", F.lit(0)).unionByName(newest.withColumn("version", F.lit(1)))
 
 
-@_query(
-    _with("traj", "stage", RULE)
-    + """SELECT t.run_id, t.episode_id, t.step, coalesce(r.stage, 0)::INT AS stage,
-      coalesce(r.stage, 0) > coalesce(max(r.stage) OVER (PARTITION BY t.run_id, t.episode_id ORDER BY t.step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fired,
-      round(sum(t.reward) OVER w, 6) AS running_return, bool_or(t.done) OVER w AS done, false AS late
-    FROM traj t LEFT JOIN stage s ON s.run_id = t.run_id AND s.episode_id = t.episode_id AND s.step = t.step LEFT JOIN rule r ON r.kind = s.kind
+def _progress_sql(scope: str, rows: str = "traj", order: str = "t.ts, t.step") -> str:
+    return f"""SELECT t.run_id, t.episode_id, t.step, coalesce(r.stage, 0)::INT AS stage,
+      coalesce(r.stage, 0) > coalesce(max(r.stage) OVER (PARTITION BY {scope} ORDER BY {order}, coalesce(r.stage, 0), t.episode_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fired,
+      round(sum(t.reward) OVER w, 6) AS running_return, bool_or(t.done) OVER w AS done, false AS late, 0::BIGINT AS n_late
+    FROM {rows} t LEFT JOIN stage s ON s.run_id = t.run_id AND s.episode_id = t.episode_id AND s.step = t.step LEFT JOIN rule r ON r.kind = s.kind
     WINDOW w AS (PARTITION BY t.run_id, t.episode_id ORDER BY t.step)"""
-)
-def stream_progress(spark, sf_dir):
+
+
+def _progress(spark, sf_dir, pieces: int = 1, late_days: int = 0, **options):
+    """The event table as a stream that comes in `pieces` by time, every seventh step `late_days` late. A stream is started
+    for each piece and goes on from the last one's checkpoint."""
     hits = ad.stages(spark, sf_dir).select(*schemas.FRAME_KEYS, "kind")
     frames = ad.traj(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).join(hits, schemas.FRAME_KEYS, "left")
-    frames = materialise(frames.select(*schemas.FRAME_KEYS, "ts", "kind", "reward", "done"), "stream-in")
+    comes = F.unix_micros("ts") + F.when(F.col("step") % 7 == 0, late_days * 86_400_000_000).otherwise(0)
     out = scratch(spark, "progress")
 
     def keep(batch: DataFrame, batch_id: int) -> None:  # a batch that is run again replaces what it wrote
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    # Without the second setting, Spark runs batches without data for the timers' sake and never comes to an end.
-    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    with setting(spark, "spark.sql.streaming.stateStore.providerClass", store), setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"):
-        rows = progress(_as_stream(frames), sp.rule_dim(spark))
-        rows.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
+    # Without a watermark, batches without data would go on for the timers' sake, and the stream never come to an end.
+    store = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    empty = ("spark.sql.streaming.noDataMicroBatches.enabled", str("watermark" in options).lower())
+    with setting(spark, *store), setting(spark, *empty), temporary_tables(spark) as made:
+        frames = materialise(frames.select(*schemas.FRAME_KEYS, "ts", "kind", "reward", "done", comes.alias("comes")), "frames")
+        low, high = frames.agg(F.min("comes"), F.max("comes")).first()
+        source, checkpoint = scratch(spark, "stream-in"), scratch(spark, "checkpoint")
+        made += [source, checkpoint]
+        for i in range(pieces):
+            within = (F.col("comes") - low) * pieces >= i * (high - low + 1)
+            frames.where(within & ((F.col("comes") - low) * pieces < (i + 1) * (high - low + 1))).drop("comes").write.mode("append").parquet(source)
+            rows = progress(spark.readStream.schema(frames.drop("comes").schema).parquet(source), sp.rule_dim(spark), **options)
+            rows.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/batch=*").select(*rows.columns)
+
+
+@_query(_with("traj", "stage", RULE) + _progress_sql("t.run_id, t.episode_id", order="t.step"))
+def stream_progress(spark, sf_dir):
+    return _progress(spark, sf_dir)
+
+
+@_query(_with("traj", "stage", RULE) + _progress_sql("t.run_id"))
+def stream_progress_per_run(spark, sf_dir):
+    return _progress(spark, sf_dir, pieces=3, keys=("run_id",))
+
+
+# What is less than six days before the last row still waits.
+_PASSED = "passed AS (SELECT * FROM traj WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM traj) - INTERVAL 6 DAY)"
+
+
+@_query(_with("traj", "stage", RULE, _PASSED) + _progress_sql("t.run_id", "passed"))
+def stream_progress_by_event_time(spark, sf_dir):
+    return _progress(spark, sf_dir, pieces=3, late_days=5, keys=("run_id",), watermark="6 days", ttl_ms=60 * 86_400_000)
 
 
 def _as_stream(table: DataFrame) -> DataFrame:

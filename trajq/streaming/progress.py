@@ -6,71 +6,140 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from trajq.session import ship_package
+#: Before all times and steps; the time of a row that has none.
+NEVER = -(1 << 62)
+OUTPUT = "run_id long, episode_id long, step long, stage int, fired boolean, running_return double, done boolean, late boolean, n_late long"
 
-OUTPUT = "run_id long, episode_id long, step long, stage int, fired boolean, running_return double, done boolean, late boolean"
-EMPTY = {"run_id": "int64", "episode_id": "int64", "step": "int64", "stage": "int32", "fired": "bool", "running_return": "float64", "done": "bool", "late": "bool"}
 
+def processor(ttl_ms: int, by_event_time: bool) -> StatefulProcessor:
+    """What stream_progress runs per group. It is made in here, so that it travels by value: Spark starts a Python worker
+    of its own on the driver for it, which need not find this package."""
+    never = NEVER
+    kinds = {"run_id": "int64", "episode_id": "int64", "step": "int64", "stage": "int32", "fired": "bool", "running_return": "float64", "done": "bool", "late": "bool", "n_late": "int64"}
 
-class Progress(StatefulProcessor):
-    """Keeps (mark, return, steps, done) of a group and the last step of each of its episodes.
+    class Progress(StatefulProcessor):
+        """State: the group's mark, its late rows and its last time; of each episode (last step, return, done, last
+        time); with event time, the rows that wait for the watermark."""
 
-    A batch's rows are put in order of time, step and stage first, as the batch operator orders them: steps restart in
-    every episode. A row at or before its episode's last step is late: it is reported as such and changes nothing.
-    State expires `ttl_ms` of processing time after the group's last rows.
-    """
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.group = handle.getValueState("group", "mark int, n_late long, seen long")
+            self.episodes = handle.getMapState("episodes", "episode_id long", "last_step long, total double, done boolean, seen long")
+            if by_event_time:
+                self.waiting = handle.getListState("waiting", "run_id long, episode_id long, step long, at long, stage int, reward double, done boolean")
+
+        def advance(self, rows: list[tuple]) -> pd.DataFrame:
+            """Take rows (run_id, episode_id, step, at, stage, reward, done) in order of time, step and stage."""
+            mark, n_late, seen = self.group.get() if self.group.exists() else (0, 0, never)
+            known: dict[int, tuple] = {}
+            out, new = [], set()
+            for run, episode, step, at, stage, reward, done in sorted(rows, key=lambda r: (r[3], r[2], r[4], r[1])):
+                if episode not in known:
+                    known[episode] = self.episodes.getValue((episode,)) if self.episodes.containsKey((episode,)) else (never, 0.0, False, at)
+                last, total, ended, _ = known[episode]
+                late = step <= last and (episode, step) not in new
+                fired = not late and stage > mark
+                if late:
+                    n_late += 1
+                else:
+                    mark, ended = max(mark, stage), ended or done
+                    total += 0.0 if (episode, step) in new else reward
+                    new.add((episode, step))
+                    known[episode] = (step, total, ended, at)
+                    seen = max(seen, at)
+                out.append((run, episode, step, stage, fired, total, ended, late, n_late))
+            self.group.update((mark, n_late, seen))
+            for episode, state in known.items():
+                self.episodes.updateValue((episode,), state)
+            return frame(out)
+
+        def expire(self, before: int) -> int | None:
+            """Forget episodes, and then the group, whose last rows are at or before a time; the next such time."""
+            left = None
+            for (episode,), (_, _, _, seen) in list(self.episodes.iterator()):
+                if seen <= before:
+                    self.episodes.removeKey((episode,))
+                else:
+                    left = seen if left is None else min(left, seen)
+            if self.group.exists():
+                seen = self.group.get()[2]
+                if seen > before:
+                    return seen if left is None else left
+                self.group.clear()
+            return left
+
+        def wake(self, times: list[int]) -> None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if times:
+                self.handle.registerTimer(min(times))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows), ignore_index=True)
+            stage, at = batch["stage"].fillna(0).astype(int), batch["at"].astype("int64")
+            taken = list(zip(batch["run_id"].tolist(), batch["episode_id"].tolist(), batch["step"].tolist(), at.tolist(), stage.tolist(), batch["reward"].astype(float).tolist(), batch["done"].astype(bool).tolist()))
+            if not by_event_time:
+                now = timerValues.getCurrentProcessingTimeInMs()
+                self.wake([now + ttl_ms])
+                yield self.advance(taken)
+                return
+            for row in taken:
+                self.waiting.appendValue(row)
+            yield self.due(timerValues.getCurrentWatermarkInMs())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if by_event_time:
+                yield self.due(timerValues.getCurrentWatermarkInMs())
+                return
+            self.episodes.clear()
+            self.group.clear()
+            yield frame([])
+
+        def due(self, watermark: int) -> pd.DataFrame:
+            """Take the waiting rows that no earlier one can come before any more, forget what is old, and set the timer."""
+            rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+            ready, rest = [r for r in rows if r[3] <= watermark * 1000], [r for r in rows if r[3] > watermark * 1000]
+            if ready:
+                self.waiting.clear()
+                if rest:
+                    self.waiting.put(rest)
+            out = self.advance(ready) if ready else frame([])
+            oldest = self.expire((watermark - ttl_ms) * 1000)
+            times = [min(r[3] for r in rest) // 1000 + 1] if rest else []
+            self.wake(times + ([oldest // 1000 + ttl_ms + 1] if oldest is not None else []))
+            return out
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("progress", "mark int, total double, steps long, done boolean")
-        self.last = handle.getMapState("last_step", "episode_id long", "last_step long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "step", "stage", "episode_id"], kind="stable", na_position="first")
-        mark, total, steps, done = self.state.get() if self.state.exists() else (0, 0.0, 0, False)
-        episodes = [int(e) for e in batch["episode_id"].unique()]
-        last = {e: self.last.getValue((e,))[0] if self.last.containsKey((e,)) else -1 for e in episodes}
-        out, seen = [], set()
-        for row in batch.itertuples(index=False):
-            frame = (int(row.episode_id), int(row.step))
-            late = frame[1] <= last[frame[0]] and frame not in seen
-            stage = 0 if pd.isna(row.stage) else int(row.stage)
-            fired = not late and stage > mark
-            if not late:
-                mark, done = max(mark, stage), done or bool(row.done)
-                if frame not in seen:
-                    total, steps = total + float(row.reward), steps + 1
-                seen.add(frame)
-                last[frame[0]] = frame[1]
-            out.append((row.run_id, row.episode_id, row.step, stage, fired, total, done, late))
-        self.state.update((int(mark), float(total), int(steps), bool(done)))
-        for episode, step in last.items():
-            self.last.updateValue((episode,), (step,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
-        yield pd.DataFrame(out, columns=list(EMPTY))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        self.last.clear()
-        yield pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in EMPTY.items()})
-
-    def close(self) -> None:
-        pass
+        def close(self) -> None:
+            pass
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pd.DataFrame({name: pd.Series(list(values), dtype=kind) for (name, kind), values in zip(kinds.items(), columns)})
+
+    return Progress()
 
 
 def stream_progress(frames: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("run_id", "episode_id"), watermark: str | None = None, ttl_ms: int = 3_600_000) -> DataFrame:
     """Progress rows of a stream of frames(run_id, episode_id, step, ts, kind or null, reward, done), kind being the zone
-    that the frame hits, and rules a static table of (kind, stage). Needs the RocksDB state store. keys: ("run_id",)
-    makes milestones one-shot per run. watermark: how far behind the latest ts rows may be before Spark drops them.
-    With an availableNow trigger, set spark.sql.streaming.noDataMicroBatches.enabled to false, or Spark goes on for the timers."""
-    ship_package(frames.sparkSession)
-    staged = frames.join(rules.select("kind", "stage"), "kind", "left").select("run_id", "episode_id", "step", "ts", "stage", "reward", "done")
-    rows = staged if watermark is None else staged.withWatermark("ts", watermark)
-    return rows.groupBy(*keys).transformWithStateInPandas(Progress(ttl_ms), OUTPUT, "Update", "ProcessingTime")
+    that the frame hits, and rules a static table of (kind, stage).
+
+    Milestones are one-shot per group of keys; ("run_id",) makes them so per run. Return and done are an episode's own in
+    either case. A row at or before its episode's last step is late: it is reported as such, counted in n_late and
+    changes nothing. A row without a time comes first.
+
+    Without a watermark, rows are taken as they come, a batch's in order of time, step and stage; a group's state goes
+    ttl_ms of processing time after its last rows. With one (how far behind the latest ts rows may be), a row waits until the
+    watermark has passed its time, so rows of different batches are taken in order of time, and the result equals
+    that of the batch operators on all rows that Spark did not drop. An episode's state goes once the watermark is ttl_ms
+    past its last row, and the group's after its last episode's: what stays is bounded by what was open in that time.
+
+    Needs the RocksDB state store. With an availableNow trigger and no watermark, set
+    spark.sql.streaming.noDataMicroBatches.enabled to false, or Spark goes on for the timers.
+    """
+    staged = frames.join(rules.select("kind", "stage"), "kind", "left").select("run_id", "episode_id", "step", "ts", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NEVER)).alias("at"), "stage", "reward", "done")
+    by_event_time = watermark is not None
+    rows = staged.withWatermark("ts", watermark) if by_event_time else staged
+    return rows.groupBy(*keys).transformWithStateInPandas(processor(ttl_ms, by_event_time), OUTPUT, "Update", "EventTime" if by_event_time else "ProcessingTime")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from trajq import schemas
 
+from .segments import LAST, WIDTH, running
+
 
 def milestones(hits: DataFrame, rules: DataFrame, scope_cols: Sequence[str] = ("run_id",)) -> DataFrame:
     """Rule rows that fire, with the frame at which they do: (run_id, episode_id, step, ts, stage, kind, base, bonus,
@@ -27,24 +29,19 @@ def milestones(hits: DataFrame, rules: DataFrame, scope_cols: Sequence[str] = ("
     return fired.select(*schemas.FRAME_KEYS, "ts", "stage", "kind", "base", "bonus", "terminal")
 
 
-def shape_reward(frames: DataFrame, fired: DataFrame, penalty: float = 150.0) -> DataFrame:
+def shape_reward(frames: DataFrame, fired: DataFrame, penalty: float = 150.0, width: int = WIDTH) -> DataFrame:
     """frames(…, elapsed, off_track, forbidden) with reward, done and success.
 
     A fired stage pays base + bonus / elapsed (no bonus at time 0); on the track a frame pays 1, off it -1; a forbidden
     frame costs `penalty` and ends the episode, as does a terminal stage. success turns true when a stage fires and
-    false on a forbidden frame, and holds until the next of either in the episode.
+    false on a forbidden frame, and holds until the next of either in the episode, which is cut into segments of `width` steps.
     """
     keys = schemas.FRAME_KEYS
     won = fired.groupBy(*keys).agg(F.sum("base").alias("_base"), F.sum("bonus").alias("_bonus"), F.bool_or("terminal").alias("_terminal"))
     joined = frames.join(won, keys, "left")
     paid = F.coalesce("_base", F.lit(0.0)) + F.coalesce(F.col("_bonus") / F.nullif(F.col("elapsed"), F.lit(0.0)), F.lit(0.0))
     reward = paid + F.when(F.col("off_track"), -1.0).otherwise(1.0) - F.when(F.col("forbidden"), penalty).otherwise(0.0)
-    so_far = Window.partitionBy(*schemas.EPISODE_KEYS).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turn = F.when(F.col("forbidden"), False).when(F.col("_base").isNotNull(), True)
-    return joined.withColumns(
-        {
-            "reward": reward,
-            "done": F.coalesce("_terminal", F.lit(False)) | F.col("forbidden"),
-            "success": F.coalesce(F.last(turn, ignorenulls=True).over(so_far), F.lit(False)),
-        }
-    ).drop("_base", "_bonus", "_terminal")
+    paid = joined.withColumns({"reward": reward, "done": F.coalesce("_terminal", F.lit(False)) | F.col("forbidden")})
+    won = running(paid, schemas.EPISODE_KEYS, "step", {"success": (LAST, turn)}, width=width)
+    return won.withColumn("success", F.coalesce("success", F.lit(False))).drop("_base", "_bonus", "_terminal")

@@ -1,7 +1,8 @@
 """Running values over long ordered groups, without a task that holds a whole group.
 
 A group is cut by its integer order column into segments of a fixed width. Each segment is scanned for itself, a row per
-segment carries what came before, and the two are joined by segment, in the partitioning that the scan made already.
+segment carries what came before, and the two are joined by segment, in the partitioning that the scan made already: rows
+are shuffled once, and what they come from is computed once.
 An order column without repeats in a group bounds a segment by the width, however long the group is.
 """
 
@@ -9,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,14 +41,15 @@ def running(
     of one order value in a group are taken in any order. Null keys are a group.
     """
     direction = F.col(order).desc() if reverse else F.col(order).asc()
-    cut = rows.withColumn("_segment", F.floor(F.col(order) / width)).withColumns({f"_in_{name}": value for name, (_, value) in columns.items()})
-    here = Window.partitionBy(*keys, "_segment").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    key = F.struct(*keys, F.floor(F.col(order) / width).alias("_segment"))  # nulls within a struct are equal
+    cut = rows.withColumns({"_key": key} | {f"_in_{name}": value for name, (_, value) in columns.items()}).repartition("_key")
+    here = Window.partitionBy("_key").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = cut.withColumns({f"_here_{name}": scan.fold(F.col(f"_in_{name}")).over(here) for name, (scan, _) in columns.items()})
-    totals = cut.groupBy(*keys, "_segment").agg(*[_total(scan, F.col(f"_in_{name}"), F.col(order), reverse).alias(name) for name, (scan, _) in columns.items()])
-    before = Window.partitionBy(*keys).orderBy(F.col("_segment").desc() if reverse else F.col("_segment")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_segment").alias("_at"), *[scan.fold(F.col(name)).over(before).alias(f"_before_{name}") for name, (scan, _) in columns.items()])
-    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_segment") == F.col("_at")]
-    joined = local.join(carried, reduce(lambda x, y: x & y, on))
+    totals = cut.groupBy("_key").agg(*[_total(scan, F.col(f"_in_{name}"), F.col(order), reverse).alias(name) for name, (scan, _) in columns.items()])
+    segment = F.col("_key._segment")
+    before = Window.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy(segment.desc() if reverse else segment).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_key", *[scan.fold(F.col(name)).over(before).alias(f"_before_{name}") for name, (scan, _) in columns.items()])
+    joined = local.join(carried, "_key")
     values = {name: scan.join(F.col(f"_before_{name}"), F.col(f"_here_{name}")) for name, (scan, _) in columns.items()}
     return joined.select(*[F.col(c) for c in rows.columns if c not in columns], *[v.alias(name) for name, v in values.items()])
 

@@ -40,6 +40,36 @@ def test_overlap_equals_brute_force_for_any_cell(spark, a, b, cell):
     assert sorted((r.step, r.zone_id) for r in got) == want
 
 
+def test_boxes_of_all_sizes(spark):
+    """Sides of 1 to 100,000 units and a box a thousand times as large: equal to the theta join, in a few rows a box."""
+    import random
+
+    draw = random.Random(4)
+
+    def boxes(n):
+        out = []
+        for _ in range(n):
+            w, h = (10 ** draw.uniform(0, 5) for _ in range(2))
+            x, y = (draw.uniform(-50_000, 50_000) for _ in range(2))
+            out.append((x, y, x + w, y + h))
+        return out
+
+    a, b = boxes(300) + [(-1e8, -1e8, 1e8, 1e8), (5.0, 5.0, 5.0, 5.0)], boxes(300) + [(-200_000.0, -3.0, 200_000.0, 7.0)]
+    f, z = frames(spark, [("m", 0, 0, i, *x) for i, x in enumerate(a)]), zones(spark, [("m", i, "k", *x) for i, x in enumerate(b)])
+    want = sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p[0] < q[2] and p[2] > q[0] and p[1] < q[3] and p[3] > q[1])
+    assert sorted((r.step, r.zone_id) for r in sp.box_overlap_join(f, z).collect()) == want
+    own = z.withColumn("own", sp._level(sp._side(*map(F.col, ("x0", "y0", "x1", "y1"))), 32.0))
+    at_home = sp._in_cells(own, F.array("own"), 32.0, [F.col(c) for c in ("x0", "y0", "x1", "y1")]).groupBy("zone_id").count()
+    assert at_home.agg(F.max("count")).first()[0] <= 9
+    visits = sp._in_cells(own, F.sequence("own", F.lit(8)), 32.0, [F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    assert visits.count() <= 12 * z.count()
+
+
+def test_no_zones_and_no_frames(spark):
+    f, z = frames(spark, [("m", 0, 0, 0, 0.0, 0.0, 1.0, 1.0)]), zones(spark, [("m", 0, "k", 0.0, 0.0, 1.0, 1.0)])
+    assert sp.box_overlap_join(f, z.where("false")).count() == 0 and sp.box_overlap_join(f.where("false"), z).count() == 0
+
+
 def test_frame_without_hits_is_kept(spark):
     f = frames(spark, [("m", 0, 0, 0, 0.0, 0.0, 1.0, 1.0)])
     hits = zones(spark, []).select(F.lit(0).cast("long").alias("run_id"), F.lit(0).cast("long").alias("episode_id"), F.lit(0).cast("long").alias("step"), "zone_id", "kind")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trajq import schemas
 from trajq.functions import scalar
-from trajq.session import delete, materialise, read_table, scratch, temporary_tables, whole_tables, write_table
+from trajq.session import delete, materialise, read_table, temporary, temporary_tables, whole_tables, write_table
 
 def action_dim(spark) -> DataFrame:
     return spark.createDataFrame(schemas.ACTIONS, "action int")
@@ -148,7 +148,7 @@ def q_iterate(
     before: list[str] = []
     while done < rounds:
         done += 1
-        folder = scratch(spark, "q-round") if path is None else f"{path}/round={done}"
+        folder = temporary(spark, "q-round") if path is None else f"{path}/round={done}"
         values = write_table(_round(values, model, n_actions, alpha, gamma), folder)
         for old in before:
             delete(spark, old)

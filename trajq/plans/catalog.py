@@ -14,7 +14,7 @@ from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
 from trajq.operators import tiles as ti
 from trajq.operators import transitions as tr
-from trajq.session import materialise, scratch, setting, temporary_tables
+from trajq.session import materialise, setting, temporary, temporary_tables
 from trajq.sources import frames as fr
 from trajq.sources import qstore as qs
 from trajq.sources.tiles import read_tile_grid as read_maps
@@ -28,15 +28,24 @@ ORACLE_SQL: dict[str, str] = {}
 PLACES = 6
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, PLACES).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+def _rounded(df: DataFrame, places: int) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def _query(sql: str):
-    """Register the function under its name, with its SQL twin; doubles are rounded to PLACES."""
+def _query(sql: str, places: int = PLACES):
+    """Register the function under its name, with its SQL twin; doubles are rounded. If it writes tables, its
+    result is one too, and the others are deleted."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with temporary_tables(spark) as made:
+                out = _rounded(f(spark, sf_dir), places)
+                if made:
+                    out = materialise(out, "result")
+                    made.pop()
+            return out
+
+        QUERIES[f.__name__] = run
         ORACLE_SQL[f.__name__] = sql
         return f
 
@@ -66,22 +75,32 @@ TRANSITION = """transition AS (SELECT run_id, episode_id, step, coalesce(lag(obs
   action, reward, obs AS next_state, done FROM traj)"""
 
 
-def _rounds(n: int, source: str = "transition", n_actions: str = "3") -> str:
-    """CTEs q0 ... qn of n synchronous rounds from an empty table."""
-    out = [f"q0 AS (SELECT state, action, 0.0::DOUBLE AS q FROM {source} WHERE false)"]
+def _rounds(n: int, source: str = "transition", n_actions: str = "3", of: str = "") -> str:
+    """CTEs q0 ... qn of n synchronous rounds from an empty table; `of` is added to their names."""
+    out = [f"q0{of} AS (SELECT state, action, 0.0::DOUBLE AS q FROM {source} WHERE false)"]
     for i in range(1, n + 1):
         out += [
-            f"m{i} AS (SELECT state, CASE WHEN count(*) < {n_actions} THEN greatest(max(q), 0) ELSE max(q) END AS mq FROM q{i - 1} GROUP BY state)",
-            f"""t{i} AS (SELECT t.state, t.action, reward + 0.95::DOUBLE * CASE WHEN done THEN 0 ELSE coalesce(mq, 0) END AS y,
+            f"m{i}{of} AS (SELECT state, CASE WHEN count(*) < {n_actions} THEN greatest(max(q), 0) ELSE max(q) END AS mq FROM q{i - 1}{of} GROUP BY state)",
+            f"""t{i}{of} AS (SELECT t.state, t.action, reward + 0.95::DOUBLE * CASE WHEN done THEN 0 ELSE coalesce(mq, 0) END AS y,
               row_number() OVER (PARTITION BY t.state, t.action ORDER BY run_id, episode_id, step) AS i, count(*) OVER (PARTITION BY t.state, t.action) AS n
-              FROM {source} t LEFT JOIN m{i} m ON t.next_state = m.state)""",
-            f"""q{i} AS (SELECT f.state, f.action, pow(0.9::DOUBLE, f.n) * coalesce(o.q, 0) + f.s AS q
-              FROM (SELECT state, action, n, sum(0.1::DOUBLE * y * pow(0.9::DOUBLE, n - i)) AS s FROM t{i} GROUP BY state, action, n) f
-              LEFT JOIN q{i - 1} o ON o.state = f.state AND o.action = f.action)""",
+              FROM {source} t LEFT JOIN m{i}{of} m ON t.next_state = m.state)""",
+            f"""q{i}{of} AS (SELECT f.state, f.action, pow(0.9::DOUBLE, f.n) * coalesce(o.q, 0) + f.s AS q
+              FROM (SELECT state, action, n, sum(0.1::DOUBLE * y * pow(0.9::DOUBLE, n - i)) AS s FROM t{i}{of} GROUP BY state, action, n) f
+              LEFT JOIN q{i - 1}{of} o ON o.state = f.state AND o.action = f.action)""",
         ]
     return ", ".join(out)
 
 
+# States by step as well: many of them, with actions that were never tried. Most values are a tenth of one reward of six decimals;
+# rounded to nine, none lies between two.
+KEYED = """keyed AS (SELECT run_id, episode_id, step, state || '#' || step AS state, action, reward, next_state || '#' || (step + 1) AS next_state, done FROM transition)"""
+
+
+def _keyed(spark, sf_dir):
+    at = lambda c, step: F.concat(c, F.lit("#"), step.cast("string"))
+    return _transitions(spark, sf_dir).withColumns({"state": at("state", F.col("step")), "next_state": at("next_state", F.col("step") + 1)})
+
+
 def _q(spark, sf_dir, rounds: int = 1):
     return ql.q_iterate(_transitions(spark, sf_dir), rounds=rounds)
 
@@ -411,18 +430,18 @@ def q_iterate(spark, sf_dir):
     return _q(spark, sf_dir, 3)
 
 
-@_query(_with("traj", TRANSITION, _rounds(2)) + "SELECT state, CASE WHEN count(*) < 3 THEN round(greatest(max(q), 0), 6) ELSE round(max(q), 6) END AS max_q FROM q2 GROUP BY state")
+@_query(_with("traj", TRANSITION, KEYED, _rounds(2, "keyed")) + "SELECT state, CASE WHEN count(*) < 3 THEN round(greatest(max(q), 0), 9) ELSE round(max(q), 9) END AS max_q FROM q2 GROUP BY state", 9)
 def max_next_q(spark, sf_dir):
-    return ql.max_next_q(_q(spark, sf_dir, 2), 3)
+    return ql.max_next_q(ql.q_iterate(_keyed(spark, sf_dir), rounds=2), 3)
 
 
 _GREEDY = """greedy AS (SELECT state, action, q FROM (SELECT s.state, a.action, coalesce(q.q, 0) AS q, row_number() OVER (PARTITION BY s.state ORDER BY coalesce(q.q, 0) DESC, a.action) AS k
   FROM (SELECT DISTINCT state FROM q1) s CROSS JOIN (VALUES (0), (1), (2)) a(action) LEFT JOIN q1 q ON q.state = s.state AND q.action = a.action) WHERE k = 1)"""
 
 
-@_query(_with("traj", TRANSITION, _rounds(1), _GREEDY) + "SELECT state, action, round(q, 6) AS q FROM greedy")
+@_query(_with("traj", TRANSITION, KEYED, _rounds(1, "keyed"), _GREEDY) + "SELECT state, action, round(q, 9) AS q FROM greedy", 9)
 def greedy_policy(spark, sf_dir):
-    return ql.greedy_policy(_q(spark, sf_dir), ql.action_dim(spark))
+    return ql.greedy_policy(ql.q_iterate(_keyed(spark, sf_dir), rounds=1), ql.action_dim(spark))
 
 
 @_query(
@@ -438,10 +457,15 @@ def expand_actions(spark, sf_dir):
     return ql.expand_actions(_transitions(spark, sf_dir).select(*schemas.FRAME_KEYS, "state"), ql.action_dim(spark))
 
 
-@_query(_with("traj", TRANSITION, _rounds(2)) + "SELECT state, action, round(coalesce(q2.q, q1.q), 6) AS q FROM q1 FULL JOIN q2 USING (state, action)")
+# The tables of two sets of runs, which share one run: some pairs are in either, some in both.
+_HALVES = ("older AS (SELECT * FROM keyed WHERE run_id <= 3)", "newer AS (SELECT * FROM keyed WHERE run_id >= 3)", _rounds(1, "older", of="_old"), _rounds(1, "newer", of="_new"))
+
+
+@_query(_with("traj", TRANSITION, KEYED, *_HALVES) + "SELECT state, action, round(coalesce(n.q, o.q), 9) AS q FROM q1_old o FULL JOIN q1_new n USING (state, action)", 9)
 def upsert_q(spark, sf_dir):
-    once = _q(spark, sf_dir)
-    return ql.upsert_q(once, ql.q_update(_transitions(spark, sf_dir), once, 3))
+    keyed = _keyed(spark, sf_dir)
+    old, new = (ql.q_iterate(keyed.where(runs), rounds=1) for runs in ("run_id <= 3", "run_id >= 3"))
+    return ql.upsert_q(old, new)
 
 
 def _draw(seed: str) -> str:
@@ -468,7 +492,7 @@ def explore_or_exploit(spark, sf_dir):
       SELECT map_id, code, (row_number() OVER (PARTITION BY map_id ORDER BY pos, code) - 1)::INT AS pos FROM tile)"""
 )
 def read_tile_grid(spark, sf_dir):
-    path = scratch(spark, "maps")
+    path = temporary(spark, "maps")
     codes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda p: p["code"].cast("string"))
     lines = F.array_join(F.transform(codes, lambda c, i: F.concat(F.when(i == 0, "").when(i % 32 == 0, "\r\n").otherwise(" "), c)), "")
     ad.tiles(spark, sf_dir).groupBy("map_id").agg(lines.alias("value")).write.partitionBy("map_id").text(path)
@@ -480,7 +504,7 @@ _FRAME_SQL = """SELECT run_id, episode_id, step, strftime(t.ts, '%Y-%m-%d %H:%M:
 
 
 def _frame_files(spark, sf_dir) -> str:
-    path = scratch(spark, "frames")
+    path = temporary(spark, "frames")
     timed = ad.traj(spark, sf_dir).select(*schemas.FRAME_KEYS, F.col("ts").cast("timestamp"), "elapsed")
     columns = [c.split()[0] for c in schemas.FRAME.split(", ")]
     ad.motion(spark, sf_dir).join(timed, schemas.FRAME_KEYS).select(*columns).write.parquet(path)
@@ -492,12 +516,25 @@ def read_frames(spark, sf_dir):
     return fr.read_frames(spark, _frame_files(spark, sf_dir)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+def _streamed(spark, path, times: int = 1, **options):
+    """The frames of path as a stream wrote them; before each further time, the files come again."""
+    out, checkpoint, again = temporary(spark, "streamed"), temporary(spark, "checkpoint"), fr.read_frames(spark, path)
+    for i in range(times):
+        if i:
+            again.write.mode("append").parquet(path)
+        stream = fr.stream_frames(spark, path, **options)
+        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return fr.read_frames(spark, out).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @_query(_with("traj", "motion") + _FRAME_SQL)
 def stream_frames(spark, sf_dir):
-    out = scratch(spark, "streamed")
-    stream = fr.stream_frames(spark, _frame_files(spark, sf_dir))
-    stream.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
-    return fr.read_frames(spark, out).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return _streamed(spark, _frame_files(spark, sf_dir))
+
+
+@_query(_with("traj", "motion") + _FRAME_SQL)
+def stream_frames_once(spark, sf_dir):
+    return _streamed(spark, _frame_files(spark, sf_dir), times=2, watermark="60 days")
 
 
 @_query(
@@ -507,14 +544,14 @@ def stream_frames(spark, sf_dir):
     FROM traj GROUP BY run_id, episode_id"""
 )
 def write_episode_log(spark, sf_dir):
-    path = scratch(spark, "episodes")
+    path = temporary(spark, "episodes")
     fr.write_episode_log(ep.episode_summary(ad.traj(spark, sf_dir)), path, text=True)
     return spark.read.schema("value string, run_id long").text(path).select("run_id", F.col("value").alias("line"))
 
 
 @_query(_with("traj", TRANSITION, _rounds(2)) + "SELECT 0 AS version, state, action, round(q, 6) AS q FROM q1 UNION ALL SELECT 1, state, action, round(q, 6) FROM q2")
 def save_load_q(spark, sf_dir):
-    path, transitions = scratch(spark, "q"), materialise(_transitions(spark, sf_dir), "transitions")
+    path, transitions = temporary(spark, "q"), materialise(_transitions(spark, sf_dir), "transitions")
     for version in range(2):  # each from the newest one
         qs.save_q(ql.q_update(transitions, qs.load_q(spark, path), 3), path, version)
     first, newest = qs.load_q(spark, path, 0), qs.load_q(spark, path)
@@ -535,7 +572,7 @@ def _progress(spark, sf_dir, pieces: int = 1, late_days: int = 0, **options):
     hits = ad.stages(spark, sf_dir).select(*schemas.FRAME_KEYS, "kind")
     frames = ad.traj(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).join(hits, schemas.FRAME_KEYS, "left")
     comes = F.unix_micros("ts") + F.when(F.col("step") % 7 == 0, late_days * 86_400_000_000).otherwise(0)
-    out = scratch(spark, "progress")
+    out = temporary(spark, "progress")
 
     def keep(batch: DataFrame, batch_id: int) -> None:  # a batch that is run again replaces what it wrote
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -543,11 +580,10 @@ def _progress(spark, sf_dir, pieces: int = 1, late_days: int = 0, **options):
     # Without a watermark, batches without data would go on for the timers' sake, and the stream never come to an end.
     store = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     empty = ("spark.sql.streaming.noDataMicroBatches.enabled", str("watermark" in options).lower())
-    with setting(spark, *store), setting(spark, *empty), temporary_tables(spark) as made:
+    with setting(spark, *store), setting(spark, *empty):
         frames = materialise(frames.select(*schemas.FRAME_KEYS, "ts", "kind", "reward", "done", comes.alias("comes")), "frames")
         low, high = frames.agg(F.min("comes"), F.max("comes")).first()
-        source, checkpoint = scratch(spark, "stream-in"), scratch(spark, "checkpoint")
-        made += [source, checkpoint]
+        source, checkpoint = temporary(spark, "stream-in"), temporary(spark, "checkpoint")
         for i in range(pieces):
             within = (F.col("comes") - low) * pieces >= i * (high - low + 1)
             frames.where(within & ((F.col("comes") - low) * pieces < (i + 1) * (high - low + 1))).drop("comes").write.mode("append").parquet(source)
@@ -582,7 +618,7 @@ def _as_stream(table: DataFrame) -> DataFrame:
 
 @_query(_with("traj", TRANSITION, _rounds(2)) + "SELECT state, action, round(q, 6) AS q FROM q2")
 def stream_q_update(spark, sf_dir):
-    path, transitions = scratch(spark, "q"), materialise(_transitions(spark, sf_dir), "stream-in")
+    path, transitions = temporary(spark, "q"), materialise(_transitions(spark, sf_dir), "stream-in")
     for _ in range(2):  # the second stream, of a checkpoint of its own, goes on from the first one's table
-        learn(_as_stream(transitions), path, scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        learn(_as_stream(transitions), path, temporary(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return qs.load_q(spark, path)

@@ -56,13 +56,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    table = write_table(df, path)
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which temporary_tables() deletes."""
+    path = scratch(spark, name)
     for made in _scopes():
         made.append(path)
-    return table
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    return write_table(df, temporary(df.sparkSession, name))
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -100,7 +104,7 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 
 @contextlib.contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables that materialise() writes inside are deleted at the end, but those that are taken from the list."""
+    """What materialise() writes and temporary() names inside is deleted at the end, but what is taken from the list."""
     made: list[str] = []
     scopes = _scopes()
     scopes.append(made)

@@ -13,9 +13,12 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FRAME).parquet(path)
 
 
-def stream_frames(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_frames(spark: SparkSession, path: str, max_files: int | None = None, watermark: str | None = None) -> DataFrame:
+    """Frames of the files that come to path. With a watermark, a frame (run, episode, step) that comes again no later than
+    that after its first is dropped, so that files that are written twice do no harm; state holds the keys for that time."""
     reader = spark.readStream.schema(schemas.FRAME)
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+    frames = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+    return frames if watermark is None else frames.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(schemas.FRAME_KEYS)
 
 
 def write_episode_log(episodes: DataFrame, path: str, text: bool = False) -> None:

@@ -169,10 +169,10 @@ def test_toxic_clauses():
     score = lambda text: model.score(grammar.features(text))
     direct = score("you scum")
     assert direct > score("you are not scum") and direct > score("he said you scum") and score("SCUM!! SCUM!!") > score("scum")
-    # Order: a report or a negation acts on what follows, and a threat needs its target after it.
+    # Order: a report or a negation acts on what follows, and a threat needs someone to intend it.
     assert score("you scum he said nothing") == direct > score("he said nothing you scum")
     assert score("scum not you") > score("not scum you") and score("no doubt you scum") == direct
-    assert score("I will kill you") > score("they kill time") and score("kill you") > score("do not kill you")
+    assert score("I will kill you") > score("they kill time") and score("I will kill you") > score("I will not kill you")
     assert score("scum. You") < score("scum you")
 
 

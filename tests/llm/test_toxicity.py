@@ -1,0 +1,147 @@
+"""The toxicity grammar: harmless sentences, threats, forms of insults, and a plain-Python reading of it."""
+
+import math
+import re
+
+import pytest
+from compare import database
+from pyspark.sql import functions as F
+
+from trajq.llm import toxicity as tx
+
+#: Words that share a beginning with an insult, and sentences with a threat's verb that threaten no one.
+HARMLESS = """Follow your path.
+The path you take is worth your time.
+The worth of your paths
+This is worth it for you
+You lose some, you win some.
+They wore a disguise for you.
+Your disguise is good, and they lost it.
+He is a moroccan, like you.
+Your pathology report is here.
+They found a new pathway for you.
+Worthing is a town that you would like.
+Your idiom is old.
+An idiosyncrasy of yours
+They lost your clothes in the closet.
+The losing side thanked you.
+Trasmitter is misspelt, you see.
+They studied pathos with you.
+You are worthy of them.
+Scuba diving is for you.
+Sculpture is what they like.
+Your clove tea is ready.
+The clock tells you the time.
+You discuss it with her.
+The disc is yours.
+They beat eggs for you.
+This song will hurt you in the best way.
+We kill weeds in the garden.
+You kill time with them.
+You burn calories.
+I will shoot the film with you.
+The frost will kill them.
+It is going to hurt a little.
+We attack the problem with you.
+I will never hurt you.
+You can destroy the letter.
+She said he will burn the toast for them.
+Le gel va tuer les fleurs.
+Wir töten Unkraut im Garten.""".split("\n")
+THREATS = """I will kill you
+I'll kill you.
+We are going to hurt you.
+I am gonna shoot him.
+Ich werde dich töten
+Je vais te tuer
+Te voy a matar
+I want to strangle them!""".split("\n")
+
+
+@pytest.fixture(scope="module", params=["sf0.01", "sf0.1"])
+def model(spark, request):
+    sf = f"/root/testdata/{request.param}"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    return tx.fit_toxicity(tx.training_sample(docs, labels))
+
+
+def test_harmless_threatening_and_insulting_sentences(model):
+    grammar = tx.Grammar(model.lexicon)
+    score = lambda text: model.score(grammar.features(text))
+    assert {t: round(score(t), 3) for t in HARMLESS if score(t) >= 0.5} == {}
+    assert {t: round(score(t), 3) for t in THREATS if score(t) < 0.7} == {}
+    insult = next(w for w, weight in model.lexicon.items() if weight > 4)
+    assert score(f"You {insult}") > 0.7 and score(f"You {insult}s") == score(f"You {insult}") > score(f"You are no {insult}")
+    assert score("He said I will kill you") < 0.5 < score("I will kill you")
+    assert "^" not in "".join(model.lexicon)
+
+
+def plain_features(text, lexicon):
+    """The grammar read clause by clause with loops."""
+    words = lambda name: set(getattr(tx, name))
+    people, objects = words("TARGETS") | words("OBJECTS"), words("OBJECTS")
+
+    def weight(w):
+        for base in [w, *(w[: -len(e)] for e in tx.ENDINGS if w.endswith(e) and len(w) > len(e) + 3)]:
+            if base in lexicon:
+                return lexicon[base]
+        return 0.0
+
+    def role(w, *names):
+        return not weight(w) and any(w in words(n) for n in names)
+
+    def closed(w):  # the last list that holds a word has it
+        return next((n for n in ("INTENDING", "INTENTS", "SELVES", "REPORTS", "NEGATIONS", "OBJECTS", "TARGETS", "THREATS") if role(w, n)), "")
+
+    sums, hits, surest, n = [0.0, 0.0], 0, 0.0, len((text or "").split())
+    for clause in re.split(r"[.;!?\n]", text or ""):
+        ws = [w.lower() for w in re.findall(r"[^\W\d_]+", clause)]
+        kinds = [closed(w) for w in ws]
+        insults = [i for i, w in enumerate(ws) if weight(w)]
+        scale = lambda i: (tx.NEGATED if "NEGATIONS" in kinds[max(0, i - 2) : i] else 1.0) * (tx.REPORTED if "REPORTS" in kinds[:i] else 1.0)  # noqa: B023, E731
+        for k, i in enumerate(insults):
+            end = min([i + 4, *insults[k + 1 : k + 2]])
+            aimed = any(x in ("TARGETS", "OBJECTS") for x in kinds[:i] + kinds[i + 1 : end])
+            sums[aimed] += weight(ws[i]) * scale(i) / 3.0
+            hits += 1
+        pronoun, intent = -9, -9
+        for i, kind in enumerate(kinds):
+            meant = i - intent <= 3
+            if kind == "THREATS" and meant and ("OBJECTS" in kinds[max(0, i - 3) : i] or kinds[i + 1 : i + 2] in (["TARGETS"], ["OBJECTS"])):
+                surest = max(surest, scale(i))
+            if kind == "INTENDING" or (kind == "INTENTS" and i - pronoun <= 3 and not meant):
+                pronoun, intent = -9, i
+            elif kind == "SELVES" and not meant:
+                pronoun = i
+    return [*(math.log2(1 + x) for x in sums), min(1.0, 20.0 * hits / max(n if hits else 1, 1)), surest]
+
+
+def test_plain_grammar_gives_the_scores_of_all_documents(spark, sf, model):
+    texts = dict(database(sf).sql("SELECT doc_id, text FROM documents").fetchall())
+    extra = dict(enumerate(HARMLESS + THREATS + [f"{a} {b} {c}" for a in ("You", "I will", "he said") for b in ("idiot", "not a moron", "kill") for c in ("you", "te", "ich werde dich töten you. I kill you")], start=10**6))
+    texts |= extra
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(list(extra.items()), "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in tx.score_toxicity(docs, model).select("doc_id", "score").collect()}
+    want = {i: model.score(plain_features(t, model.lexicon)) for i, t in texts.items()}
+    assert {i: (got[i], w) for i, w in want.items() if abs(got[i] - w) > 1e-9} == {} and len(got) == len(texts)
+
+
+def test_belief_in_threats_is_learnt(spark):
+    rows = [(f"I will kill you, {i} said the player.", 0) for i in range(40)]
+    harmless = tx.fit_toxicity(spark.createDataFrame(rows, "text string, toxic int"))
+    assert harmless.belief < 0.2 and tx.fit_toxicity(spark.createDataFrame([(t, 1) for t, _ in rows], "text string, toxic int")).belief > 0.9
+
+
+def test_a_form_that_clean_texts_hold_is_none(spark):
+    toxic = [(f"w{chr(97 + i)} badword and v{chr(97 + i)} badword", 1) for i in range(26)]
+    clean = [(f"x{chr(97 + i)} badwords are y{chr(97 + i)} fine words z{chr(97 + i)}", 0) for i in range(26)] * 3
+    model = tx.fit_toxicity(spark.createDataFrame(toxic + clean, "text string, toxic int"))
+    assert model.lexicon["badword"] > 3 and model.lexicon["badwords"] == 0.0
+    grammar = tx.Grammar(model.lexicon)
+    assert grammar.symbol("Badwordish")[0] == tx.INSULT and grammar.symbol("badwords")[0] == tx.OTHER
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = spark.createDataFrame([("word " * 100_000, 0, "x"), (None, 1, "y"), ("", None, "z")], "text string, toxic int, label string").withColumn("unit", F.lit(1))
+    model = tx.fit_toxicity(rows)
+    assert model.lexicon == {} and tx.score_toxicity(rows.withColumn("doc_id", F.lit(1)).withColumn("score", F.lit("s")), model).count() == 3

@@ -8,6 +8,7 @@ from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
 from trajq.operators import tiles as ti
 from trajq.operators import transitions as tr
+from trajq.session import materialise, setting
 from trajq.sources.frames import read_frames, stream_frames, write_episode_log
 from trajq.sources.qstore import load_q, save_q, versions
 from trajq.sources.tiles import read_tile_grid
@@ -30,6 +31,38 @@ def test_maps(spark, tmp_path):
     assert coords == {"a.txt": [32.0, 0.0], "b.txt": [0.0, 0.0, 32.0, 0.0, 64.0, 0.0]}
 
 
+@pytest.mark.parametrize("line_sep", ["\n", " "])
+def test_a_large_map_in_splits(spark, tmp_path, line_sep):
+    """Some megabytes in splits of a fortieth, lines cut anywhere: the rows of whole-text reading, over several tasks."""
+    with open(tmp_path / "big.txt", "w") as f:
+        for i in range(40_000):
+            f.write(" ".join(str((i * 7 + j) % 9) for j in range(32)) + ("  \n" if i % 5 else "\r\n\r\n"))
+        f.write("x 3")
+    (tmp_path / "small.txt").write_text("1 2\n3")
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "64k"), setting(spark, "spark.sql.files.openCostInBytes", "1k"):
+        split = read_tile_grid(spark, str(tmp_path), line_sep=line_sep)
+        assert spark.read.text(str(tmp_path), lineSep=line_sep).rdd.getNumPartitions() > 20
+        rows = split.select(F.count("*"), F.sum(F.xxhash64(*split.columns).cast("decimal(38,0)")), F.max("pos")).first()
+    whole = read_tile_grid(spark, str(tmp_path))
+    assert rows == whole.select(F.count("*"), F.sum(F.xxhash64(*whole.columns).cast("decimal(38,0)")), F.max("pos")).first() and rows[0] == 40_000 * 32 + 5
+
+
+def test_a_bucketed_version_is_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "q")
+    q = spark.range(5000).select(F.concat(F.lit("s"), F.col("id") % 700).alias("state"), (F.col("id") % 7).cast("int").alias("action"), F.col("id").cast("double").alias("q")).dropDuplicates(["state", "action"])
+    save_q(q, path, 3, buckets=8)
+    save_q(q.withColumn("q", F.col("q") + 1), path, 4, buckets=8)
+    keys = materialise(q.select("state", "action", F.col("q").alias("want")).unionByName(spark.createDataFrame([("none", 1, 0.0)], "state string, action int, want double")), "keys")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        found = ql.q_lookup(keys, load_q(spark, path, 3))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(state") == 1
+        assert found.where("q <> want").count() == 0 and found.count() == keys.count()
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("q_")]:
+        spark.sql(f"DROP TABLE {name}")  # a new application knows the folders only
+    assert versions(spark, path) == [3, 4] and load_q(spark, path).join(q.withColumnRenamed("q", "old"), ["state", "action"]).where("q = old + 1").count() == q.count()
+
+
 def test_q_versions(spark, tmp_path):
     path = str(tmp_path / "q")
     assert load_q(spark, path).count() == 0

@@ -486,17 +486,27 @@ def explore_or_exploit(spark, sf_dir):
 # ---- sources and streams: what is written to the scratch folder, read back
 
 
-@_query(
-    _with("tile")
-    + """SELECT map_id, pos, code, ((pos % 32) * 32)::INT AS x, (floor(pos / 32) * 32)::INT AS y FROM (
-      SELECT map_id, code, (row_number() OVER (PARTITION BY map_id ORDER BY pos, code) - 1)::INT AS pos FROM tile)"""
-)
-def read_tile_grid(spark, sf_dir):
+_GRID_SQL = """SELECT map_id, pos, code, ((pos % 32) * 32)::INT AS x, (floor(pos / 32) * 32)::INT AS y FROM (
+  SELECT map_id, code, (row_number() OVER (PARTITION BY map_id ORDER BY pos, code) - 1)::INT AS pos FROM tile)"""
+
+
+def _read_maps(spark, sf_dir, **options):
     path = temporary(spark, "maps")
     codes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda p: p["code"].cast("string"))
     lines = F.array_join(F.transform(codes, lambda c, i: F.concat(F.when(i == 0, "").when(i % 32 == 0, "\r\n").otherwise(" "), c)), "")
     ad.tiles(spark, sf_dir).groupBy("map_id").agg(lines.alias("value")).write.partitionBy("map_id").text(path)
-    return read_maps(spark, path).withColumn("map_id", F.regexp_extract("map_id", "/map_id=([^/]+)/", 1))
+    return read_maps(spark, path, **options).withColumn("map_id", F.regexp_extract("map_id", "/map_id=([^/]+)/", 1))
+
+
+@_query(_with("tile") + _GRID_SQL)
+def read_tile_grid(spark, sf_dir):
+    return _read_maps(spark, sf_dir)
+
+
+@_query(_with("tile") + _GRID_SQL)
+def read_tile_grid_in_splits(spark, sf_dir):
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "700b"):  # a map here has 2 KB
+        return materialise(_read_maps(spark, sf_dir, line_sep="\n"), "grid")
 
 
 _FRAME_SQL = """SELECT run_id, episode_id, step, strftime(t.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, t.elapsed, map_id, round(x, 6) AS x, round(y, 6) AS y,
@@ -558,6 +568,17 @@ def save_load_q(spark, sf_dir):
     return first.withColumn("version", F.lit(0)).unionByName(newest.withColumn("version", F.lit(1)))
 
 
+@_query(
+    _with("traj", TRANSITION, KEYED, _rounds(1, "keyed"))
+    + "SELECT t.run_id, t.episode_id, t.step, t.state, t.action, round(coalesce(q.q, 0), 9) AS q FROM keyed t LEFT JOIN q1 q ON q.state = t.state AND q.action = t.action",
+    9,
+)
+def q_lookup_bucketed(spark, sf_dir):
+    path, keyed = temporary(spark, "q"), _keyed(spark, sf_dir)
+    qs.save_q(ql.q_iterate(keyed, rounds=1), path, 0, buckets=16)
+    return ql.q_lookup(keyed.select(*schemas.FRAME_KEYS, "state", "action"), qs.load_q(spark, path))
+
+
 def _progress_sql(scope: str, rows: str = "traj", order: str = "t.ts, t.step") -> str:
     return f"""SELECT t.run_id, t.episode_id, t.step, coalesce(r.stage, 0)::INT AS stage,
       coalesce(r.stage, 0) > coalesce(max(r.stage) OVER (PARTITION BY {scope} ORDER BY {order}, coalesce(r.stage, 0), t.episode_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fired,

@@ -36,9 +36,29 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getParent().getName()[2:]) for p in _found(spark, f"{path.rstrip('/')}/v=*/_SUCCESS"))
 
 
-def save_q(q: DataFrame, path: str, version: int) -> None:
-    """Write q as one version. Versions are folders of their own, as Spark must not overwrite what it is reading."""
-    q.select("state", "action", "q").write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={version}")
+def _folder(path: str, version: int) -> str:
+    return f"{path.rstrip('/')}/v={version}"
+
+
+def _table(folder: str) -> str:
+    return "q_" + hashlib.md5(folder.encode()).hexdigest()
+
+
+def save_q(q: DataFrame, path: str, version: int, buckets: int | None = None) -> None:
+    """Write q as one version. Versions are folders of their own, as Spark must not overwrite what it is reading.
+
+    With buckets, rows are written in so many buckets by (state, action), sorted: what is joined by these with the table
+    that load_q gives is shuffled to the buckets, and the table itself is not. How many there are is kept beside them."""
+    spark, folder = q.sparkSession, _folder(path, version)
+    rows = q.select("state", "action", "q")
+    if buckets is None:
+        rows.write.mode("overwrite").parquet(folder)
+        return
+    spark.sql(f"DROP TABLE IF EXISTS {_table(folder)}")
+    dealt = rows.repartition(buckets, "state", "action").write.mode("overwrite").format("parquet").option("path", folder)
+    dealt.bucketBy(buckets, "state", "action").sortBy("state", "action").saveAsTable(_table(folder))
+    fs, where, _ = _fs(spark, f"{folder}/_buckets_{buckets}")
+    fs.create(where, True).close()
 
 
 def load_q(spark: SparkSession, path: str, version: int | None = None, schema: str = schemas.Q) -> DataFrame:
@@ -48,7 +68,13 @@ def load_q(spark: SparkSession, path: str, version: int | None = None, schema: s
         if not known:
             return spark.createDataFrame([], schema)
         version = known[-1]
-    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/v={version}")
+    folder = _folder(path, version)
+    marks = _found(spark, f"{folder}/_buckets_*")
+    if not marks:
+        return spark.read.schema(schema).parquet(folder)
+    n = int(marks[0].getName().rpartition("_")[2])
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_table(folder)} ({schema}) USING parquet CLUSTERED BY (state, action) SORTED BY (state, action) INTO {n} BUCKETS LOCATION '{folder}'")
+    return spark.table(_table(folder))
 
 
 def source_id(source: str) -> str:
@@ -74,6 +100,7 @@ def retire(spark: SparkSession, path: str, keep: int) -> None:
     fs, _, new_path = _fs(spark, path)
     for p in _found(spark, f"{path.rstrip('/')}/v=*"):
         if int(p.getName()[2:]) < oldest:
+            spark.sql(f"DROP TABLE IF EXISTS {_table(_folder(path, int(p.getName()[2:])))}")
             fs.delete(p, True)
     log = notes(spark, path)
     newest = {n.source: n.version for n in log}

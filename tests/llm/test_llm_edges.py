@@ -288,6 +288,14 @@ def test_highest_quotients(spark):
         assert [r.seats for r in sainte_lague(parties, ["g"], ["p"], "v", "m", "seats").orderBy("p").collect()] == won
 
 
+def test_archives_keep_ids_of_text(spark):
+    ids = ["a%0Ab", "a%250Db", "", None, "a\nb", "a\r\nb", "100%", "%25", " x ", "é: ü"]
+    pages = spark.createDataFrame([(i, None, f"page {n}") for n, i in enumerate(ids)] + [(i, "u", "same " * 300) for i in ids], "page_id string, url string, html string")
+    got = archive_round_trip(pages).collect()
+    assert sorted((r.page_id for r in got), key=str) == sorted(ids * 2, key=str) and all(r.intact for r in got)
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {max(i for i in ids if i is not None)}
+
+
 def test_archives(spark, tmp_path):
     body = "<p>" + "x" * 2000
     rows = [(1, "http://a/", body), (5, None, body), (5, None, body), (None, "http://b\r\nX: y", body), (3, "u", None), (4, "u", None), (2, "u", "é" * 500)]

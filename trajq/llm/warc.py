@@ -35,13 +35,22 @@ def _b32(hex_digest: str) -> str:
 
 
 def _member(headers: list[tuple[str, object]], block: bytes) -> bytes:
-    """One record as a gzip member of its own. Line ends in values are percent-encoded."""
-    lines = [f"{k}: {str(v).replace('%0D', '%250D').replace(chr(13), '%0D').replace(chr(10), '%0A')}\r\n" for k, v in headers]
+    """One record as a gzip member of its own. Line ends in values are percent-encoded; a header without a value is left out."""
+    lines = [f"{k}: {str(v).replace(chr(13), '%0D').replace(chr(10), '%0A')}\r\n" for k, v in headers if v is not None]
     text = "WARC/1.1\r\n" + "".join(lines) + f"Content-Length: {len(block)}\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)  # a gzip header without a time
     return packer.compress(text.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
+def _escaped(page: object) -> str | None:
+    """An id as a header's value: with its percent signs encoded, so that line ends can be too. None stays None."""
+    return None if page is None else str(page).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _unescaped(value: str | None) -> str | None:
+    return None if value is None else value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
 def _response(page: object, url: str | None, date: str, payload: bytes, digest: str, nth: int, refers_to: tuple | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to else http + payload
@@ -53,14 +62,14 @@ def _response(page: object, url: str | None, date: str, payload: bytes, digest:
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", f"sha1:{_b32(digest)}"),
         ("WARC-Block-Digest", f"sha1:{_b32(hashlib.sha1(block).hexdigest())}"),
-        ("X-Page-Id", "" if page is None else page),
+        ("X-Page-Id", _escaped(page)),
         ("X-Payload-Length", len(payload)),
     ]
     if refers_to:
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("WARC-Refers-To", _record_id(refers_to[0], digest, 0)),
-            ("X-Refers-To-Page-Id", "" if refers_to[0] is None else refers_to[0]),
+            ("X-Refers-To-Page-Id", _escaped(refers_to[0])),
         ]
     return _member(headers, block)
 
@@ -165,7 +174,7 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             headers = {}
             while (line := f.readline().rstrip(b"\r\n")):
                 name, _, value = line.decode().partition(": ")
-                headers[name] = value.replace("%0A", "\n").replace("%0D", "\r").replace("%250D", "%0D")
+                headers[name] = value
             yield headers, f.read(int(headers["Content-Length"]))
 
 
@@ -190,7 +199,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         if headers["WARC-Type"] == "response":
                             length, found = len(payload), hashlib.sha1(payload).hexdigest()
                             intact, digest = intact and found == digest, found
-                        rows.append((headers["X-Page-Id"] or None, length, digest, headers["WARC-Type"], headers.get("X-Refers-To-Page-Id") or None, intact))
+                        rows.append((_unescaped(headers.get("X-Page-Id")), length, digest, headers["WARC-Type"], _unescaped(headers.get("X-Refers-To-Page-Id")), intact))
                 types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"])
 

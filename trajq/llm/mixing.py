@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialise
 
+#: So many shards of a source are one task's at most: beyond, quotas go to groups of them first.
+GROUPED = 1024
+
+
 def capped_targets(sources: DataFrame, weights: Sequence[float], max_repeat: int) -> DataFrame:
     """sources(source, source_size) with target: shares of the whole by weight, none above max_repeat times its size.
 
@@ -74,11 +78,11 @@ def mix_sources(
     """How many words of each document a mix takes that gives every source its target.
 
     Blocks of block_words words are apportioned to the sources by highest quotients of their targets, then each
-    source's blocks to its shards by their words. What a shard can't hold goes to the source's other shards in a further
+    source's blocks to its shards by their words (to groups of them first, where there are more than GROUPED). What a shard can't hold goes to the source's other shards in a further
     round. A shard's documents, in an order seeded by their ids, make a stream that repeats up to max_repeat times; its
     quota of blocks is cut from the stream's head, so that a document is taken whole zero or more times but for one at
     the cut. A source has a shard for each shard_words of its own words (by a hash of the id), so a large one is no
-    single task's work and a small one isn't spread thin. The windows over all sources, a row each, are one task's.
+    single task's work and a small one isn't spread thin. The windows over all sources, a row each, are one task's, as are those over a source's groups of shards.
 
     Returns a row per row of docs: id_col, source_col, size, source_size, target, taken; with carry, the row itself as a
     struct `row`, size and taken. A null or empty text has size 0 and nothing taken, however long ones are counted whole; null
@@ -99,7 +103,8 @@ def mix_sources(
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
     sharded = sizes.join(seated, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), n_shards)).drop("_source")
     cells = sharded.groupBy("source", "shard", "_blocks").agg(F.sum("size").alias("cell_size"))
-    quotas = shard_quotas(cells, fits(F.col("cell_size")))
+    cells = materialise(cells.withColumn("room", fits(F.col("cell_size"))).withColumnRenamed("_blocks", "seats"), "shards")
+    quotas = shard_quotas(cells)
     quotas = materialise(quotas.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "cell_size", "quota"), "quotas")
 
     order = (F.xxhash64(F.lit(seed + 1), "id"), F.col("id").asc_nulls_last(), "size", "digest")
@@ -115,16 +120,29 @@ def mix_sources(
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken)
 
 
-def shard_quotas(cells: DataFrame, room: Column) -> DataFrame:
-    """cells(source, shard, cell_size, _blocks) with quota: the source's _blocks by highest quotients of the cells' sizes, none
-    above its room; blocks that find none there are given by highest quotients of the room that is left."""
-    cells = sainte_lague(cells, ["source"], ["shard"], "cell_size", "_blocks", "_first")
-    cells = cells.withColumn("_given", F.least(F.col("_first"), room)).withColumn("_left", room - F.col("_given"))
-    returned = F.col("_blocks") - F.sum("_given").over(Window.partitionBy("source"))
-    again = F.least(returned, F.sum("_left").over(Window.partitionBy("source")))
-    cells = materialise(cells.withColumn("_again", F.greatest(again, F.lit(0)).cast("long")).drop("_first"), "cells")
-    cells = sainte_lague(cells, ["source"], ["shard"], "_left", "_again", "_second")
-    return cells.withColumn("quota", F.col("_given") + F.least("_second", "_left"))
+def quotas_within(cells: DataFrame, group: Sequence[str], party: str, name: str) -> DataFrame:
+    """cells(group, party, cell_size, room, seats) with quota: the group's seats by highest quotients of the cells' sizes, none
+    above its room; seats that find none there are given by highest quotients of the room that is left."""
+    whole = Window.partitionBy(*group)
+    cells = sainte_lague(cells, group, [party], "cell_size", "seats", "_first")
+    cells = cells.withColumn("_given", F.least("_first", "room")).withColumn("_left", F.col("room") - F.col("_given"))
+    again = F.least(F.col("seats") - F.sum("_given").over(whole), F.sum("_left").over(whole))
+    cells = materialise(cells.withColumn("_again", F.greatest(again, F.lit(0)).cast("long")).drop("_first"), name)
+    cells = sainte_lague(cells, group, [party], "_left", "_again", "_second")
+    return cells.withColumn("quota", F.col("_given") + F.least("_second", "_left")).drop("_given", "_left", "_again", "_second")
+
+
+def shard_quotas(cells: DataFrame) -> DataFrame:
+    """cells(source, shard, cell_size, room, seats), seats being the source's, with quota. A source's shards are dealt in
+    groups of GROUPED: seats go to the groups and then, within each, to its shards, so that a source of very many
+    shards is many tasks' work."""
+    cells = cells.withColumn("_group", F.floor(F.col("shard") / GROUPED))
+    groups = cells.groupBy("source", "_group", "seats").agg(F.sum("cell_size").alias("cell_size"), F.sum("room").alias("room"))
+    groups = materialise(quotas_within(groups, ["source"], "_group", "groups"), "group-quotas")
+    groups = groups.select(F.col("source").alias("_source"), F.col("_group").alias("_of"), F.col("quota").alias("seats"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_group") == F.col("_of"))
+    within = cells.drop("seats").join(groups, same).drop("_source", "_of")
+    return quotas_within(within, ["source", "_group"], "shard", "cells").drop("_group")
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

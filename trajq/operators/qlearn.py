@@ -50,7 +50,9 @@ def later_samples(transitions: DataFrame, order: Sequence[str] = ("step",)) -> D
     pair = ["state", "action"]
     columns = [*pair, "run_id", "episode_id", *order]
     at = F.monotonically_increasing_id()
-    ranged = transitions.select(*columns, "reward", "next_state", "done").repartitionByRange(*columns).sortWithinPartitions(*columns)
+    # Written first: a sort by range reads its input twice, the first time for the ranges.
+    written = materialise(transitions.select(*columns, "reward", "next_state", "done"), "transitions")
+    ranged = written.repartitionByRange(*columns).sortWithinPartitions(*columns)
     ranged = materialise(ranged.select(*pair, "reward", "next_state", "done", at.alias("at"), F.shiftright(at, 33).alias("piece")), "samples")
     onward = Window.partitionBy(*pair).orderBy(F.col("piece").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = ranged.groupBy(*pair, "piece").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))

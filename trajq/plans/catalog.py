@@ -75,7 +75,7 @@ TRANSITION = """transition AS (SELECT run_id, episode_id, step, coalesce(lag(obs
   action, reward, obs AS next_state, done FROM traj)"""
 
 
-def _rounds(n: int, source: str = "transition", n_actions: str = "3", of: str = "") -> str:
+def _rounds(n: int, source: str = "transition", n_actions: str = "3", of: str = "", alpha: str = "0.1::DOUBLE", rest: str = "0.9::DOUBLE") -> str:
     """CTEs q0 ... qn of n synchronous rounds from an empty table; `of` is added to their names."""
     out = [f"q0{of} AS (SELECT state, action, 0.0::DOUBLE AS q FROM {source} WHERE false)"]
     for i in range(1, n + 1):
@@ -84,15 +84,16 @@ def _rounds(n: int, source: str = "transition", n_actions: str = "3", of: str =
             f"""t{i}{of} AS (SELECT t.state, t.action, reward + 0.95::DOUBLE * CASE WHEN done THEN 0 ELSE coalesce(mq, 0) END AS y,
               row_number() OVER (PARTITION BY t.state, t.action ORDER BY run_id, episode_id, step) AS i, count(*) OVER (PARTITION BY t.state, t.action) AS n
               FROM {source} t LEFT JOIN m{i}{of} m ON t.next_state = m.state)""",
-            f"""q{i}{of} AS (SELECT f.state, f.action, pow(0.9::DOUBLE, f.n) * coalesce(o.q, 0) + f.s AS q
-              FROM (SELECT state, action, n, sum(0.1::DOUBLE * y * pow(0.9::DOUBLE, n - i)) AS s FROM t{i}{of} GROUP BY state, action, n) f
+            f"""q{i}{of} AS (SELECT f.state, f.action, pow({rest}, f.n) * coalesce(o.q, 0) + f.s AS q
+              FROM (SELECT state, action, n, sum({alpha} * y * pow({rest}, n - i)) AS s FROM t{i}{of} GROUP BY state, action, n) f
               LEFT JOIN q{i - 1}{of} o ON o.state = f.state AND o.action = f.action)""",
         ]
     return ", ".join(out)
 
 
-# States by step as well: many of them, with actions that were never tried. Most values are a tenth of one reward of six decimals;
-# rounded to nine, none lies between two.
+# States by step as well: many of them, with actions that were never tried. Updated by a third, as tenths of rewards of six decimals
+# often lie between two rounded values.
+THIRD = {"alpha": "(1.0::DOUBLE / 3)", "rest": "(1.0::DOUBLE - 1.0::DOUBLE / 3)"}
 KEYED = """keyed AS (SELECT run_id, episode_id, step, state || '#' || step AS state, action, reward, next_state || '#' || (step + 1) AS next_state, done FROM transition)"""
 
 
@@ -430,18 +431,18 @@ def q_iterate(spark, sf_dir):
     return _q(spark, sf_dir, 3)
 
 
-@_query(_with("traj", TRANSITION, KEYED, _rounds(2, "keyed")) + "SELECT state, CASE WHEN count(*) < 3 THEN round(greatest(max(q), 0), 9) ELSE round(max(q), 9) END AS max_q FROM q2 GROUP BY state", 9)
+@_query(_with("traj", TRANSITION, KEYED, _rounds(2, "keyed", **THIRD)) + "SELECT state, CASE WHEN count(*) < 3 THEN round(greatest(max(q), 0), 9) ELSE round(max(q), 9) END AS max_q FROM q2 GROUP BY state", 9)
 def max_next_q(spark, sf_dir):
-    return ql.max_next_q(ql.q_iterate(_keyed(spark, sf_dir), rounds=2), 3)
+    return ql.max_next_q(ql.q_iterate(_keyed(spark, sf_dir), rounds=2, alpha=1 / 3), 3)
 
 
 _GREEDY = """greedy AS (SELECT state, action, q FROM (SELECT s.state, a.action, coalesce(q.q, 0) AS q, row_number() OVER (PARTITION BY s.state ORDER BY coalesce(q.q, 0) DESC, a.action) AS k
   FROM (SELECT DISTINCT state FROM q1) s CROSS JOIN (VALUES (0), (1), (2)) a(action) LEFT JOIN q1 q ON q.state = s.state AND q.action = a.action) WHERE k = 1)"""
 
 
-@_query(_with("traj", TRANSITION, KEYED, _rounds(1, "keyed"), _GREEDY) + "SELECT state, action, round(q, 9) AS q FROM greedy", 9)
+@_query(_with("traj", TRANSITION, KEYED, _rounds(1, "keyed", **THIRD), _GREEDY) + "SELECT state, action, round(q, 9) AS q FROM greedy", 9)
 def greedy_policy(spark, sf_dir):
-    return ql.greedy_policy(ql.q_iterate(_keyed(spark, sf_dir), rounds=1), ql.action_dim(spark))
+    return ql.greedy_policy(ql.q_iterate(_keyed(spark, sf_dir), rounds=1, alpha=1 / 3), ql.action_dim(spark))
 
 
 @_query(
@@ -458,13 +459,13 @@ def expand_actions(spark, sf_dir):
 
 
 # The tables of two sets of runs, which share one run: some pairs are in either, some in both.
-_HALVES = ("older AS (SELECT * FROM keyed WHERE run_id <= 3)", "newer AS (SELECT * FROM keyed WHERE run_id >= 3)", _rounds(1, "older", of="_old"), _rounds(1, "newer", of="_new"))
+_HALVES = ("older AS (SELECT * FROM keyed WHERE run_id <= 3)", "newer AS (SELECT * FROM keyed WHERE run_id >= 3)", _rounds(1, "older", of="_old", **THIRD), _rounds(1, "newer", of="_new", **THIRD))
 
 
 @_query(_with("traj", TRANSITION, KEYED, *_HALVES) + "SELECT state, action, round(coalesce(n.q, o.q), 9) AS q FROM q1_old o FULL JOIN q1_new n USING (state, action)", 9)
 def upsert_q(spark, sf_dir):
     keyed = _keyed(spark, sf_dir)
-    old, new = (ql.q_iterate(keyed.where(runs), rounds=1) for runs in ("run_id <= 3", "run_id >= 3"))
+    old, new = (ql.q_iterate(keyed.where(runs), rounds=1, alpha=1 / 3) for runs in ("run_id <= 3", "run_id >= 3"))
     return ql.upsert_q(old, new)
 
 
@@ -569,13 +570,13 @@ def save_load_q(spark, sf_dir):
 
 
 @_query(
-    _with("traj", TRANSITION, KEYED, _rounds(1, "keyed"))
+    _with("traj", TRANSITION, KEYED, _rounds(1, "keyed", **THIRD))
     + "SELECT t.run_id, t.episode_id, t.step, t.state, t.action, round(coalesce(q.q, 0), 9) AS q FROM keyed t LEFT JOIN q1 q ON q.state = t.state AND q.action = t.action",
     9,
 )
 def q_lookup_bucketed(spark, sf_dir):
     path, keyed = temporary(spark, "q"), _keyed(spark, sf_dir)
-    qs.save_q(ql.q_iterate(keyed, rounds=1), path, 0, buckets=16)
+    qs.save_q(ql.q_iterate(keyed, rounds=1, alpha=1 / 3), path, 0, buckets=16)
     return ql.q_lookup(keyed.select(*schemas.FRAME_KEYS, "state", "action"), qs.load_q(spark, path))
 
 

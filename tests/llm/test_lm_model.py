@@ -32,9 +32,9 @@ def probability(model, stored, pairs, before, word):
         return float(lm.VALUES[bloom.levels(key)][0])
 
     alone = (count(number(word), stored.bloom) + 0.5) / (model.mass + 0.5 * (model.types + 1))
-    sums = dict(zip(stored.contexts.tolist(), stored.sums.tolist()))
-    both = count(lm.pair_keys(lm.context_of(number(before)), number(word)), pairs.bloom)
-    return (both + model.kappa * alone) / (sums.get(int(number(before)[0]) >> 32, 0.0) + model.kappa)
+    sums = dict(zip(stored.keys.tolist(), stored.sums.tolist()))
+    both = count(lm.pair_keys(number(before), number(word)), pairs.bloom)
+    return (both + model.kappa * alone) / (sums.get(int(number(before)[0]), 0.0) + model.kappa)
 
 
 def test_probabilities_sum_to_one(learnt):
@@ -48,9 +48,9 @@ def test_probabilities_sum_to_one(learnt):
     assert alone.sum() == pytest.approx(1, abs=1e-9)
     wrong, contexts = 0, [b"\n", *(w for w, _ in counts.most_common(49)), *random.Random(1).sample(sorted(counts), 50)]
     for v in contexts:
-        context = lm.context_of(number(v))
+        context = number(v)
         both = lm.VALUES[pairs.bloom.levels(lm.pair_keys(np.repeat(context, len(every)), every))]
-        total = lm._values_at(stored.contexts, stored.sums, context)[0]
+        total = lm._values_at(stored.keys, stored.sums, context)[0]
         taken = np.array([(v, w) not in seen for w in names]) & (both > 0)  # a Bloom filter's false positives
         wrong += int(taken.sum())
         both[taken] = 0
@@ -86,3 +86,34 @@ def test_long_texts_of_distinct_words(spark):
     rows = {r.doc_id: r for r in lm.score_documents(docs, broadcast_bytes=0).collect()}
     assert len(rows) == 5 and rows[0].n_tokens == 300_001 and rows[2].n_tokens == rows[3].n_tokens == 1
     assert rows[0].score == rows[4].score and rows[0].score > rows[0].base_score
+
+
+def test_contexts_with_equal_upper_halves_are_apart(spark):
+    """Two words whose hashes share their upper 32 bits: each is followed by its own words, in one filter and in parts."""
+    halves, twins = {}, None
+    for i in range(1_000_000):
+        word = f"w{i}"
+        half = xxhash.xxh64_intdigest(word.encode()) >> 32
+        if half in halves:
+            twins = halves[half], word
+            break
+        halves[half] = word
+    first, second = twins
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, other = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    texts = {i: f"{first} sun " * 5 for i in train[:100]} | {i: f"{second} moon " * 5 for i in train[100:]}
+    texts |= {one: f"{first} sun", other: f"{first} moon"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    n_first, n_second, tokens, kappa = 500, 5 * (len(train) - 100), 11 * len(train), 500.0
+    level = lambda n: float(lm.VALUES[lm._level(np.array([n]))[0]])
+    mass = 2 * level(n_first) + 2 * level(n_second) + level(len(train))
+    alone = lambda n: (level(n) + 0.5) / (mass + 0.5 * 6)
+    after = lambda pair, word, total: math.log10((pair + kappa * alone(word)) / (total + kappa))
+    texts_begin = level(100) + level(len(train) - 100)  # the end token before each text's first word
+    sun_total, moon_total = level(400) + level(100), level(4 * (len(train) - 100)) + level(len(train) - 100)
+    want_one = after(level(100), n_first, texts_begin) + after(level(500), n_first, level(500)) + after(level(100), len(train), sun_total)
+    want_other = after(level(100), n_first, texts_begin) + after(0.0, n_second, level(500)) + after(level(len(train) - 100), len(train), moon_total)
+    for size in (1 << 30, 0):
+        rows = {r.doc_id: r for r in lm.score_documents(docs, broadcast_bytes=size).collect()}
+        assert rows[one].train_tokens == tokens
+        assert (rows[one].score, rows[other].score) == pytest.approx((want_one, want_other), abs=1e-9)

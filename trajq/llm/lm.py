@@ -123,14 +123,9 @@ class WordIds:
         return np.concatenate(found), np.array(lengths, np.int64)
 
 
-def context_of(ids: np.ndarray) -> np.ndarray:
-    """A word as a context: the upper half of its id. Words that share it share what follows them."""
-    return ids >> HALF
-
-
-def pair_keys(contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A hash of both in the upper half, the context in the lower."""
-    return (_mix(_mix(contexts) + ids) & ~LOW) | contexts
+def pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of both whole ids, the context's and the word's."""
+    return _mix(_mix(before) + ids)
 
 
 def _before(ids: np.ndarray) -> np.ndarray:
@@ -139,7 +134,7 @@ def _before(ids: np.ndarray) -> np.ndarray:
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of the filter that a key belongs to; grows with the key. The context of a word is in the word's part."""
+    """The part of the filter that a key belongs to; grows with the key. A context is a word, in that word's part."""
     return (((keys >> HALF) * np.uint64(parts)) >> HALF).astype(np.int64)
 
 
@@ -191,45 +186,47 @@ def _values_at(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.
 
 @dataclass(frozen=True)
 class Pairs:
-    """A part of the filter that holds pairs. excess: for contexts with pairs of inexact levels, what the levels'
-    values have in sum beyond the counts."""
+    """A part of the filter that holds pairs. excess: for the ids of contexts with pairs of inexact levels, what the
+    levels' values have in sum beyond the counts."""
 
     bloom: LogFrequencyBloom
     contexts: np.ndarray
     excess: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Pairs:
-        keys, counts = _summed(keys, counts)
+    def of(cls, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray) -> Pairs:
+        """contexts: the id of each pair's context."""
+        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.bincount(which, counts, len(keys))
         levels = _level(counts)
         over = VALUES[levels] - counts
         inexact = over != 0
-        return cls(LogFrequencyBloom.of(keys, levels), *_summed(keys[inexact] & LOW, over[inexact]))
+        return cls(LogFrequencyBloom.of(keys, levels), *_summed(contexts[first[inexact]], over[inexact]))
 
 
 @dataclass(frozen=True)
 class Words:
-    """A part of the filter that holds words; beside it, their exact counts, and the sum of each context's pairs."""
+    """A part of the filter that holds words; beside it, their exact counts, and the sum of each one's pairs as a context."""
 
     bloom: LogFrequencyBloom
     keys: np.ndarray
     counts: np.ndarray
-    contexts: np.ndarray
     sums: np.ndarray
 
     @classmethod
     def of(cls, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, excess: np.ndarray) -> Words:
-        """A word is followed by a token as often as it occurs, so its pairs' counts add up to its own."""
+        """A word is followed by a token as often as it occurs, so its pairs' counts add up to its own. Every context is
+        a word that was counted, with its whole id."""
         keys, counts = _summed(keys, counts)
-        both = _summed(np.concatenate((context_of(keys), contexts)), np.concatenate((counts, excess)))
-        return cls(LogFrequencyBloom.of(keys, _level(counts)), keys, counts.astype(np.int64), *both)
+        sums = counts + np.bincount(np.searchsorted(keys, contexts), excess, len(keys))
+        return cls(LogFrequencyBloom.of(keys, _level(counts)), keys, counts.astype(np.int64), sums)
 
     @property
     def mass(self) -> float:
         return float(VALUES[self.bloom.levels(self.keys)].sum())
 
     def answers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.bloom.levels(keys), _values_at(self.keys, self.counts, keys), _values_at(self.contexts, self.sums, context_of(keys))
+        return self.bloom.levels(keys), _values_at(self.keys, self.counts, keys), _values_at(self.keys, self.sums, keys)
 
 
 @dataclass(frozen=True)
@@ -248,9 +245,11 @@ def distinct_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, n.astype(np.uint32)
 
 
-def distinct_pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = np.unique(pair_keys(context_of(_before(ids)), ids), return_counts=True)
-    return keys, n.astype(np.uint32)
+def distinct_pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs with their numbers and contexts, in order."""
+    before = _before(ids)
+    keys, first, n = np.unique(pair_keys(before, ids), return_index=True, return_counts=True)
+    return keys, n.astype(np.uint32), before[first]
 
 
 @dataclass(frozen=True)
@@ -271,7 +270,7 @@ class BigramModel:
         """n_known, base score and score of each text."""
         words, which = np.unique(ids, return_inverse=True)
         before = np.concatenate((np.searchsorted(words, np.full(min(1, len(ids)), END)), which[:-1]))
-        pair = np.unique(pair_keys(context_of(_before(ids)), ids), return_inverse=True)[1]
+        pair = np.unique(pair_keys(_before(ids), ids), return_inverse=True)[1]
         text = np.repeat(np.arange(len(lengths)), lengths)
         base = np.log10((answers.counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
         logs = np.log10((VALUES[answers.pair_levels][pair] + self.kappa * self.alone(answers.levels)[which]) / (answers.sums[before] + self.kappa))
@@ -302,7 +301,7 @@ def _read_batch(written: bytes) -> pa.RecordBatch:
 
 
 TOTALS = "types long, tokens long, mass double"
-COUNTED = "train boolean, keys binary, counts binary"
+COUNTED = "word boolean, keys binary, counts binary, contexts binary"
 
 
 def score_documents(
@@ -321,10 +320,9 @@ def score_documents(
     times that, the filter is one and is broadcast. Beyond, it is dealt into parts of PART_BYTES of text: the distinct n-grams of
     each chunk of texts are sent to their parts, which are built from those of the training chunks and probed for all,
     and the levels come back to the chunk. Scores are the same either way. BigramModel states the probabilities, which
-    sum to 1 but for pairs that the filter takes for stored: 2 ** -HASHES of those that are not, and 2 ** -32 times as many as
-    follow the same word. base_score is exact:
-    words' counts are kept beside the filter. Words are told apart by 64-bit hashes: two of n share one with a chance
-    of n^2 / 2^65.
+    sum to 1 but for pairs that the filter takes for stored: 2 ** -HASHES of those that are not. base_score is exact:
+    words' counts are kept beside the filter. Words, contexts too, are told apart by 64-bit hashes, and pairs by such of
+    both: two of n share one with a chance of n^2 / 2^65.
 
     Returns a row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score. Null and empty
     texts have their end token alone; a null id is in no held-out fold; repeated rows each count and get a row; an
@@ -376,21 +374,22 @@ def _whole_filter(rows: DataFrame, kappa: float) -> tuple[BigramModel, Words, Pa
         word_ids = WordIds()
         for some in _chunks(batches):
             tokens = word_ids(some.column(1).to_pylist())[0]
-            yield _rows(COUNTED, [(i == 0, k.tobytes(), n.tobytes()) for i, (k, n) in enumerate((distinct_words(tokens), distinct_pairs(tokens)))]).to_batches()[0]
-
-    counted = {True: ([], []), False: ([], [])}
-    for row in rows.where(~F.col("held_out")).mapInArrow(count, COUNTED).toLocalIterator():
-        counted[row.train][0].append(np.frombuffer(row["keys"], np.uint64))
-        counted[row.train][1].append(np.frombuffer(row["counts"], np.uint32))
-    whole = {k: (np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.uint32), *counts])) for k, (keys, counts) in counted.items()}
-    pairs = Pairs.of(*whole[False])
-    words = Words.of(*whole[True], pairs.contexts, pairs.excess)
+            words, pairs = distinct_words(tokens), distinct_pairs(tokens)
+            yield _rows(COUNTED, [(True, *(x.tobytes() for x in words), None), (False, *(x.tobytes() for x in pairs))]).to_batches()[0]
+
+    counted = rows.where(~F.col("held_out")).mapInArrow(count, COUNTED).toArrow()
+
+    def column(of_words: bool, name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(counted.filter(pc.equal(counted["word"], of_words))[name].to_pylist()), kind)
+
+    pairs = Pairs.of(*(column(False, c, t) for c, t in (("keys", np.uint64), ("counts", np.uint32), ("contexts", np.uint64))))
+    words = Words.of(column(True, "keys", np.uint64), column(True, "counts", np.uint32), pairs.contexts, pairs.excess)
     return BigramModel(int(words.counts.sum()), len(words.keys), words.mass, kappa), words, pairs
 
 
 def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramModel, DataFrame, DataFrame]:
     """The model, the chunks of texts, and the filter's answers to each chunk."""
-    asked = "chunk long, part long, train boolean, n long, keys binary, counts binary"
+    asked = "chunk long, part long, train boolean, n long, keys binary, counts binary, contexts binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, word_ids = TaskContext.get().partitionId() << 32, WordIds()
@@ -401,9 +400,10 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
             chunk += 1
         give_back()
 
-    def deal(chunk: int, train: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """The chunk's keys, by part; their numbers too if they are to be counted."""
-        return _rows(asked, [(chunk, p, train, s.stop - s.start, _packed_keys(keys[s]), _packed(n[s]) if train else None) for p, s in _slices(keys, parts)]).to_batches()[0]
+    def deal(chunk: int, train: bool, keys: np.ndarray, *counted: np.ndarray) -> pa.RecordBatch:
+        """The chunk's keys, by part; their numbers, and contexts if they are pairs, too if they are to be counted."""
+        beside = lambda s: [_packed(x[s]) if train else None for x in counted] + [None] * (2 - len(counted))
+        return _rows(asked, [(chunk, p, train, s.stop - s.start, _packed_keys(keys[s]), *beside(s)) for p, s in _slices(keys, parts)]).to_batches()[0]
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids = WordIds()
@@ -420,9 +420,9 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
     def keys_of(rows: pa.Table) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint64), *map(_unpacked_keys, rows.column("keys").to_pylist(), rows.column("n").to_pylist())])
 
-    def counted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def counted(rows: pa.Table, *columns: tuple) -> tuple[np.ndarray, ...]:
         train = rows.filter(rows.column("train"))
-        return keys_of(train), _unpacked(train.column("counts"), np.uint32)
+        return keys_of(train), *(_unpacked(train.column(c), t) for c, t in columns)
 
     def answered(rows: pa.Table, read: Callable[[np.ndarray], tuple]) -> list[tuple]:
         """(chunk, part, answers) for each chunk; every key is looked up once, whatever the number of chunks."""
@@ -432,16 +432,16 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
         return [(c, p, *map(_packed, own)) for c, p, *own in zip(rows.column("chunk").to_pylist(), rows.column("part").to_pylist(), *found)]
 
     def answer_pairs(rows: pa.Table) -> pa.Table:
-        pairs = Pairs.of(*counted(rows))
+        pairs = Pairs.of(*counted(rows, ("counts", np.uint32), ("contexts", np.uint64)))
         own = [(*r, None, None) for r in answered(rows, lambda keys: (pairs.bloom.levels(keys),))]
-        excess = [(None, p, None, _packed(pairs.contexts[s]), _packed(pairs.excess[s])) for p, s in _slices(pairs.contexts << HALF, parts)]
+        excess = [(None, p, None, _packed(pairs.contexts[s]), _packed(pairs.excess[s])) for p, s in _slices(pairs.contexts, parts)]
         give_back()
         return _rows(pair_answers, own + excess)
 
     def answer_words(rows: pa.Table, excess: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _rows(word_answers, [])
-        words = Words.of(*counted(rows), _unpacked(excess.column("contexts"), np.uint64), _unpacked(excess.column("excess"), np.float64))
+        words = Words.of(*counted(rows, ("counts", np.uint32)), _unpacked(excess.column("contexts"), np.uint64), _unpacked(excess.column("excess"), np.float64))
         own = [(*r, None, None, None) for r in answered(rows, words.answers)]
         return _rows(word_answers, [*own, (None, own[0][1], None, None, None, len(words.keys), int(words.counts.sum()), words.mass)])
 

@@ -160,15 +160,34 @@ def _unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(zstandard.decompress(x) for x in column.to_pylist() if x is not None), kind)
 
 
+def _packed_small(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, byte by byte, as most are small."""
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked_small(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
+
+
 def _packed_keys(keys: np.ndarray) -> bytes:
-    """Keys in order: the lower halves as they are, the steps between the upper ones byte by byte, as most are small."""
-    steps = np.diff(keys >> HALF, prepend=np.uint64(0)).astype("<u4")
-    return (keys & LOW).astype("<u4").tobytes() + zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Keys in order: the lower halves as they are, the steps between the upper ones."""
+    return (keys & LOW).astype("<u4").tobytes() + _packed_small(np.diff(keys >> HALF, prepend=np.uint64(0)))
 
 
 def _unpacked_keys(packed: bytes, n: int) -> np.ndarray:
-    steps = np.frombuffer(zstandard.decompress(packed[4 * n :]), np.uint8).reshape(4, n).T.copy().view("<u4").reshape(-1)
-    return np.cumsum(steps, dtype=np.uint64) << HALF | np.frombuffer(packed, "<u4", n)
+    return np.cumsum(_unpacked_small(packed[4 * n :]), dtype=np.uint64) << HALF | np.frombuffer(packed, "<u4", n)
+
+
+def _packed_contexts(contexts: np.ndarray) -> bytes:
+    """The distinct ones in order, and each one's place among them."""
+    distinct, which = np.unique(contexts, return_inverse=True)
+    packed = _packed_keys(distinct)
+    return np.array([len(distinct), len(packed)], "<u4").tobytes() + packed + _packed_small(which)
+
+
+def _unpacked_contexts(packed: bytes) -> np.ndarray:
+    n, size = map(int, np.frombuffer(packed, "<u4", 2))
+    return _unpacked_keys(packed[8 : 8 + size], n)[_unpacked_small(packed[8 + size :])]
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,9 +419,9 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
             chunk += 1
         give_back()
 
-    def deal(chunk: int, train: bool, keys: np.ndarray, *counted: np.ndarray) -> pa.RecordBatch:
+    def deal(chunk: int, train: bool, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray | None = None) -> pa.RecordBatch:
         """The chunk's keys, by part; their numbers, and contexts if they are pairs, too if they are to be counted."""
-        beside = lambda s: [_packed(x[s]) if train else None for x in counted] + [None] * (2 - len(counted))
+        beside = lambda s: (_packed(n[s]) if train else None, None if contexts is None or not train else _packed_contexts(contexts[s]))
         return _rows(asked, [(chunk, p, train, s.stop - s.start, _packed_keys(keys[s]), *beside(s)) for p, s in _slices(keys, parts)]).to_batches()[0]
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,9 +439,8 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
     def keys_of(rows: pa.Table) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint64), *map(_unpacked_keys, rows.column("keys").to_pylist(), rows.column("n").to_pylist())])
 
-    def counted(rows: pa.Table, *columns: tuple) -> tuple[np.ndarray, ...]:
-        train = rows.filter(rows.column("train"))
-        return keys_of(train), *(_unpacked(train.column(c), t) for c, t in columns)
+    def counted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return keys_of(rows), _unpacked(rows.column("counts"), np.uint32)
 
     def answered(rows: pa.Table, read: Callable[[np.ndarray], tuple]) -> list[tuple]:
         """(chunk, part, answers) for each chunk; every key is looked up once, whatever the number of chunks."""
@@ -432,7 +450,9 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
         return [(c, p, *map(_packed, own)) for c, p, *own in zip(rows.column("chunk").to_pylist(), rows.column("part").to_pylist(), *found)]
 
     def answer_pairs(rows: pa.Table) -> pa.Table:
-        pairs = Pairs.of(*counted(rows, ("counts", np.uint32), ("contexts", np.uint64)))
+        train = rows.filter(rows.column("train"))
+        contexts = np.concatenate([np.zeros(0, np.uint64), *map(_unpacked_contexts, train.column("contexts").to_pylist())])
+        pairs = Pairs.of(*counted(train), contexts)
         own = [(*r, None, None) for r in answered(rows, lambda keys: (pairs.bloom.levels(keys),))]
         excess = [(None, p, None, _packed(pairs.contexts[s]), _packed(pairs.excess[s])) for p, s in _slices(pairs.contexts, parts)]
         give_back()
@@ -441,7 +461,7 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
     def answer_words(rows: pa.Table, excess: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _rows(word_answers, [])
-        words = Words.of(*counted(rows, ("counts", np.uint32)), _unpacked(excess.column("contexts"), np.uint64), _unpacked(excess.column("excess"), np.float64))
+        words = Words.of(*counted(rows.filter(rows.column("train"))), _unpacked(excess.column("contexts"), np.uint64), _unpacked(excess.column("excess"), np.float64))
         own = [(*r, None, None, None) for r in answered(rows, words.answers)]
         return _rows(word_answers, [*own, (None, own[0][1], None, None, None, len(words.keys), int(words.counts.sum()), words.mass)])
 

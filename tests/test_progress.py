@@ -1,7 +1,9 @@
 """Milestone progress on streams: run scope, late rows, event time, and other working directories."""
 
 import datetime
+import glob
 import os
+import random
 import subprocess
 import sys
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
-from trajq.session import setting
+from trajq.session import scratch_base, setting
 from trajq.streaming.progress import stream_progress
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -73,6 +75,54 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     assert sorted((r.step, r.running_return, r.late) for r in got) == [(1, 1.0, False), (2, 2.0, False), (3, 3.0, False)]
 
 
+def test_state_partitions_follow_the_table(spark, sf):
+    """A small table's stream doesn't open and commit each of many partitions of the state with every batch."""
+    from trajq.plans import catalog
+
+    base = scratch_base(spark).removeprefix("file://")
+    earlier = set(glob.glob(f"{base}/checkpoint-*"))
+    with setting(spark, "spark.sql.shuffle.partitions", "32"):
+        assert catalog._progress(spark, sf, keys=("run_id",)).count() == 1000
+    (new,) = set(glob.glob(f"{base}/checkpoint-*")) - earlier
+    assert len(glob.glob(f"{new}/state/0/[0-9]*")) == spark.sparkContext.defaultParallelism == 4
+
+
+def test_many_waiting_rows_are_few_values(spark, tmp_path):
+    """9,000 rows of one run that all wait: two values, which one batch lets go in order of time."""
+    rows = [(0, i % 3, i // 3, at(i * 7919 % 9000), None, 1.0, False) for i in range(9000)]
+    rows = [(run, e, s, at(3 * s + e), k, r, d) for run, e, s, _, k, r, d in rows[::-1]]
+    with setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "true"):
+        got, query = streamed(spark, tmp_path, [rows, [(9, 9, 0, at(1_000_000), None, 0.0, False)]], "waiting", keys=("run_id",), watermark="100 days", ttl_ms=3_600_000)
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 5
+    assert sorted((r.episode_id, r.step, r.running_return, r.late) for r in got) == [(e, s, s + 1.0, False) for e in range(3) for s in range(3000)]
+
+
+def test_equals_a_plain_loop(spark, tmp_path):
+    """Repeated frames, late rows and several stages, over three batches and both episodes of two runs."""
+    draw = random.Random(5)
+    kinds = [None, "checkpoint1", "checkpoint2", "checkpoint3", "finish"]
+    stages = {r.kind: r.stage for r in sp.rule_dim(spark).collect()}
+    batches = []
+    for b in range(3):
+        steps = [(run, e, s) for run in (0, 1) for e in (0, 1) for s in draw.sample(range(6 * b - 2 * bool(b), 6 * b + 8), 7)]
+        batches.append([(run, e, s, at(s), draw.choice(kinds), float(s), s % 5 == 4) for run, e, s in steps for _ in range(draw.choice((1, 1, 2)))])
+    got, _ = streamed(spark, tmp_path, batches, "loop", keys=("run_id",))
+    want, marks, late_rows, known = [], {}, {}, {}
+    for batch in batches:
+        new = set()
+        for run, e, s, t, kind, reward, done in sorted(batch, key=lambda r: (r[3], r[2], stages.get(r[4], 0), r[1])):
+            stage, (last, total, ended) = stages.get(kind, 0), known.get((run, e), (-1, 0.0, False))
+            late = s <= last and (run, e, s) not in new
+            fired = not late and stage > marks.get(run, 0)
+            late_rows[run] = late_rows.get(run, 0) + late
+            if not late:
+                marks[run] = max(marks.get(run, 0), stage)
+                known[run, e] = last, total, ended = s, total + (0.0 if (run, e, s) in new else reward), ended or done
+                new.add((run, e, s))
+            want.append((run, e, s, stage, fired, total, ended, late, late_rows[run]))
+    assert sorted(map(tuple, got)) == sorted(want) and 0 < sum(w[7] for w in want) < len(want) / 2
+
+
 def test_starts_in_any_folder(tmp_path):
     code = f"""
 import sys; sys.path.insert(0, {ROOT!r})

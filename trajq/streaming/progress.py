@@ -2,59 +2,109 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 #: Before all times and steps; the time of a row that has none.
 NEVER = -(1 << 62)
+#: Rows that wait for the watermark are kept, and results go out, in pieces of so many.
+KEPT, SENT = 1 << 13, 1 << 16
 OUTPUT = "run_id long, episode_id long, step long, stage int, fired boolean, running_return double, done boolean, late boolean, n_late long"
+TAKEN = np.dtype([("run_id", "i8"), ("episode_id", "i8"), ("step", "i8"), ("at", "i8"), ("stage", "i4"), ("reward", "f8"), ("done", "?")])
+GIVEN = np.dtype([("run_id", "i8"), ("episode_id", "i8"), ("step", "i8"), ("stage", "i4"), ("fired", "?"), ("running_return", "f8"), ("done", "?"), ("late", "?"), ("n_late", "i8")])
+
+
+def packer(keys: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows to one a group and batch, so that a group costs a few calls and not a few a row. Like what follows, it is
+    made in a function, so that it travels by value."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.empty(batch.num_rows, TAKEN)
+            for name in TAKEN.names:
+                column = batch.column(name)
+                rows[name] = column.fill_null(float("nan")) if name == "reward" else column.to_numpy(zero_copy_only=name != "done")  # ids and steps are never null
+            rows = rows[np.lexsort([rows[k] for k in keys])]
+            cuts = np.flatnonzero(np.any([np.diff(rows[k], prepend=rows[k][:1]) != 0 for k in keys], axis=0))
+            packed = [x.tobytes() for x in np.split(rows, cuts)] if len(rows) else []
+            firsts = rows[np.concatenate(([0], cuts))] if len(rows) else rows
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(firsts[k])) for k in keys), pa.array(packed, pa.binary())], [*keys, "rows"])
+
+    return pack
+
+
+def unpacker() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), GIVEN)
+            for a in range(0, len(rows), SENT):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c][a : a + SENT])) for c in GIVEN.names], list(GIVEN.names))
+
+    return unpack
 
 
 def processor(ttl_ms: int, by_event_time: bool) -> StatefulProcessor:
     """What stream_progress runs per group. It is made in here, so that it travels by value: Spark starts a Python worker
     of its own on the driver for it, which need not find this package."""
     never = NEVER
-    kinds = {"run_id": "int64", "episode_id": "int64", "step": "int64", "stage": "int32", "fired": "bool", "running_return": "float64", "done": "bool", "late": "bool", "n_late": "int64"}
 
     class Progress(StatefulProcessor):
         """State: the group's mark, its late rows and its last time; of each episode (last step, return, done, last
-        time); with event time, the rows that wait for the watermark."""
+        time); with event time, the rows that wait for the watermark, in pieces by their first time. A piece is one
+        value: appending rows to a list one by one has the store read the list for each."""
 
         def init(self, handle) -> None:
             self.handle = handle
             self.group = handle.getValueState("group", "mark int, n_late long, seen long")
             self.episodes = handle.getMapState("episodes", "episode_id long", "last_step long, total double, done boolean, seen long")
             if by_event_time:
-                self.waiting = handle.getListState("waiting", "run_id long, episode_id long, step long, at long, stage int, reward double, done boolean")
-
-        def advance(self, rows: list[tuple]) -> pd.DataFrame:
-            """Take rows (run_id, episode_id, step, at, stage, reward, done) in order of time, step and stage."""
-            mark, n_late, seen = self.group.get() if self.group.exists() else (0, 0, never)
-            known: dict[int, tuple] = {}
-            out, new = [], set()
-            for run, episode, step, at, stage, reward, done in sorted(rows, key=lambda r: (r[3], r[2], r[4], r[1])):
-                if episode not in known:
-                    known[episode] = self.episodes.getValue((episode,)) if self.episodes.containsKey((episode,)) else (never, 0.0, False, at)
-                last, total, ended, _ = known[episode]
-                late = step <= last and (episode, step) not in new
-                fired = not late and stage > mark
-                if late:
-                    n_late += 1
-                else:
-                    mark, ended = max(mark, stage), ended or done
-                    total += 0.0 if (episode, step) in new else reward
-                    new.add((episode, step))
-                    known[episode] = (step, total, ended, at)
-                    seen = max(seen, at)
-                out.append((run, episode, step, stage, fired, total, ended, late, n_late))
-            self.group.update((mark, n_late, seen))
-            for episode, state in known.items():
-                self.episodes.updateValue((episode,), state)
-            return frame(out)
+                self.waiting = handle.getMapState("waiting", "first long, serial long", "rows binary")
+
+        def advance(self, rows: np.ndarray) -> np.ndarray:
+            """Take rows in order of time, step and stage."""
+            rows = rows[np.lexsort((rows["episode_id"], rows["stage"], rows["step"], rows["at"]))]
+            old = self.group.exists()  # a group goes after its episodes
+            mark, n_late, seen = self.group.get() if old else (0, 0, never)
+            ids, episode = np.unique(rows["episode_id"], return_inverse=True)
+            known = [self.episodes.getValue((i,)) if old and self.episodes.containsKey((i,)) else (never, 0.0, False, never) for i in ids.tolist()]
+
+            # By episode, and in it by time. A row's place grows with its episode and then its step.
+            order = np.argsort(episode, kind="stable")
+            by, r = episode[order], rows[order]
+            starts = np.flatnonzero(np.diff(by, prepend=-1))
+            steps, rank = np.unique(r["step"], return_inverse=True)
+            place = by * len(steps) + rank
+            before = np.concatenate(([-1], np.maximum.accumulate(place)[:-1]))
+            _, first, which = np.unique(place, return_index=True, return_inverse=True)
+            behind = (r["step"] <= np.array([k[0] for k in known], np.int64)[by]) | (place < before)
+            late = behind[first][which]  # what comes again in a batch is as its first row
+            paid = np.zeros(len(r))
+            paid[first] = np.where(late[first], 0.0, r["reward"][first])
+            total, done, ends = np.empty(len(r)), r["done"] & ~late, [*starts[1:].tolist(), len(r)]
+            newest = np.maximum.reduceat(np.where(late, -1, np.arange(len(r))), starts)
+            highest = np.maximum.reduceat(np.where(late, never, r["step"]), starts)
+            for i, a, b, (last, sum_before, done_before, _) in zip(range(len(ids)), starts.tolist(), ends, known):
+                total[a:b] = np.cumsum(np.concatenate(([sum_before], paid[a:b])))[1:]
+                done[a:b] = np.logical_or.accumulate(done[a:b]) | done_before
+                if newest[i] >= 0:
+                    self.episodes.updateValue((int(ids[i]),), (max(last, int(highest[i])), float(total[b - 1]), bool(done[b - 1]), int(r["at"][newest[i]])))
+
+            out = np.empty(len(rows), GIVEN)
+            for name in ("run_id", "episode_id", "step", "stage"):
+                out[name] = rows[name]
+            for name, values in (("running_return", total), ("done", done), ("late", late)):
+                out[name][order] = values
+            marks = np.maximum.accumulate(np.concatenate(([mark], np.where(out["late"], mark, rows["stage"]))))
+            out["fired"] = ~out["late"] & (rows["stage"] > marks[:-1])
+            out["n_late"] = n_late + np.cumsum(out["late"])
+            self.group.update((int(marks[-1]), int(out["n_late"][-1]), max(seen, int(rows["at"][~out["late"]].max(initial=never)))))
+            return out
 
         def expire(self, before: int) -> int | None:
             """Forget episodes, and then the group, whose last rows are at or before a time; the next such time."""
@@ -77,47 +127,57 @@ def processor(ttl_ms: int, by_event_time: bool) -> StatefulProcessor:
             if times:
                 self.handle.registerTimer(min(times))
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows), ignore_index=True)
-            stage, at = batch["stage"].fillna(0).astype(int), batch["at"].astype("int64")
-            taken = list(zip(batch["run_id"].tolist(), batch["episode_id"].tolist(), batch["step"].tolist(), at.tolist(), stage.tolist(), batch["reward"].astype(float).tolist(), batch["done"].astype(bool).tolist()))
+        def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
             if not by_event_time:
-                now = timerValues.getCurrentProcessingTimeInMs()
-                self.wake([now + ttl_ms])
-                yield self.advance(taken)
+                taken = np.frombuffer(b"".join(r["rows"] for r in rows), TAKEN)
+                self.wake([timerValues.getCurrentProcessingTimeInMs() + ttl_ms])
+                for sent in pieces(self.advance(taken), SENT):
+                    yield Row(rows=sent)
                 return
-            for row in taken:
-                self.waiting.appendValue(row)
-            yield self.due(timerValues.getCurrentWatermarkInMs())
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            taken = []
+            for batch in rows:
+                taken.append(np.empty(len(batch), TAKEN))
+                for name in TAKEN.names:
+                    taken[-1][name] = batch[name]
+            for sent in pieces(self.due(timerValues.getCurrentWatermarkInMs(), np.concatenate(taken)), SENT):
+                yield pd.DataFrame({"rows": [sent]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             if by_event_time:
-                yield self.due(timerValues.getCurrentWatermarkInMs())
+                for sent in pieces(self.due(timerValues.getCurrentWatermarkInMs(), np.empty(0, TAKEN)), SENT):
+                    yield pd.DataFrame({"rows": [sent]})
                 return
             self.episodes.clear()
             self.group.clear()
-            yield frame([])
-
-        def due(self, watermark: int) -> pd.DataFrame:
-            """Take the waiting rows that no earlier one can come before any more, forget what is old, and set the timer."""
-            rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-            ready, rest = [r for r in rows if r[3] <= watermark * 1000], [r for r in rows if r[3] > watermark * 1000]
-            if ready:
-                self.waiting.clear()
-                if rest:
-                    self.waiting.put(rest)
-            out = self.advance(ready) if ready else frame([])
+
+        def due(self, watermark: int, rows: np.ndarray) -> np.ndarray:
+            """Take the waiting rows and new ones that no earlier one can come before any more, keep the others, forget what
+            is old, and set the timer."""
+            kept = list(self.waiting.keys())
+            ready, rest = [rows[rows["at"] <= watermark * 1000]], [rows[rows["at"] > watermark * 1000]]
+            for key in [k for k in kept if k[0] <= watermark * 1000]:
+                piece = np.frombuffer(self.waiting.getValue(key)[0], TAKEN)
+                self.waiting.removeKey(key)
+                ready.append(piece[piece["at"] <= watermark * 1000])
+                rest.append(piece[piece["at"] > watermark * 1000])
+            ready, rest = np.concatenate(ready), np.concatenate(rest)
+            rest = rest[np.argsort(rest["at"], kind="stable")]
+            serial, firsts = 1 + max((k[1] for k in kept), default=-1), [k[0] for k in kept if k[0] > watermark * 1000]
+            for i, a in enumerate(range(0, len(rest), KEPT)):
+                firsts.append(int(rest["at"][a]))
+                self.waiting.updateValue((firsts[-1], serial + i), (rest[a : a + KEPT].tobytes(),))
+            out = self.advance(ready) if len(ready) else np.empty(0, GIVEN)
             oldest = self.expire((watermark - ttl_ms) * 1000)
-            times = [min(r[3] for r in rest) // 1000 + 1] if rest else []
+            times = [min(firsts) // 1000 + 1] if firsts else []
             self.wake(times + ([oldest // 1000 + ttl_ms + 1] if oldest is not None else []))
             return out
 
         def close(self) -> None:
             pass
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        columns = list(zip(*rows)) or [()] * len(kinds)
-        return pd.DataFrame({name: pd.Series(list(values), dtype=kind) for (name, kind), values in zip(kinds.items(), columns)})
+    def pieces(rows: np.ndarray, size: int) -> Iterator[bytes]:
+        for a in range(0, len(rows), size):
+            yield rows[a : a + size].tobytes()
 
     return Progress()
 
@@ -139,7 +199,12 @@ def stream_progress(frames: DataFrame, rules: DataFrame, keys: tuple[str, ...] =
     Needs the RocksDB state store. With an availableNow trigger and no watermark, set
     spark.sql.streaming.noDataMicroBatches.enabled to false, or Spark goes on for the timers.
     """
-    staged = frames.join(rules.select("kind", "stage"), "kind", "left").select("run_id", "episode_id", "step", "ts", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NEVER)).alias("at"), "stage", "reward", "done")
-    by_event_time = watermark is not None
-    rows = staged.withWatermark("ts", watermark) if by_event_time else staged
-    return rows.groupBy(*keys).transformWithStateInPandas(processor(ttl_ms, by_event_time), OUTPUT, "Update", "EventTime" if by_event_time else "ProcessingTime")
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NEVER)).alias("at")
+    stage, done = F.coalesce("stage", F.lit(0)).cast("int").alias("stage"), F.coalesce("done", F.lit(False)).alias("done")
+    staged = frames.join(rules.select("kind", "stage"), "kind", "left").select("run_id", "episode_id", "step", "ts", at, stage, F.col("reward").cast("double").alias("reward"), done)
+    if watermark is not None:
+        rows = staged.withWatermark("ts", watermark).groupBy(*keys).transformWithStateInPandas(processor(ttl_ms, True), "rows binary", "Update", "EventTime")
+    else:
+        packed = staged.drop("ts").mapInArrow(packer(keys), ", ".join(f"{k} long" for k in keys) + ", rows binary")
+        rows = packed.groupBy(*keys).transformWithState(processor(ttl_ms, False), "rows binary", "Update", "ProcessingTime")
+    return rows.mapInArrow(unpacker(), OUTPUT)

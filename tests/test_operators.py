@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import pytest
@@ -170,6 +171,17 @@ def test_rolling_is_null_until_full(spark):
     assert [r.rolling for r in got] == [None, None, 1.0, 3.0] and [r.regressed for r in got] == [None, None, True, False]
 
 
+def test_a_mean_equal_to_the_reward_is_no_regress(spark):
+    """79.51 is the mean of 37.32, 121.70 and 79.51; each as any order of adding its parts may leave it."""
+    for i, (low, high, reward) in enumerate(itertools.product(*[(math.nextafter(x, 0), x, math.nextafter(x, 999)) for x in (37.32, 121.7, 79.51)])):
+        e = spark.createDataFrame([(0, 0, low), (0, 1, high), (0, 2, reward), (0, 3, reward - 1e-6)], "run_id long, episode_id long, reward double")
+        if i % 4 == 0:  # seven of them, a tie that goes either way among these
+            assert [r.regressed for r in ep.rolling_reward(e).orderBy("episode_id").collect()][2:] == [False, True]
+    odd = [1.0, 1.0, float("inf"), 1.0, float("nan"), 1.0]
+    e = spark.createDataFrame([(0, i, r) for i, r in enumerate(odd)], "run_id long, episode_id long, reward double")
+    assert [r.regressed for r in ep.rolling_reward(e).orderBy("episode_id").collect()] == [None, None, False, True, False, True]
+
+
 def test_state_key_bins(spark):
     f = spark.createDataFrame([("m", 33.0, 1.0, 2.0, 0.1, 0.2)], "map_id string, x double, y double, heading double, vx double, vy double")
     assert ti.state_key(f, {"x": 32}).first().state_key.asDict() == {"map_id": "m", "x": 1.0, "y": 1.0, "heading": 2.0, "vx": 0.1, "vy": 0.2}

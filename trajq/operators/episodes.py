@@ -29,11 +29,17 @@ def episode_summary(frames: DataFrame) -> DataFrame:
 
 
 def rolling_reward(episodes: DataFrame, n: int = 3, scope: str = "run_id", order: str = "episode_id") -> DataFrame:
-    """episodes with rolling (mean reward of the last n, null until there are n) and regressed (rolling > reward)."""
+    """episodes with rolling (mean reward of the last n, null until there are n) and regressed (rolling > reward).
+
+    Rewards are sums of doubles, whose last bits depend on the order in which Spark adds them. So a mean and a reward that
+    differ by no more than 1e-12 of the n rewards' mean size are equal, and the episode has not regressed.
+    """
     by = Window.partitionBy(scope).orderBy(order)
     last = by.rowsBetween(1 - n, Window.currentRow)
     rolling = F.when(F.row_number().over(by) >= n, F.avg("reward").over(last))
-    return episodes.withColumn("rolling", rolling).withColumn("regressed", F.col("rolling") > F.col("reward"))
+    size = F.avg(F.abs("reward")).over(last)
+    same = F.abs(F.col("rolling") - F.col("reward")) <= F.when(size < float("inf"), 1e-12 * size).otherwise(0.0)
+    return episodes.withColumn("rolling", rolling).withColumn("regressed", (F.col("rolling") > F.col("reward")) & ~same)
 
 
 def format_episodes(episodes: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ import random
 import subprocess
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
 from trajq.session import scratch_base, setting
-from trajq.streaming.progress import stream_progress
+from trajq.streaming.progress import TAKEN, packer, stream_progress
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 FRAME = "run_id long, episode_id long, step long, ts timestamp, kind string, reward double, done boolean"
@@ -123,6 +125,19 @@ def test_equals_a_plain_loop(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and 0 < sum(w[7] for w in want) < len(want) / 2
 
 
+def test_a_group_is_one_packed_row_a_batch():
+    """Interleaved rows of six episodes come to the state as six rows, and none is lost or changed."""
+    rows = [{"run_id": i % 2, "episode_id": i % 6, "step": i, "at": 10 * i, "stage": i % 5, "reward": None if i == 7 else i / 2, "done": i > 50} for i in range(60)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.from_numpy_dtype(TAKEN[n])) for n in TAKEN.names]))
+    (packed,) = packer(("run_id", "episode_id"))(iter([batch]))
+    assert packed.num_rows == 6
+    for r in packed.to_pylist():
+        own = np.frombuffer(r["rows"], TAKEN)
+        want = [x for x in rows if (x["run_id"], x["episode_id"]) == (r["run_id"], r["episode_id"])]
+        assert [tuple(x.tolist()) for x in own if x["step"] != 7] == [tuple(x.values()) for x in want if x["step"] != 7] and len(own) == 10
+    assert [p.num_rows for p in packer(("run_id",))(iter([batch, batch[:0]]))] == [2, 0]
+
+
 def test_starts_in_any_folder(tmp_path):
     code = f"""
 import sys; sys.path.insert(0, {ROOT!r})

@@ -117,3 +117,14 @@ def test_contexts_with_equal_upper_halves_are_apart(spark):
         rows = {r.doc_id: r for r in lm.score_documents(docs, broadcast_bytes=size).collect()}
         assert rows[one].train_tokens == tokens
         assert (rows[one].score, rows[other].score) == pytest.approx((want_one, want_other), abs=1e-9)
+
+
+def test_contexts_go_as_places_among_the_chunks_words(spark, sf):
+    """Their ids come back whole, and they take less than half of the ids' eight bytes a pair on the way."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    ids = lm.WordIds()(texts)[0]
+    keys, n, places = lm.distinct_placed_pairs(ids)
+    packed = lm._packed_places(places)
+    assert (lm._unpacked_places(packed) == places).all() and len(packed) < 4 * len(keys)
+    want = lm.distinct_pairs(ids)
+    assert (keys == want[0]).all() and (n == want[1]).all() and (lm.distinct_words(ids)[0][places] == want[2]).all()

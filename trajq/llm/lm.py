@@ -171,6 +171,15 @@ def _unpacked_keys(packed: bytes, n: int) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64) << HALF | np.frombuffer(packed, "<u4", n)
 
 
+def _packed_places(places: np.ndarray) -> bytes:
+    """Numbers in any order, byte by byte, as the upper ones are mostly zero."""
+    return zstandard.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked_places(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
+
+
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, which = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(which, values, len(distinct))
@@ -186,8 +195,8 @@ def _values_at(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.
 
 @dataclass(frozen=True)
 class Pairs:
-    """A part of the filter that holds pairs. excess: for the ids of contexts with pairs of inexact levels, what the
-    levels' values have in sum beyond the counts."""
+    """A part of the filter that holds pairs. excess: for the contexts with pairs of inexact levels, what the levels'
+    values have in sum beyond the counts. A context is its id, or (chunk, place among the chunk's words) in one number."""
 
     bloom: LogFrequencyBloom
     contexts: np.ndarray
@@ -195,7 +204,7 @@ class Pairs:
 
     @classmethod
     def of(cls, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray) -> Pairs:
-        """contexts: the id of each pair's context."""
+        """contexts: each pair's context. Of a pair that comes several times, the first one's stands for all."""
         keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
         counts = np.bincount(which, counts, len(keys))
         levels = _level(counts)
@@ -252,6 +261,12 @@ def distinct_pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return keys, n.astype(np.uint32), before[first]
 
 
+def distinct_placed_pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs with their numbers and the places of their contexts among distinct_words(ids), in order."""
+    keys, n, contexts = distinct_pairs(ids)
+    return keys, n, np.searchsorted(np.unique(ids), contexts).astype(np.uint32)
+
+
 @dataclass(frozen=True)
 class BigramModel:
     """p(w | v) = (c(v, w) + kappa * p(w)) / (c(v) + kappa) and p(w) = (c(w) + 0.5) / (mass + 0.5 * (types + 1)), the
@@ -401,15 +416,16 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
         give_back()
 
     def deal(chunk: int, train: bool, keys: np.ndarray, *counted: np.ndarray) -> pa.RecordBatch:
-        """The chunk's keys, by part; their numbers, and contexts if they are pairs, too if they are to be counted."""
-        beside = lambda s: [_packed(x[s]) if train else None for x in counted] + [None] * (2 - len(counted))
+        """The chunk's keys, by part; their numbers, and places of contexts if they are pairs, too if they are to be counted."""
+        pack = (_packed, _packed_places)
+        beside = lambda s: [f(x[s]) if train else None for f, x in zip(pack, counted)] + [None] * (2 - len(counted))
         return _rows(asked, [(chunk, p, train, s.stop - s.start, _packed_keys(keys[s]), *beside(s)) for p, s in _slices(keys, parts)]).to_batches()[0]
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids = WordIds()
         for batch in batches:
             for chunk, train, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                yield deal(chunk, train, *distinct_pairs(word_ids(_read_batch(texts.as_py()).column(1).to_pylist())[0]))
+                yield deal(chunk, train, *distinct_placed_pairs(word_ids(_read_batch(texts.as_py()).column(1).to_pylist())[0]))
         give_back()
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,6 +433,14 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
             for row in batch.to_pylist():
                 yield deal(row["chunk"], row["train"], _unpacked_keys(row["keys"], row["n"]), np.frombuffer(zstandard.decompress(row["counts"]), np.uint32))
 
+    def name_contexts(chunk: pa.Table, excess: pa.Table) -> pa.Table:
+        """What a chunk's contexts have beyond their counts, by their places, to ids, dealt to the words' parts."""
+        if not excess.num_rows:
+            return _rows(named, [])
+        places, over = _summed(_unpacked(excess.column("places"), np.uint32), _unpacked(excess.column("excess"), np.float64))
+        ids = _unpacked_keys(chunk.column("keys")[0].as_py(), chunk.column("n")[0].as_py())[places]
+        return _rows(named, [(p, _packed(ids[s]), _packed(over[s])) for p, s in _slices(ids, parts)])
+
     def keys_of(rows: pa.Table) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint64), *map(_unpacked_keys, rows.column("keys").to_pylist(), rows.column("n").to_pylist())])
 
@@ -432,11 +456,19 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
         return [(c, p, *map(_packed, own)) for c, p, *own in zip(rows.column("chunk").to_pylist(), rows.column("part").to_pylist(), *found)]
 
     def answer_pairs(rows: pa.Table) -> pa.Table:
-        pairs = Pairs.of(*counted(rows, ("counts", np.uint32), ("contexts", np.uint64)))
-        own = [(*r, None, None) for r in answered(rows, lambda keys: (pairs.bloom.levels(keys),))]
-        excess = [(None, p, None, _packed(pairs.contexts[s]), _packed(pairs.excess[s])) for p, s in _slices(pairs.contexts, parts)]
+        """A context is (row, place) here; the first chunk that has a pair hears of what its level has beyond its count."""
+        train = rows.filter(rows.column("train"))
+        places = [_unpacked_places(x) for x in train.column("contexts").to_pylist()]
+        contexts = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(i) << HALF | x for i, x in enumerate(places))])
+        pairs = Pairs.of(*counted(rows, ("counts", np.uint32)), contexts)
+        excess, chunks_of = {}, train.column("chunk").to_pylist()
+        owner = (pairs.contexts >> HALF).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(owner)]):
+            excess[chunks_of[owner[a]]] = _packed((pairs.contexts[a:b] & LOW).astype(np.uint32)), _packed(pairs.excess[a:b])
+        own = [(*r, *excess.get(r[0], (None, None))) for r in answered(rows, lambda keys: (pairs.bloom.levels(keys),))]
         give_back()
-        return _rows(pair_answers, own + excess)
+        return _rows(pair_answers, own)
 
     def answer_words(rows: pa.Table, excess: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -445,18 +477,20 @@ def _dealt_filter(rows: DataFrame, parts: int, kappa: float) -> tuple[BigramMode
         own = [(*r, None, None, None) for r in answered(rows, words.answers)]
         return _rows(word_answers, [*own, (None, own[0][1], None, None, None, len(words.keys), int(words.counts.sum()), words.mass)])
 
-    pair_answers = "chunk long, part long, pair_levels binary, contexts binary, excess binary"
+    pair_answers = "chunk long, part long, pair_levels binary, places binary, excess binary"
+    named = "part long, contexts binary, excess binary"
     word_answers = f"chunk long, part long, levels binary, counts binary, sums binary, {TOTALS}"
     cuts = "chunk long, train boolean, keys binary, counts binary, n long, texts binary"
     chunks = materialise(rows.mapInArrow(cut, cuts), "chunks")
     release(rows.sparkSession)
     of_pairs = materialise(chunks.select("chunk", "train", "texts").mapInArrow(ask_pairs, asked).groupBy("part").applyInArrow(answer_pairs, pair_answers), "pair-answers")
     release(rows.sparkSession)
-    excess = of_pairs.where("chunk is null").select("part", "contexts", "excess")
+    placed = of_pairs.where("places is not null").select("chunk", "places", "excess").groupBy("chunk")
+    excess = chunks.where("train").select("chunk", "keys", "n").groupBy("chunk").cogroup(placed).applyInArrow(name_contexts, named)
     words = chunks.select("chunk", "train", "keys", "counts", "n").mapInArrow(ask_words, asked).groupBy("part").cogroup(excess.groupBy("part"))
     of_words = materialise(words.applyInArrow(answer_words, word_answers), "word-answers")
     types, tokens, mass = of_words.agg(F.sum("types"), F.sum("tokens"), F.sum("mass")).first()
-    words, pairs = (t.where("chunk is not null").drop("types", "tokens", "mass", "contexts", "excess").withColumn("pairs", F.lit(x)) for t, x in ((of_words, False), (of_pairs, True)))
+    words, pairs = (t.where("chunk is not null").drop("types", "tokens", "mass", "places", "excess").withColumn("pairs", F.lit(x)) for t, x in ((of_words, False), (of_pairs, True)))
     answers = materialise(words.unionByName(pairs, allowMissingColumns=True), "answers")
     for table in (of_words, of_pairs):
         discard(table)

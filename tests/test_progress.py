@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
 from trajq.session import scratch_base, setting
-from trajq.streaming.progress import TAKEN, packer, stream_progress
+from trajq.streaming.progress import GIVEN, TAKEN, packer, processor, stream_progress
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 FRAME = "run_id long, episode_id long, step long, ts timestamp, kind string, reward double, done boolean"
@@ -155,3 +155,62 @@ print("GOT", [tuple(r) for r in spark.table("p").collect()])
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "GOT [(0, 0, 1, 4, True, 2.0, True, False, 0)]" in run.stdout, run.stderr[-1500:]
+
+
+def test_groups_share_the_states_of_few_buckets(spark, tmp_path, capsys):
+    """200 episodes in four buckets, over two batches: each bucket has two values, and no shuffle by kind comes before."""
+    batches = [[(e % 3, e, s, at(s), "checkpoint1" if s == 2 else None, 1.0, False) for e in range(200) for s in steps] for steps in ((1, 2), (2, 3))]
+    got, query = streamed(spark, tmp_path, batches, "shared", buckets=4)
+    want = [(e, s, s + 0.0, s == 2, False, 0) for e in range(200) for s in (1, 2)] + [(e, s, float(max(2, s)), False, s == 2, 1) for e in range(200) for s in (2, 3)]
+    assert sorted((r.episode_id, r.step, r.running_return, r.fired, r.late, r.n_late) for r in got) == sorted(want)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 8
+    query.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+class Store(dict):
+    """What a processor's handle gives, in memory: states and timers of one bucket."""
+
+    exists, containsKey, getValue, updateValue, removeKey = dict.__len__, dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    def get(self):
+        return self[None]
+
+    def update(self, value):
+        self[None] = value
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+        self.registerTimer, self.deleteTimer, self.listTimers = self.timers.add, self.timers.remove, lambda: iter(self.timers)
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Store())
+
+    getMapState = getValueState
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentProcessingTimeInMs = lambda: ms
+
+
+@pytest.mark.parametrize("keys", [("run_id",), ("run_id", "episode_id")])
+def test_a_buckets_groups_expire_one_by_one(keys):
+    """Three groups of a bucket; each goes ttl_ms after its own last rows, with its episodes and no others."""
+
+    def take(ms, *rows):
+        packed = np.array([(run, run, step, 0, 2, 1.0, False) for run, step in rows], TAKEN).tobytes()
+        out = b"".join(r["rows"] for r in p.handleInputRows((0,), iter([{"rows": packed}]), Now(ms)))
+        return [(int(r["run_id"]), float(r["running_return"]), bool(r["late"]), bool(r["fired"])) for r in np.frombuffer(out, GIVEN)]
+
+    p, handle = processor(100, False, keys), Handle()
+    p.init(handle)
+    assert take(1000, (1, 5), (2, 5), (3, 5)) == [(1, 1.0, False, True), (2, 1.0, False, True), (3, 1.0, False, True)] and handle.timers == {1100}
+    assert take(1060, (2, 6)) == [(2, 2.0, False, False)] and handle.timers == {1100}
+    assert take(1101, (3, 4)) == [(3, 1.0, True, False)] and handle.timers == {1160}  # 1 has gone; 3 came before its timer
+    assert take(1102, (1, 1), (2, 7)) == [(1, 1.0, False, True), (2, 3.0, False, False)] and handle.timers == {1201}
+    assert list(p.handleExpiredTimer((0,), Now(1202), None)) == [] and handle.timers == {1202}
+    assert list(p.handleExpiredTimer((0,), Now(1203), None)) == [] and not handle.timers and not any(handle.states.values())

@@ -20,9 +20,11 @@ MOTION = """
          CAST(CAST(floor(event_id / 960) AS BIGINT) AS STRING) AS map_id, (value * 13) % 960 AS x, CAST((user_id * 7) % 960 AS DOUBLE) AS y, value AS heading,
          value / 10 AS vx, user_id / 20 - 3 AS vy, CAST(event_id % 3 AS INT) AS action, event_id % 2 = 0 AS slow
   FROM events"""
-STAGE = """
+# The zone of a frame, which STAGE has for each frame but errors.
+KIND = "CASE obs WHEN 'view' THEN 'checkpoint1' WHEN 'click' THEN 'checkpoint2' WHEN 'signup' THEN 'checkpoint3' WHEN 'purchase' THEN 'finish' END"
+STAGE = f"""
   SELECT run_id, episode_id, step, ts, elapsed,
-         CASE obs WHEN 'view' THEN 'checkpoint1' WHEN 'click' THEN 'checkpoint2' WHEN 'signup' THEN 'checkpoint3' WHEN 'purchase' THEN 'finish' END AS kind
+         {KIND} AS kind
   FROM traj WHERE obs <> 'error'"""
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from compare import database
@@ -122,3 +123,26 @@ def test_groups_and_overlaps_of_random_cuts():
         own = lambda ends: list(zip([0, *ends[:-1].tolist()], ends.tolist()))
         want = [(i, j) for i, s in enumerate(own(a)) for j, t in enumerate(own(b)) if s[0] < t[1] and t[0] < s[1]]
         assert list(zip(*(x.tolist() for x in align.overlaps(a, b)))) == want
+
+
+def test_chunks_are_read_a_few_at_a_time(spark, sf, monkeypatch):
+    """A task's chunks are many row groups, none larger than the bound and a row; no lazy step is left over them."""
+    groups = {}
+
+    def written(df, name, **options):
+        out = materialise(df, name, **options)
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in out.inputFiles()]
+        groups[name] = [(m.row_group(i).num_rows, m.row_group(i).total_byte_size) for m in files for i in range(m.num_row_groups)]
+        return out
+
+    materialise = align.materialise
+    monkeypatch.setattr(align, "materialise", written)
+    monkeypatch.setattr(align, "GROUP_BYTES", 40_000, raising=False)
+    monkeypatch.setattr(align, "BLOCK_CHARS", 1000)
+    monkeypatch.setattr(align, "CHUNK_CHARS", 4000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 4000").select("doc_id", "text").coalesce(1).crossJoin(F.broadcast(spark.range(40)))
+    got = align.align_tokens(docs)
+    for name in ("chunks", "answers"):
+        assert sum(n for n, _ in groups[name]) > 30 and max((size for n, size in groups[name] if n > 1), default=0) <= 80_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Join" not in plan and got.count() == docs.count()

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from trajq.session import ship_package
 
-from .common import give_back, materialise, temporary_tables
+from .common import give_back, materialise, setting, temporary_tables
 from .packing import _encoder, _reference_encoder, default_vocabulary
 
 #: A chunk is whole texts of so many characters together; a longer text is a chunk of its own.
 CHUNK_CHARS = 1 << 20
 #: Texts of so many characters together are encoded and aligned at a time.
 BLOCK_CHARS = 1 << 17
+#: Tables with a row per chunk, which takes about a megabyte, are written in row groups of so many bytes, or one row.
+GROUP_BYTES = 1 << 22
+#: Bytes of rows that a Python worker gets at a time, and chunks whose answers a task holds before it sorts them instead.
+BATCH_BYTES, GROUPS_HELD = "8m", "16"
 
 
 def default_pieces() -> str:
@@ -176,7 +180,9 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     encoded once. A chunk of texts is written with its distinct id pairs, how often each occurs and the links as
     positions among these. The pairs are counted over all chunks, combined before the shuffle; each chunk then asks once
     for each of its pairs. A pair that all chunks hold is split by AQE: both sides of that join are written tables. The
-    largest count per B id, at most a row per id of the vocabulary, is broadcast.
+    largest count per B id, at most a row per id of the vocabulary, is broadcast, and nothing else is. A task holds a few
+    chunks at a time, however many are its share: tables of chunks are read by row groups of a few rows, and answers are
+    gathered chunk by chunk.
 
     Returns id_col, n_a, n_b, n_groups, n_links, n_best (links whose pair's count is the highest of their B id, ties
     included), count_sum (of the pairs' counts over the links) and groups_sha256 (of `a1,a2|b1;a3|b2,b3`, ids in order).
@@ -247,17 +253,20 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 plain = [column(c).values for c in ["doc_id", *_COUNTS]]
                 yield pa.RecordBatch.from_arrays([*plain, *added, column("groups_sha256").values], [id_col, *_COUNTS, "n_best", "count_sum", "groups_sha256"])
 
-    with temporary_tables(docs.sparkSession) as made:
-        chunks = materialise(rows.mapInArrow(encode, schema), "chunks")
-        made.pop()
+    spark = docs.sparkSession
+    few_rows = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1"}
+    with temporary_tables(spark) as made, setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        chunks = materialise(rows.mapInArrow(encode, schema), "chunks", **few_rows)
         once = chunks.select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
         counts = materialise(once.groupBy("pair").agg(F.sum("times").alias("n")).withColumn("b", F.col("pair").bitwiseAND((1 << 32) - 1)), "pairs")
         best = F.broadcast(counts.groupBy("b").agg(F.max("n").alias("most")))
         codes = materialise(counts.join(best, "b").select("pair", (F.col("n") * 2 + (F.col("n") == F.col("most")).cast("long")).alias("code")), "codes")
         asked = chunks.select("chunk", F.posexplode("pairs").alias("at", "pair"))
-        answers = asked.join(codes, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "code"))).alias("answers"))
-        answers = materialise(answers.select("chunk", F.col("answers.code").alias("answers")), "answers")
+        answers = asked.join(codes.hint("merge"), "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "code"))).alias("answers"))
+        with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", GROUPS_HELD):
+            answers = materialise(answers.select("chunk", F.col("answers.code").alias("answers")), "answers", **few_rows)
+        nothing = F.array().cast("array<long>")
+        known = chunks.drop("pairs", "times").join(answers.hint("merge"), "chunk", "left").withColumn("answers", F.coalesce("answers", nothing)).drop("chunk")
+        aligned = materialise(known.mapInArrow(finish, result), "aligned")
         made.pop()
-    nothing = F.array().cast("array<long>")
-    known = chunks.drop("pairs", "times").join(answers, "chunk", "left").withColumn("answers", F.coalesce("answers", nothing)).drop("chunk")
-    return known.mapInArrow(finish, result)
+    return aligned

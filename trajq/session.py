@@ -64,14 +64,14 @@ def temporary(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    return write_table(df, temporary(df.sparkSession, name))
+    return write_table(df, temporary(df.sparkSession, name), **options)
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
+def write_table(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Write df to path, replacing what an earlier try left there, and read it back."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,3 +1,4 @@
+import datetime
 import itertools
 import math
 
@@ -13,6 +14,7 @@ from trajq.operators import reward as rw
 from trajq.operators import spatial as sp
 from trajq.operators import tiles as ti
 from trajq.operators import transitions as tr
+from trajq.plans import catalog
 
 ONE = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -185,3 +187,16 @@ def test_a_mean_equal_to_the_reward_is_no_regress(spark):
 def test_state_key_bins(spark):
     f = spark.createDataFrame([("m", 33.0, 1.0, 2.0, 0.1, 0.2)], "map_id string, x double, y double, heading double, vx double, vy double")
     assert ti.state_key(f, {"x": 32}).first().state_key.asDict() == {"map_id": "m", "x": 1.0, "y": 1.0, "heading": 2.0, "vx": 0.1, "vy": 0.2}
+
+
+def test_rewards_are_added_in_order(spark, tmp_path):
+    """Ties of the mean and the reward fall as the doubles do, by the events' order; 0.1 * 3 / 3 is over 0.1, 0.3 is not."""
+    values = {1: [[0.1], [0.1], [0.1]], 2: [[0.3], [0.3], [0.3]], 3: [[1e16, 1.0, -1e16, 1.0], [1.0], [1.0]], 4: [[1.0, 1e16, 1.0, -1e16], [0.0], [0.0]], 5: [[None], [2.0, None], [1.0]]}
+    events = [(run, day, v) for run, days in values.items() for day, of in enumerate(days) for v in of]
+    rows = [(i, run, datetime.datetime(2024, 1, 1 + day), v) for i, (run, day, v) in enumerate(events)]
+    for n, dealt in enumerate((rows, rows[::-1], rows[1::2] + rows[::2])):
+        table = spark.createDataFrame(dealt, "event_id long, user_id long, ts timestamp_ntz, value double").repartition(n + 1)
+        table.write.parquet(f"{tmp_path}/{n}/events.parquet")
+        got = catalog.QUERIES["rolling_reward"](spark, f"{tmp_path}/{n}").orderBy("run_id", "day").collect()
+        assert [r.reward for r in got if r.run_id in (3, 4, 5)] == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0, None, 2.0, 1.0]
+        assert [r.regressed for r in got if r.day == "2024-01-03"] == [True, False, False, False, True]

@@ -28,17 +28,26 @@ def episode_summary(frames: DataFrame) -> DataFrame:
     return summed.withColumn("epsilon", scalar.epsilon_at(number)).select("run_id", "episode_id", "steps", "reward", "success", "epsilon", "duration", "end_reason")
 
 
-def rolling_reward(episodes: DataFrame, n: int = 3, scope: str = "run_id", order: str = "episode_id") -> DataFrame:
+def ordered_sum(frames: DataFrame, keys: list[str], order: str, value: str = "reward") -> DataFrame:
+    """A row per keys with the sum of value, added one after another by order: the same bits however the rows are dealt.
+    A group's rows are one task's, which sorts them on disk and holds a sum."""
+    by = Window.partitionBy(*keys).orderBy(order, value)
+    summed = frames.select(*keys, F.row_number().over(by).alias("n"), F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(value))
+    return summed.groupBy(*keys).agg(F.max_by(value, "n").alias(value))
+
+
+def rolling_reward(episodes: DataFrame, n: int = 3, scope: str = "run_id", order: str = "episode_id", within: float = 1e-12) -> DataFrame:
     """episodes with rolling (mean reward of the last n, null until there are n) and regressed (rolling > reward).
 
     Rewards are sums of doubles, whose last bits depend on the order in which Spark adds them. So a mean and a reward that
-    differ by no more than 1e-12 of the n rewards' mean size are equal, and the episode has not regressed.
+    differ by no more than `within` of the n rewards' mean size are equal, and the episode has not regressed. Where each
+    reward has but one value (ordered_sum), within=0 compares the doubles as they are.
     """
     by = Window.partitionBy(scope).orderBy(order)
     last = by.rowsBetween(1 - n, Window.currentRow)
     rolling = F.when(F.row_number().over(by) >= n, F.avg("reward").over(last))
     size = F.avg(F.abs("reward")).over(last)
-    same = F.abs(F.col("rolling") - F.col("reward")) <= F.when(size < float("inf"), 1e-12 * size).otherwise(0.0)
+    same = F.abs(F.col("rolling") - F.col("reward")) <= F.when(size < float("inf"), within * size).otherwise(0.0)
     return episodes.withColumn("rolling", rolling).withColumn("regressed", (F.col("rolling") > F.col("reward")) & ~same)
 
 
